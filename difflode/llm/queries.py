@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from difflode.functions.repo import canonical_repo
-from difflode.llm import caps, splits
+from difflode.llm import caps, nearcopies, overlap, splits
 from difflode.plans.lineage import cut
 from difflode.sources.tables import table
 
@@ -26,6 +26,20 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(cut(_families(spark, d)), table(spark, d, "split_plan")).select("sample_id", "family_key", "split")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "commit_log").select(F.lit("message").alias("field"), F.col("log_id").alias("id"), F.col("message").alias("text"))
+    pool = table(spark, d, "commit_pool")
+    return log.union(pool.select(F.lit("commit_message"), "row_id", "commit_message")).union(pool.select(F.lit("git_diff"), "row_id", "git_diff"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return nearcopies.near_copies(_texts(spark, d), "field", "id", "text").select("field", "id_a", "id_b")
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return nearcopies.near_groups(_texts(spark, d), "field", "id", "text")
+
+
 def _pools(spark: SparkSession, d: str) -> DataFrame:
     few = table(spark, d, "fewshot_pool").select(
         F.lit("fewshot_pool").alias("pool"), F.col("example_id").alias("record_id"), canonical_repo(F.col("repo")).alias("contributor"), F.col("quality_score").alias("score")
@@ -50,5 +64,17 @@ def p4_share(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].union(parts[1])
 
 
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.split_overlaps(table(spark, d, "attribution_samples"), table(spark, d, "fewshot_pool"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).select("origin", F.least("id_train", "id_eval").alias("id_a"), F.greatest("id_train", "id_eval").alias("id_b")).distinct()
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(_overlaps(spark, d), table(spark, d, "attribution_samples"), table(spark, d, "fewshot_pool"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
