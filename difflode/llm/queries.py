@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from difflode.functions.repo import canonical_repo
-from difflode.llm import caps, nearcopies, overlap, splits
+from difflode.llm import caps, handwritten, nearcopies, overlap, secrets, splits
 from difflode.plans.lineage import cut
 from difflode.sources.tables import table
 
@@ -76,5 +76,34 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_overlaps(spark, d), table(spark, d, "attribution_samples"), table(spark, d, "fewshot_pool"))
 
 
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    units = table(spark, d, "edit_units").select(F.lit("edit_units").alias("origin"), F.col("unit_id").alias("record_id"), "file_path", "repo", F.col("patch_text").alias("text"))
+    pool = table(spark, d, "commit_pool").select("row_id", "repo", handwritten.sections(F.col("git_diff")).alias("parts"), F.explode(handwritten.listed_files(F.col("changed_files"))).alias("file_path"))
+    return units.union(pool.select(F.lit("commit_pool"), F.col("row_id").cast("string"), "file_path", "repo", handwritten.section_of(F.col("parts"), F.col("file_path"))))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    added = F.array_join(F.transform(F.filter(F.split(F.col("patch_text"), "\n"), lambda x: x.rlike("^[+ ]")), lambda x: F.substring(x, 2, 1_000_000)), "\n")
+    attributes = table(spark, d, "edit_units").where(F.col("file_path").rlike(r"(?:^|/)\.gitattributes$")).select("repo", F.col("file_path").alias("path"), added.alias("text"))
+    return handwritten.not_handwritten(_files(spark, d), attributes)
+
+
+def _patches(spark: SparkSession, d: str) -> DataFrame:
+    units = table(spark, d, "edit_units").select(F.lit("edit_units").alias("origin"), F.col("unit_id").alias("record_id"), F.col("patch_text").alias("text"))
+    pool = table(spark, d, "commit_pool").select(F.lit("commit_pool"), F.col("row_id").cast("string"), F.col("git_diff"))
+    return units.union(pool).where("record_id is not null and text is not null")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    words = secrets.dictionary(table(spark, d, "edit_units"), "identifiers")
+    return secrets.find_secrets(_patches(spark, d), ["origin", "record_id"], "text", words).distinct()
+
+
+def p6_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct patch and diff, its credentials masked."""
+    words = secrets.dictionary(table(spark, d, "edit_units"), "identifiers")
+    return secrets.find_secrets(_patches(spark, d), ["origin", "record_id"], "text", words, masked=True).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
