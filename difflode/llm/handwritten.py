@@ -88,6 +88,10 @@ zz_generated* linguist-generated
 *.tab.cc linguist-generated
 lex.*.c linguist-generated
 lex.yy.* linguist-generated
+moc_*.c linguist-generated
+moc_*.cpp linguist-generated
+*.moc linguist-generated
+qrc_*.cpp linguist-generated
 """
 
 #: What a comment line of a generated or copied file begins with.
@@ -102,7 +106,7 @@ SNAPSHOT = r"(?m)^[+\- ]?// Jest Snapshot v\d"
 BLOB_LINE = r"^[+\- ]?\s*(?:[\[({]*\s*(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)[uUlLfF]*\s*[,;]\s*){4,}[^A-Za-z_]*[0-9a-fA-FxX.]*[\])}]*[,;]?|[\"'](?:[A-Za-z0-9+/=]{40,}|(?:\\\\x[0-9a-fA-F]{2}){8,})[\"'][,;+)\s]*|[A-Za-z0-9+/]{60,}={0,2})\s*$"
 LONG = 300
 #: A mined pattern needs so many files and a lower bound of their share with evidence in the content (Wilson, z = 2.58).
-MINED_FILES, MINED_SHARE, Z = 20, 0.10, 2.58
+MINED_FILES, MINED_SHARE, Z = 40, 0.12, 2.58
 
 
 def glob_regex(pattern: str) -> str:
@@ -157,7 +161,7 @@ def parse_attributes(text: str | None) -> list[tuple[int, str, str, bool]]:
 
 def clean_path(path: Column) -> Column:
     """A path with forward slashes and without leading ones or ``./``."""
-    return F.regexp_replace(F.regexp_replace(F.trim(path), r"\\\\", "/"), r"^(?:\.?/)+", "")
+    return F.regexp_replace(F.regexp_replace(F.trim(path), r"\\", "/"), r"^(?:\.?/)+", "")
 
 
 def attribute_rules(files: DataFrame) -> DataFrame:
@@ -219,8 +223,8 @@ def path_features(path: Column) -> Column:
 def mined_patterns(files: DataFrame) -> DataFrame:
     """``feature`` of the path patterns whose files show evidence in their content often enough.
 
-    ``files`` has ``path, evidence``; each distinct path counts once, so copies and hot
-    repositories do not weigh more. All files are counted, with partial aggregation.
+    ``files`` has ``path, evidence``, without the files that an equivalent pattern explains;
+    each distinct path counts once, so copies and hot repositories do not weigh more. All files are counted, with partial aggregation.
     """
     one = files.where("path != ''").groupBy("path").agg(F.max("evidence").alias("evidence"))
     f = one.select(F.explode(F.array_distinct(path_features(F.col("path")))).alias("feature"), F.col("evidence").cast("int").alias("e"))
@@ -242,7 +246,7 @@ def not_handwritten(files: DataFrame, attribute_files: DataFrame | None = None)
     f = files.select("origin", "record_id", "file_path", canonical_repo(F.col("repo")).alias("repo"), F.coalesce(clean_path(F.col("file_path")), F.lit("")).alias("path"), content_evidence(F.col("text")).alias("evidence"))
     equal = "|".join(f"(?:{glob_regex(line.split()[0])[1:-1]})" for line in EQUIVALENT_ATTRIBUTES.split("\n") if line)
     f = f.withColumn("known", F.col("path").rlike(f"^(?:{equal})$"))
-    mined = mined_patterns(f)
+    mined = mined_patterns(f.where(~F.col("known")))
     open_ = f.where(~F.col("known") & ~F.col("evidence") & (F.col("path") != "")).select("path").distinct()
     by_pattern = open_.select("path", F.explode(path_features(F.col("path"))).alias("feature")).join(mined, "feature", "left_semi").select("path").distinct().withColumn("mined", F.lit(True))
     f = f.join(by_pattern, "path", "left")
