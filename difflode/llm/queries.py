@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from difflode.functions.repo import canonical_repo
-from difflode.llm import caps, handwritten, nearcopies, overlap, secrets, splits
+from difflode.llm import caps, handwritten, nearcopies, overlap, packing, secrets, splits, tokens
 from difflode.plans.lineage import cut
 from difflode.sources.tables import table
 
@@ -105,5 +105,30 @@ def p6_masked(spark: SparkSession, d: str) -> DataFrame:
     return secrets.find_secrets(_patches(spark, d), ["origin", "record_id"], "text", words, masked=True).distinct()
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p7_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """The ids with the start of every pre-token and its number of ids."""
+    return tokens.encode(table(spark, d, "documents"), "doc_id", "text", offsets=True)
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    plans = table(spark, d, "pack_plan")
+    names = sorted(r[0] for r in plans.select("tokenizer").distinct().collect() if r[0])
+    counts = tokens.count_tokens(table(spark, d, "documents").where("doc_id is not null"), "doc_id", "text", names)
+    long = counts.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("tokenizer"), F.col(f"n_{n}").alias("tokens"), F.col(f"loss_{n}").alias("loss")) for n in names])).alias("s")).select("doc_id", "s.*")
+    return packing.pack(packing.split_items(long, plans))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p8_summary(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_summary(_packed(spark, d), table(spark, d, "pack_plan"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
