@@ -72,9 +72,15 @@ def near(a: str, b: str, radius: int) -> Column:
     return F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))) + F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) <= radius
 
 
-def verified(candidates: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """``c1, c2, similarity`` of the candidate pairs whose word sets reach the threshold."""
-    one = classes.select(F.col("cls").alias("c1"), F.col("words").alias("w1"))
-    two = classes.select(F.col("cls").alias("c2"), F.col("words").alias("w2"))
-    j = candidates.join(one, "c1").join(two, "c2").select("c1", "c2", jaccard(F.col("w1"), F.col("w2")).alias("similarity"))
+def verified(candidates: DataFrame, classes: DataFrame, threshold: float, also: Column | None = None) -> DataFrame:
+    """``c1, c2, similarity`` of the candidate pairs of one group whose word sets reach the threshold.
+
+    ``also`` is a further condition on the aliased sides ``a`` and ``b``. Both sides read all
+    columns of the class table, so that its shuffle is made once and used by all readers.
+    """
+    a, b = classes.alias("a"), classes.alias("b")
+    j = candidates.join(a, F.col("c1") == F.col("a.cls")).join(b, F.col("c2") == F.col("b.cls")).where(F.col("a.grp") == F.col("b.grp"))
+    if also is not None:
+        j = j.where(also)
+    j = j.select("c1", "c2", jaccard(F.col("a.words"), F.col("b.words")).alias("similarity"))
     return j.where(F.col("similarity") >= threshold - 1e-12)

@@ -91,7 +91,8 @@ def similar_across(docs: DataFrame, group: str, key: str, text: str, split: str
         .where((F.col("a.cls") != F.col("b.cls")) & near("a", "b", RADIUS))
         .select(F.col("a.cls").alias("c1"), F.col("b.cls").alias("c2")).distinct()
     )
-    pairs = verified(cand, classes, threshold).select("c1", "c2")
+    across = (F.col("a.is_eval") & F.col("b.is_train")) | (F.col("b.is_eval") & F.col("a.is_train"))
+    pairs = verified(cand, classes, threshold, across).select("c1", "c2")
     m = cut(d.select("cls", group, key, "is_train").distinct())
     same = m.groupBy("cls").agg(F.max("is_train").alias("t"), F.min("is_train").alias("e")).where("t and not e").select(F.col("cls").alias("c1"), F.col("cls").alias("c2"))
     a = m.where("not is_train").select(F.col("cls").alias("c1"), F.col(group).alias(group), F.col(key).alias("id_eval"))
