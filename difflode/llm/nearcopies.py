@@ -14,8 +14,8 @@ from difflode.plans.lineage import cut
 #: 1 - (1 - s^5)^25: 0.990 at 0.70, 0.9988 at 0.75, 0.99995 at 0.80, and more above.
 BANDS, ROWS = 25, 5
 REGISTERS = 128
-#: Bits of 128 that may differ: a pair of similarity 0.7 differs in 19 of them, the radius is 3.5 deviations more.
-RADIUS = 34
+#: Bits of 128 that may differ: a pair of similarity 0.70 differs in 19 and stays within with a chance of 0.996, one of 0.75 with 0.9998.
+RADIUS = 30
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
