@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from difflode.functions.repo import canonical_repo
-from difflode.llm import caps, handwritten, nearcopies, overlap, packing, secrets, splits, tokens
+from difflode.llm import caps, handwritten, nearcopies, overlap, packing, secrets, splits, subjects, tokens
 from difflode.plans.lineage import cut
 from difflode.sources.tables import table
 
@@ -130,5 +130,17 @@ def p8_summary(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_summary(_packed(spark, d), table(spark, d, "pack_plan"))
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_areas(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "area")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(_subjects(spark, d), table(spark, d, "documents"), table(spark, d, "subject_areas"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
