@@ -15,14 +15,17 @@ from difflode.plans.lineage import cut
 
 #: Sentences or items of a document that must deal with an area.
 SENTENCES = 3
-#: Words in more documents than this share carry no subject; features in fewer documents than this are not weighed.
-COMMON_SHARE, LEAST_DOCS = 0.10, 3
+#: Words in more documents than this share carry no subject alone, nor in pairs beyond the second share; features in fewer documents than this are not weighed.
+COMMON_SHARE, STOP_SHARE, LEAST_DOCS = 0.10, 0.35, 4
 #: Bound of the model, a parameter: so many of the surest features are kept, and so many contexts.
 MODEL_FEATURES, MODEL_CONTEXTS = 50_000, 5_000
-#: A feature speaks for an area if the lower bound of its log odds and its share of documents of the area are at least these.
-ODDS, SHARE = 0.8, 0.45
+#: A feature speaks for an area if its log odds and the lower bound of its share of documents of the area are at least these.
+ODDS, SHARE = 0.8, 0.38
 ROUNDS = 3
-Z = 1.64
+#: Documents folded at a time by a task.
+BATCH = 1_000
+#: Deviations of the bounds (Wilson) for features and for contexts.
+Z, Z_CONTEXT = 2.58, 1.64
 
 FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 SPLIT = re.compile(r"(?<=[.!?])[\"'”’)\]]*\s+|[。！？]+|[\r\n]+(?!\s*[a-zà-ÿ])|[\r\n]+\s*(?=[-*+•]\s)|[\r\n]{2,}")
@@ -52,29 +55,35 @@ def tokens(text: str | None) -> list[list[str]]:
     return out
 
 
-def spans(words: list[str], common: set[str]) -> Iterator[tuple[str, int, int]]:
-    """Features of a sentence with their place: words, pairs of words, and parts of two to five characters of Chinese runs."""
+def spans(words: list[str], common: dict[str, bool]) -> Iterator[tuple[str, int, int]]:
+    """Features of a sentence with their place: words, pairs of words, and parts of two to five characters of Chinese runs.
+
+    ``common`` maps the words that are no feature alone to whether they are none in pairs either.
+    """
     for i, w in enumerate(words):
         if is_han(w):
             for n in (5, 4, 3, 2):
                 for k in range(len(w) - n + 1):
                     yield w[k : k + n], i * 1000 + k, i * 1000 + k + n
-        elif w not in common and len(w) > 2:
-            yield w, i * 1000, i * 1000 + 1
-            if i + 1 < len(words) and not is_han(words[i + 1]) and words[i + 1] not in common:
-                yield f"{w} {words[i + 1]}", i * 1000, (i + 1) * 1000 + 1
-
-
-def mentions(words: list[str], common: set[str], lexicon: dict[str, int]) -> tuple[set[int], list[str]]:
-    """Areas named in a sentence, each place explained by its longest feature only, and the context: what no such feature covers."""
-    hits = sorted(((e - s, f, s, e) for f, s, e in spans(words, common) if f in lexicon), key=lambda x: (-x[0], x[2]))
+        elif len(w) > 1:
+            if w not in common and len(w) > 2:
+                yield w, i * 1000, i * 1000 + 1
+            if i + 1 < len(words) and not common.get(w) and len(x := words[i + 1]) > 1 and not is_han(x) and not common.get(x):
+                yield f"{w} {x}", i * 1000, (i + 1) * 1000 + 1
+
+
+def mentions(words: list[str], places: list[tuple[str, int, int]], lexicon: dict[str, int]) -> tuple[set[int], list[str]]:
+    """Areas named in a sentence with features at ``places``, each place explained by its longest feature only, and the context: what no such feature covers."""
+    hits = [(e - s, f, s, e) for f, s, e in places if f in lexicon]
+    if not hits:
+        return set(), []
+    hits.sort(key=lambda x: (-x[0], x[2]))
     taken: list[tuple[int, int]] = []
     areas: set[int] = set()
     for _, f, s, e in hits:
         if all(e <= a or s >= b for a, b in taken):
             taken.append((s, e))
-            if lexicon[f] >= 0:
-                areas.add(lexicon[f])
+            areas.add(lexicon[f])
     if not areas:
         return areas, []
     context = []
@@ -87,11 +96,11 @@ def mentions(words: list[str], common: set[str], lexicon: dict[str, int]) -> tup
     return areas, context
 
 
-def counts(doc: list[list[str]], common: set[str], lexicon: dict[str, int], passing: set[str], n: int) -> np.ndarray:
+def counts(doc: list[list[str]], places: list[list[tuple[str, int, int]]], lexicon: dict[str, int], passing: set[str], n: int) -> np.ndarray:
     """How many sentences deal with each area; sentences with a context of passing mentions count for none."""
     out = np.zeros(n, np.int32)
-    for words in doc:
-        areas, context = mentions(words, common, lexicon)
+    for words, at in zip(doc, places):
+        areas, context = mentions(words, at, lexicon)
         if areas and not any(c in passing for c in context):
             for a in areas:
                 out[a] += 1
@@ -110,64 +119,74 @@ def isotonic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.array([v for v, _, m in stack for _ in range(int(m))])
 
 
-def _features(tokens_of: DataFrame, lexicon: dict[str, int], passing: set[str], common: set[str], posterior: np.ndarray | None, n: int) -> DataFrame:
-    """For each feature the documents with it and the sum of their posteriors by area, folded within batches.
+def _features(tokens_of: DataFrame, lexicon: dict[str, int], passing: set[str], common: dict[str, bool], posterior: np.ndarray | None, n: int) -> DataFrame:
+    """For each feature the documents with it and the sum of their posteriors by area, folded within batches; all documents under the empty feature.
 
     The first round takes the labels as posteriors and labelled documents only; later
     rounds take all documents, with calibrated posteriors from their sentence counts,
     averaged with the labels where there are some.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums: dict[str, np.ndarray] = {}
-            for doc, label in zip(batch.column("toks").to_pylist(), batch.column("label").to_pylist()):
-                if posterior is None:
-                    r = np.array(label)
-                else:
-                    s = np.minimum(counts(doc, common, lexicon, passing, n), len(posterior) - 1)
-                    r = posterior[s]
-                    if label is not None:
-                        r = (r + np.array(label)) / 2
-                v = np.append(r, 1.0)
-                for f in {f for words in doc for f, _, _ in spans(words, common)}:
-                    if f in sums:
-                        sums[f] += v
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                sums: dict[str, np.ndarray] = {"": np.zeros(n + 1)}
+                for doc, label in zip(batch.column("toks").to_pylist(), batch.column("label").to_pylist()):
+                    places = [list(spans(words, common)) for words in doc]
+                    if posterior is None:
+                        r = np.array(label, dtype=np.float64)
                     else:
-                        sums[f] = v.copy()
-            keys = list(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([float(sums[k][j]) for k in keys], pa.float64()) for j in range(n + 1)]], names=["f", *[f"s{j}" for j in range(n)], "n"])
+                        s = np.minimum(counts(doc, places, lexicon, passing, n), len(posterior) - 1)
+                        r = posterior[s]
+                        if label is not None:
+                            r = (r + np.array(label)) / 2
+                    v = np.append(r, 1.0)
+                    sums[""] += v
+                    for f in {f for at_ in places for f, _, _ in at_}:
+                        if f in sums:
+                            sums[f] += v
+                        else:
+                            sums[f] = v.copy()
+                keys = list(sums)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([float(sums[k][j]) for k in keys], pa.float64()) for j in range(n + 1)]], names=["f", *[f"s{j}" for j in range(n)], "n"])
 
     src = tokens_of.where("label is not null") if posterior is None else tokens_of
     part = src.select("toks", "label").mapInArrow(run, ", ".join(["f string", *[f"s{j} double" for j in range(n)], "n double"]))
     return part.groupBy("f").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(n)], F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
 
 
-def _lexicon(features: DataFrame, total: float, in_area: np.ndarray) -> dict[str, int]:
+def _lexicon(features: DataFrame, n: int) -> dict[str, int]:
     """The area each sure feature speaks for, by complement naive Bayes: its rate in the area's documents against all others.
 
-    Features that are frequent in no single area map to -1 if they contain one that does,
-    so that a longer feature without a subject hides its parts.
+    The share of the area among the documents with the feature must be sure as well, which
+    keeps out what is frequent only by chance; that share is taken of the round's posteriors.
     """
-    scored = []
-    for j in range(len(in_area)):
+    features = cut(features)
+    whole = features.where("f = ''").first()
+    if whole is None:
+        return {}
+    total, in_area = float(whole["n"]), [float(whole[f"s{j}"]) for j in range(n)]
+    scored, z2 = [], Z * Z
+    for j in range(n):
         k, m = F.col(f"s{j}"), F.col("n") - F.col(f"s{j}")
         odds = F.log((k + 0.5) / F.lit(float(in_area[j]) + 1.0)) - F.log((m + 0.5) / F.lit(max(total - float(in_area[j]), 0.0) + 1.0))
-        low = odds - Z * F.sqrt(1 / (k + 0.5) + 1 / (m + 0.5))
-        scored.append(F.struct(low.alias("low"), F.lit(j).alias("area"), (k / F.col("n")).alias("share")))
-    best = features.select("f", "n", F.array_max(F.array(*scored)).alias("b"))
-    sure = best.where((F.col("b.low") >= ODDS) & (F.col("b.share") >= SHARE))
+        p = F.least(k / F.col("n"), F.lit(1.0))
+        low = (p + z2 / (2 * F.col("n")) - Z * F.sqrt((p * (1 - p) + z2 / (4 * F.col("n"))) / F.col("n"))) / (1 + z2 / F.col("n"))
+        scored.append(F.struct(low.alias("low"), F.lit(j).alias("area"), odds.alias("odds")))
+    best = features.where("f != ''").select("f", "n", F.array_max(F.array(*scored)).alias("b"))
+    sure = best.where((F.col("b.low") >= SHARE) & (F.col("b.odds") >= ODDS))
     rows = sure.orderBy(F.desc("b.low"), "f").limit(MODEL_FEATURES).select("f", "b.area").collect()
     return {r["f"]: r["area"] for r in rows}
 
 
-def _labelled(tokens_of: DataFrame, lexicon: dict[str, int], passing: set[str], common: set[str], n: int) -> tuple[set[str], np.ndarray]:
+def _labelled(tokens_of: DataFrame, lexicon: dict[str, int], passing: set[str], common: dict[str, bool], n: int) -> tuple[set[str], np.ndarray]:
     """From the labelled documents: the contexts of passing mentions, and the calibrated posterior by number of sentences."""
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c: dict[str, list[float]] = {}
             for doc, label in zip(batch.column("toks").to_pylist(), batch.column("label").to_pylist()):
                 for words in doc:
-                    areas, context = mentions(words, common, lexicon)
+                    areas, context = mentions(words, list(spans(words, common)), lexicon)
                     y = [label[a] for a in areas]
                     for w in set(context):
                         t = c.setdefault(w, [0.0, 0.0])
@@ -178,15 +197,15 @@ def _labelled(tokens_of: DataFrame, lexicon: dict[str, int], passing: set[str],
     own = tokens_of.where("label is not null").select("toks", "label")
     seen = own.mapInArrow(contexts, "c string, n double, y double").groupBy("c").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).where("n >= 6")
     p = F.col("y") / F.col("n")
-    z2 = Z * Z
-    high = (p + z2 / (2 * F.col("n")) + Z * F.sqrt((p * (1 - p) + z2 / (4 * F.col("n"))) / F.col("n"))) / (1 + z2 / F.col("n"))
+    z2 = Z_CONTEXT * Z_CONTEXT
+    high = (p + z2 / (2 * F.col("n")) + Z_CONTEXT * F.sqrt((p * (1 - p) + z2 / (4 * F.col("n"))) / F.col("n"))) / (1 + z2 / F.col("n"))
     found = {r["c"] for r in seen.where(high < 0.33).orderBy(high, "c").limit(MODEL_CONTEXTS).select("c").collect()}
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = np.zeros((2, 10))
             for doc, label in zip(batch.column("toks").to_pylist(), batch.column("label").to_pylist()):
-                s = np.minimum(counts(doc, common, lexicon, found, n), 9)
+                s = np.minimum(counts(doc, [list(spans(w, common)) for w in doc], lexicon, found, n), 9)
                 np.add.at(t[0], s, 1.0)
                 np.add.at(t[1], s, np.array(label))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(10, dtype=np.int32)), pa.array(t[0]), pa.array(t[1])], names=["s", "n", "y"])
@@ -220,15 +239,17 @@ def subject_areas(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataF
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([tokens(t) for t in part.column("text").to_pylist()], pa.list_(pa.list_(pa.string()))), part.column("label")], names=["doc_id", "toks", "label"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    text = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(soft, "doc_id", "left")
+    ctx = docs.sparkSession.sparkContext
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * ctx.defaultParallelism)
+    text = docs.where("doc_id is not null and text is not null").select("doc_id", "text").repartition(tasks, "doc_id").join(soft, "doc_id", "left")
     toks = cut(text.select("doc_id", "text", "label").mapInArrow(split, f"doc_id {kind}, toks array<array<string>>, label array<double>").where(F.size("toks") > 0))
     total = toks.count()
-    if not total or not n:
+    if not total or not n or toks.where("label is not null").isEmpty():
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, area string, sentences int, posterior double")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,26 +260,20 @@ def subject_areas(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["w", "n"])
 
     # at most (words a document) / COMMON_SHARE words can be common
-    common = {r["w"] for r in toks.select("toks").mapInArrow(seen, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON_SHARE * total).collect()}
+    often = toks.select("toks").mapInArrow(seen, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON_SHARE * total)
+    common = {r["w"]: r["n"] > STOP_SHARE * total for r in often.collect()}
     lexicon: dict[str, int] = {}
     passing: set[str] = set()
-    posterior = None
+    posterior: np.ndarray | None = None
     for _ in range(ROUNDS):
-        if posterior is None:
-            sums = toks.where("label is not null").select(*[F.col("label")[j].alias(f"s{j}") for j in range(n)]).agg(*[F.sum(f"s{j}") for j in range(n)], F.count(F.lit(1))).first()
-            size, in_area = float(sums[n] or 0), np.array([float(sums[j] or 0) for j in range(n)])
-            if not size:
-                return docs.sparkSession.createDataFrame([], f"doc_id {kind}, area string, sentences int, posterior double")
-        else:
-            size, in_area = _expected(toks, lexicon, passing, common, posterior, n)
-        lexicon = _lexicon(_features(toks, lexicon, passing, common, posterior, n), size, in_area)
+        lexicon = _lexicon(_features(toks, lexicon, passing, common, posterior, n), n)
         passing, posterior = _labelled(toks, lexicon, passing, common, n)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, which, many, post = [], [], [], []
             for i, doc in enumerate(batch.column("toks").to_pylist()):
-                s = counts(doc, common, lexicon, passing, n)
+                s = counts(doc, [list(spans(w, common)) for w in doc], lexicon, passing, n)
                 for a in np.flatnonzero(s >= SENTENCES):
                     ids.append(i)
                     which.append(names[a])
@@ -270,22 +285,6 @@ def subject_areas(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataF
     return out.groupBy("doc_id", "area").agg(F.max("sentences").alias("sentences"), F.max("posterior").alias("posterior"))
 
 
-def _expected(toks: DataFrame, lexicon: dict[str, int], passing: set[str], common: set[str], posterior: np.ndarray, n: int) -> tuple[float, np.ndarray]:
-    """How many documents there are, and the expected number of each area."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total, docs = np.zeros(n), 0
-            for doc, label in zip(batch.column("toks").to_pylist(), batch.column("label").to_pylist()):
-                r = posterior[np.minimum(counts(doc, common, lexicon, passing, n), len(posterior) - 1)]
-                total += r if label is None else (r + np.array(label)) / 2
-                docs += 1
-            yield pa.RecordBatch.from_arrays([pa.array([float(docs)]), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["n", "s"])
-
-    part = toks.select("toks", "label").mapInArrow(run, "n double, s array<double>")
-    row = part.agg(F.sum("n"), *[F.sum(F.col("s")[j]) for j in range(n)]).first()
-    return float(row[0] or 0), np.array([float(row[j + 1] or 0) for j in range(n)])
-
-
 def composition(found: DataFrame, docs: DataFrame, areas: DataFrame) -> DataFrame:
     """``area, documents, share`` of the whole corpus, for every area."""
     total = docs.where("doc_id is not null").select(F.count_distinct("doc_id").alias("total"))
