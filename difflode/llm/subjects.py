@@ -20,7 +20,7 @@ COMMON_SHARE, STOP_SHARE, LEAST_DOCS = 0.10, 0.35, 4
 #: Bound of the model, a parameter: so many of the surest features are kept, and so many contexts.
 MODEL_FEATURES, MODEL_CONTEXTS = 50_000, 5_000
 #: A feature speaks for an area if its log odds and the lower bound of its share of documents of the area are at least these.
-ODDS, SHARE = 0.8, 0.38
+ODDS, SHARE = 0.8, 0.30
 ROUNDS = 3
 #: Documents folded at a time by a task.
 BATCH = 1_000
@@ -107,6 +107,19 @@ def counts(doc: list[list[str]], places: list[list[tuple[str, int, int]]], lexic
     return out
 
 
+#: Function words that tell German from English here; Chinese is told by its script.
+GERMAN = {"der", "die", "das", "und", "nicht", "wird", "für", "mit", "den", "von", "ist", "neue", "war", "hängt"}
+GROUPS = 3
+
+
+def language(doc: list[list[str]]) -> int:
+    """0 English or other, 1 German, 2 Chinese, by most sentences; posteriors are calibrated for each apart."""
+    votes = [0, 0, 0]
+    for words in doc:
+        votes[2 if any(is_han(w) for w in words) else 1 if any(w in GERMAN for w in words) else 0] += 1
+    return max(range(3), key=lambda g: (votes[g], -g))
+
+
 def isotonic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     """The non-decreasing sequence nearest to ``x`` under weights ``w`` (pooling adjacent violators)."""
     stack: list[list[float]] = []
@@ -120,39 +133,42 @@ def isotonic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _features(tokens_of: DataFrame, lexicon: dict[str, int], passing: set[str], common: dict[str, bool], posterior: np.ndarray | None, n: int) -> DataFrame:
-    """For each feature the documents with it and the sum of their posteriors by area, folded within batches; all documents under the empty feature.
+    """For each feature the documents with it, its sentences, and their posteriors by area summed over sentences, folded within batches; all documents under the empty feature.
 
     The first round takes the labels as posteriors and labelled documents only; later
     rounds take all documents, with calibrated posteriors from their sentence counts,
     averaged with the labels where there are some.
     """
+    one = np.append(np.zeros(n + 1), 1.0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
-                sums: dict[str, np.ndarray] = {"": np.zeros(n + 1)}
+                sums: dict[str, np.ndarray] = {"": np.zeros(n + 2)}
                 for doc, label in zip(batch.column("toks").to_pylist(), batch.column("label").to_pylist()):
                     places = [list(spans(words, common)) for words in doc]
                     if posterior is None:
                         r = np.array(label, dtype=np.float64)
                     else:
-                        s = np.minimum(counts(doc, places, lexicon, passing, n), len(posterior) - 1)
-                        r = posterior[s]
+                        s = np.minimum(counts(doc, places, lexicon, passing, n), posterior.shape[1] - 1)
+                        r = posterior[language(doc)][s]
                         if label is not None:
                             r = (r + np.array(label)) / 2
-                    v = np.append(r, 1.0)
-                    sums[""] += v
-                    for f in {f for at_ in places for f, _, _ in at_}:
+                    v = np.append(r, (1.0, 0.0))
+                    sums[""] += v + one
+                    for f, tf in Counter(f for at_ in places for f in {f for f, _, _ in at_}).items():
+                        add = v * tf + one
                         if f in sums:
-                            sums[f] += v
+                            sums[f] += add
                         else:
-                            sums[f] = v.copy()
+                            sums[f] = add
                 keys = list(sums)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([float(sums[k][j]) for k in keys], pa.float64()) for j in range(n + 1)]], names=["f", *[f"s{j}" for j in range(n)], "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([float(sums[k][j]) for k in keys], pa.float64()) for j in range(n + 2)]], names=["f", *[f"s{j}" for j in range(n)], "t", "n"])
 
     src = tokens_of.where("label is not null") if posterior is None else tokens_of
-    part = src.select("toks", "label").mapInArrow(run, ", ".join(["f string", *[f"s{j} double" for j in range(n)], "n double"]))
-    return part.groupBy("f").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(n)], F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    part = src.select("toks", "label").mapInArrow(run, ", ".join(["f string", *[f"s{j} double" for j in range(n)], "t double", "n double"]))
+    return part.groupBy("f").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(n)], F.sum("t").alias("t"), F.sum("n").alias("n")).where((F.col("n") >= LEAST_DOCS) | (F.col("f") == ""))
 
 
 def _lexicon(features: DataFrame, n: int) -> dict[str, int]:
@@ -168,9 +184,9 @@ def _lexicon(features: DataFrame, n: int) -> dict[str, int]:
     total, in_area = float(whole["n"]), [float(whole[f"s{j}"]) for j in range(n)]
     scored, z2 = [], Z * Z
     for j in range(n):
-        k, m = F.col(f"s{j}"), F.col("n") - F.col(f"s{j}")
+        k, m = F.col(f"s{j}"), F.col("t") - F.col(f"s{j}")
         odds = F.log((k + 0.5) / F.lit(float(in_area[j]) + 1.0)) - F.log((m + 0.5) / F.lit(max(total - float(in_area[j]), 0.0) + 1.0))
-        p = F.least(k / F.col("n"), F.lit(1.0))
+        p = F.least(k / F.col("t"), F.lit(1.0))
         low = (p + z2 / (2 * F.col("n")) - Z * F.sqrt((p * (1 - p) + z2 / (4 * F.col("n"))) / F.col("n"))) / (1 + z2 / F.col("n"))
         scored.append(F.struct(low.alias("low"), F.lit(j).alias("area"), odds.alias("odds")))
     best = features.where("f != ''").select("f", "n", F.array_max(F.array(*scored)).alias("b"))
@@ -180,7 +196,7 @@ def _lexicon(features: DataFrame, n: int) -> dict[str, int]:
 
 
 def _labelled(tokens_of: DataFrame, lexicon: dict[str, int], passing: set[str], common: dict[str, bool], n: int) -> tuple[set[str], np.ndarray]:
-    """From the labelled documents: the contexts of passing mentions, and the calibrated posterior by number of sentences."""
+    """From the labelled documents: the contexts of passing mentions, and the calibrated posterior by language and number of sentences."""
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c: dict[str, list[float]] = {}
@@ -203,19 +219,20 @@ def _labelled(tokens_of: DataFrame, lexicon: dict[str, int], passing: set[str],
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = np.zeros((2, 10))
+            t = np.zeros((2, GROUPS, 10))
             for doc, label in zip(batch.column("toks").to_pylist(), batch.column("label").to_pylist()):
-                s = np.minimum(counts(doc, [list(spans(w, common)) for w in doc], lexicon, found, n), 9)
-                np.add.at(t[0], s, 1.0)
-                np.add.at(t[1], s, np.array(label))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(10, dtype=np.int32)), pa.array(t[0]), pa.array(t[1])], names=["s", "n", "y"])
+                s, g = np.minimum(counts(doc, [list(spans(w, common)) for w in doc], lexicon, found, n), 9), language(doc)
+                np.add.at(t[0, g], s, 1.0)
+                np.add.at(t[1, g], s, np.array(label))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(10 * GROUPS, dtype=np.int32)), pa.array(t[0].reshape(-1)), pa.array(t[1].reshape(-1))], names=["s", "n", "y"])
 
-    rows = own.mapInArrow(tally, "s int, n double, y double").groupBy("s").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).orderBy("s").collect()
-    k, y = np.zeros(10), np.zeros(10)
+    rows = own.mapInArrow(tally, "s int, n double, y double").groupBy("s").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect()
+    k, y = np.zeros(10 * GROUPS), np.zeros(10 * GROUPS)
     for r in rows:
         k[r["s"]], y[r["s"]] = r["n"], r["y"]
-    prior = (y.sum() + 0.1) / (k.sum() + 1)
-    return found, isotonic((y + prior) / (k + 1), k + 1e-6)
+    k, y = k.reshape(GROUPS, 10), y.reshape(GROUPS, 10)
+    prior = (y.sum(axis=0) + 0.1) / (k.sum(axis=0) + 1)
+    return found, np.array([isotonic((y[g] + prior) / (k[g] + 1), k[g] + 1e-6) for g in range(GROUPS)])
 
 
 def subject_areas(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
@@ -278,7 +295,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataF
                     ids.append(i)
                     which.append(names[a])
                     many.append(int(s[a]))
-                    post.append(float(posterior[min(s[a], len(posterior) - 1)]))
+                    post.append(float(posterior[language(doc)][min(s[a], posterior.shape[1] - 1)]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(which, pa.string()), pa.array(many, pa.int32()), pa.array(post, pa.float64())], names=["doc_id", "area", "sentences", "posterior"])
 
     out = toks.select("doc_id", "toks").mapInArrow(decide, f"doc_id {kind}, area string, sentences int, posterior double")
