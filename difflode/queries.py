@@ -1,15 +1,387 @@
-"""Queries of the general operators over a data directory, and their SQL."""
+"""Queries of the general operators over a data directory."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from difflode.functions import changes as ch
+from difflode.functions import scores as sc
+from difflode.functions.repo import canonical_repo, canonical_sha, canonical_split
+from difflode.operators import audit, joins, selection, stats
+from difflode.operators import metrics as mt
+from difflode.oracle import oracle_sql  # noqa: F401  (part of the interface)
+from difflode.sources.tables import table as T
+from difflode.streaming.windows import windowed_counts
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+r6 = mt.r6
+_STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def _log(s: SparkSession, d: str) -> DataFrame:
+    return T(s, d, "commit_log").select("log_id", "repo", "sha", "subject", "message", "message_score", "commit_date").distinct()
+
+
+def _pool(s: SparkSession, d: str) -> DataFrame:
+    return T(s, d, "commit_pool").select("row_id", "repo", "sha", "language", "type", "subject", "changed_files", "file_count", "git_diff").distinct()
+
+
+def _units(s: SparkSession, d: str) -> DataFrame:
+    return T(s, d, "edit_units").select("unit_id", "sample_id", "repo", "file_path", "patch_text", "file_role", "language", "gold_intent_id", "provenance_status").distinct()
+
+
+def _samples(s: SparkSession, d: str) -> DataFrame:
+    return T(s, d, "attribution_samples").select("sample_id", "repo", "split", "k", "is_multi_intent", "gold_count", "intent_types", "sample_weight", "source_kind").withColumn("split", canonical_split(F.col("split"))).distinct()
+
+
+def _few(s: SparkSession, d: str) -> DataFrame:
+    return T(s, d, "fewshot_pool").drop("updated_at").distinct()
+
+
+def _cand(s: SparkSession, d: str) -> DataFrame:
+    return T(s, d, "candidates").select("sha", "repo", "commit_date", "subject", "message", "score").distinct()
+
+
+def message_features(s, d):
+    """Counts and markers of every commit message."""
+    f = ch.message_features(F.col("message"))
+    return _log(s, d).select("log_id", *[c.alias(n) for n, c in f.items()])
+
+
+def diff_features(s, d):
+    """Size and spread of every pool diff."""
+    f = ch.diff_counts(F.col("git_diff"))
+    x = _pool(s, d).select("row_id", *[c.alias(n) for n, c in f.items()])
+    changed = F.filter("per_file", lambda c: c > 0)
+    return x.select("row_id", "n_files", "n_hunks", "added", "deleted", "changed", r6(sc.entropy_of(changed)).alias("entropy"), r6(sc.gini_of(changed)).alias("gini"),
+                    r6(F.coalesce(F.try_divide(F.array_max("per_file").cast("double"), "changed"), F.lit(0.0))).alias("dominant"))
+
+
+def role_confusion(s, d):
+    """Stored role against the role of the path ladder."""
+    return _units(s, d).groupBy(F.coalesce(F.nullif(F.trim("file_role"), F.lit("")), F.lit("missing")).alias("stored"), ch.path_role(F.col("file_path")).alias("derived")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def module_spread(s, d):
+    """Files and units of each first folder."""
+    return _units(s, d).where("file_path is not null").groupBy(ch.module_of(F.col("file_path")).alias("module")).agg(F.count(F.lit(1)).alias("units"), F.count_distinct("file_path").alias("files"))
+
+
+def repo_identity(s, d):
+    """Every spelling of a repository with its canonical name and form."""
+    raw = F.col("repo")
+    form = (F.when(raw.isNull() | (F.trim(raw) == ""), "blank").when(raw.rlike("^[a-z]+://"), "address").when(raw.rlike("^[^/]+@[^/]+:"), "ssh").when(raw.rlike("__"), "joined").when(raw.rlike("^[^/]+/[^/]+/[^/]+$"), "host").otherwise("slug"))
+    return _log(s, d).groupBy(raw.alias("spelling"), canonical_repo(raw).alias("repo"), form.alias("form")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def type_prevalence(s, d):
+    """z-score of each commit type's share over the types."""
+    return stats.prevalence_z(_pool(s, d), "type")
+
+
+def repo_stats(s, d):
+    """Mean and deviation of file counts by repository, and the distance of the mean from all rows in deviations."""
+    return stats.group_stats(_pool(s, d).withColumn("repo", canonical_repo(F.col("repo"))), "repo", "file_count")
+
+
+def length_protocol(s, d):
+    """Half-even index quantiles of subject lengths by type."""
+    return mt.index_quantiles(_pool(s, d).select("type", F.length("subject").cast("bigint").alias("v")).where("type is not null"), "type", "v", [0.1, 0.5, 0.85, 0.9])
+
+
+def robust_reference(s, d):
+    """Median and median absolute deviation of message scores by form of the message."""
+    return stats.median_mad(_log(s, d).withColumn("g", F.when(F.col("message").rlike("\n"), "long").otherwise("short")), "g", "message_score")
+
+
+def _votes(s, d):
+    lab = T(s, d, "subject_labels").select("doc_id", "area", "annotator_id").distinct()
+    two = lab.groupBy("doc_id").agg(F.min("annotator_id").alias("a"), F.max("annotator_id").alias("b")).where("a < b")
+    areas = T(s, d, "subject_areas").select("area")
+    have = lab.join(two, "doc_id").groupBy("doc_id", "area").agg(F.max((F.col("annotator_id") == F.col("a")).cast("int")).alias("x"), F.max((F.col("annotator_id") == F.col("b")).cast("int")).alias("y"))
+    grid = two.select("doc_id", F.explode(F.array(*[F.lit(r[0]) for r in areas.orderBy("area").collect()])).alias("area"))
+    return grid.join(have, ["doc_id", "area"], "left").select("doc_id", "area", F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"))
+
+
+def annotator_agreement(s, d):
+    """Agreement and kappa of two annotators for each area."""
+    return mt.cohen_kappa(_votes(s, d), "x", "y", ["area"])
+
+
+def annotator_confusion(s, d):
+    """Votes of both, one or neither annotator."""
+    return _votes(s, d).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_agreement(s, d):
+    """Quadratic-weighted kappa of the stated and the gold number of intents."""
+    return mt.weighted_kappa(_samples(s, d), "gold_count", "k")
+
+
+def count_quality(s, d):
+    """Accuracy and error of the stated number of intents by split."""
+    return mt.count_metrics(_samples(s, d), "gold_count", "k", "split")
+
+
+def verified_precision(s, d):
+    """Share of verified examples by pair of types, with Wilson interval."""
+    return mt.precision_report(_few(s, d), "type_pair", F.col("verified_multi_intent") == 1)
+
+
+def score_ranking(s, d):
+    """How well the quality score ranks eligible examples."""
+    return mt.ranking_metrics(_few(s, d), "fewshot_eligible", "quality_score")
+
+
+def score_reliability(s, d):
+    """Mean score and rate of eligible examples in ten bins."""
+    return mt.reliability(_few(s, d), "fewshot_eligible", "quality_score")
+
+
+def precision_threshold(s, d):
+    """Highest threshold of the quality score at which precision reaches 0.8."""
+    return mt.threshold_by_precision(_few(s, d), "fewshot_eligible", "quality_score", 0.8)
+
+
+def selective_risk(s, d):
+    """Share of ineligible examples among the surest tenths."""
+    return mt.risk_coverage(_few(s, d).withColumn("wrong", 1 - F.col("fewshot_eligible")), "wrong", "quality_score")
+
+
+def intent_clusters(s, d):
+    """Clustering metrics of files against gold intents, for each sample."""
+    return mt.cluster_metrics(_units(s, d).where("sample_id is not null"), "sample_id", "gold_intent_id", "file_path")
+
+
+def file_baseline(s, d):
+    """Mean clustering metrics of the file baseline by split."""
+    m = intent_clusters(s, d).join(_samples(s, d).select("sample_id", "split"), "sample_id")
+    return m.groupBy("split").agg(F.count(F.lit(1)).alias("samples"), r6(F.avg("pair_f1")).alias("pair_f1"), r6(F.avg("bcubed_f1")).alias("bcubed_f1"))
+
+
+def score_tiers(s, d):
+    """Tiers of messages by calibrated score: strictly above 0.6 is A, above 0.4 is B, the rest C."""
+    p = sc.platt(F.col("message_score"), 1.2, -0.1)
+    return _log(s, d).where("message_score is not null and not isnan(message_score)").groupBy(F.when(p > 0.6, "A").when(p > 0.4, "B").otherwise("C").alias("tier")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(p)).alias("mean_p"), r6(F.avg(sc.bernoulli_entropy(p))).alias("mean_entropy"))
+
+
+def calibrated_scores(s, d):
+    """Quality scores through isotonic knots."""
+    p = sc.isotonic_predict(F.col("quality_score"), [(0.1, 0.05), (0.4, 0.3), (0.7, 0.8), (0.9, 0.95)])
+    return _few(s, d).where(F.col("quality_score").isNotNull() & ~F.isnan("quality_score")).select("example_id", r6(p).alias("p"))
+
+
+def quota_sample(s, d):
+    """Five commits of each language in hash order."""
+    return selection.quota_sample(_pool(s, d).select("row_id", F.coalesce("language", F.lit("unknown")).alias("language")), "language", "row_id", 5, "13").select("row_id", "language", "rank")
+
+
+def proportional_sample(s, d):
+    """A tenth of each language in hash order, at least one."""
+    return selection.proportional_sample(_pool(s, d).select("row_id", F.coalesce("language", F.lit("unknown")).alias("language")), "language", "row_id", 0.1, "7").select("row_id", "language", "rank")
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def round_robin_sample(s, d):
+    """Thirty commits, one of each type in turn."""
+    return selection.round_robin(_pool(s, d).select("row_id", F.coalesce("type", F.lit("unknown")).alias("type")), "type", "row_id", 30, "5").select("position", "row_id", "type")
+
+
+def score_bands(s, d):
+    """Five bands of the quality score within each pair of types."""
+    return selection.score_bands(_few(s, d), "type_pair", "example_id", "quality_score", 5).select("example_id", "type_pair", "band")
+
+
+def hash_splits(s, d):
+    """Stateless split of repositories, and its rows."""
+    x = _log(s, d).select("log_id", canonical_repo(F.col("repo")).alias("repo")).where("repo is not null")
+    return x.groupBy(selection.hash_split(F.col("repo"), [("train", 0.8), ("dev", 0.1), ("test", 0.1)], "3").alias("split")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("repo").alias("repos"))
+
+
+def split_usage(s, d):
+    """Samples, repositories and weights of each split."""
+    return _samples(s, d).withColumn("repo", canonical_repo(F.col("repo"))).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("repo").alias("repos"), F.sum(F.col("is_multi_intent").cast("bigint")).alias("multi"))
+
+
+def split_repo_overlap(s, d):
+    """Repositories that two splits share."""
+    return joins.overlap_matrix(_samples(s, d).withColumn("repo", canonical_repo(F.col("repo"))), "split", "repo")
+
+
+def table_repo_overlap(s, d):
+    """Shared repositories and Jaccard of every two tables."""
+    names = ["attribution_samples", "candidates", "commit_log", "commit_pool", "fewshot_pool"]
+    x = None
+    for n in names:
+        y = T(s, d, n).select(F.lit(n).alias("t"), canonical_repo(F.col("repo")).alias("repo"))
+        x = y if x is None else x.union(y)
+    return joins.overlap_matrix(x, "t", "repo")
+
+
+def first_delivery(s, d):
+    """The earliest delivery of each candidate, and how many there were."""
+    x = joins.first_wins(T(s, d, "candidates"), ["sha"], [F.col("ingested_at").asc_nulls_last(), F.col("subject").asc_nulls_last()], ["ingested_at"])
+    return x.select("sha", F.date_format("ingested_at", _STAMP).alias("arrived"), "deliveries")
+
+
+def latest_delivery(s, d):
+    """The latest delivery of each example (keep last); missing arrival times count as earliest."""
+    x = joins.first_wins(T(s, d, "fewshot_pool"), ["example_id"], [F.col("updated_at").desc_nulls_last()], ["updated_at"])
+    return x.select("example_id", F.date_format("updated_at", _STAMP).alias("arrived"), "deliveries")
+
+
+def best_evidence(s, d):
+    """For each repository the candidate with the highest score, ties to the smaller id."""
+    x = _cand(s, d).select(canonical_repo(F.col("repo")).alias("repo"), "sha", F.when(~F.isnan("score"), F.col("score")).alias("score")).where("repo is not null")
+    return x.groupBy("repo").agg(F.min_by("sha", F.struct(F.col("score").isNull().alias("n"), (-F.col("score")).alias("s"), F.col("sha"))).alias("sha"), F.max("score").alias("score"))
+
+
+def subject_overlap(s, d):
+    """Normalised subjects that occur in several tables."""
+    x = _few(s, d).select(F.lit("f").alias("t"), ch.normalized_subject(F.col("subject")).alias("v")).union(_cand(s, d).select(F.lit("c"), ch.normalized_subject(F.col("subject")))).union(_log(s, d).select(F.lit("l"), ch.normalized_subject(F.col("subject"))))
+    g = x.where("v is not null and v != ''").groupBy("v").agg(F.count_distinct("t").alias("tables"), F.count(F.lit(1)).alias("rows"))
+    return g.groupBy("tables").agg(F.count(F.lit(1)).alias("subjects"), F.sum("rows").alias("rows"))
+
+
+def reject_ladder(s, d):
+    """First failing reason of every candidate."""
+    sub, msg = F.coalesce(F.trim("subject"), F.lit("")), F.coalesce(F.trim("message"), F.lit(""))
+    steps = [("no_repo", canonical_repo(F.col("repo")).isNull()), ("no_subject", sub == ""), ("short_subject", F.length(sub) < 20), ("no_message", msg == ""),
+             ("noise", F.lower(sub).rlike("^(merge|revert|wip|fixup|bump)")), ("no_score", F.col("score").isNull() | F.isnan("score"))]
+    return joins.ladder(_cand(s, d), steps).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reason_counts(s, d):
+    """How often each reason of the message score occurs, with its mean score."""
+    x = T(s, d, "commit_log").select("log_id", "message_score", F.array_sort(F.array_distinct("message_reasons")).alias("r")).distinct()
+    return x.select(F.explode("r").alias("reason"), "message_score").groupBy("reason").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.when(~F.isnan("message_score"), F.col("message_score")))).alias("mean_score"))
+
+
+def known_exclusions(s, d):
+    """Candidates left after removing the commits and then the repositories of the examples, and how many each took."""
+    few = _few(s, d)
+    known = few.select(canonical_sha(F.col("sha")).alias("k"))
+    repos = few.select(canonical_repo(F.col("repo")).alias("k"))
+    return joins.exclusion_counts(_cand(s, d).select(canonical_sha(F.col("sha")).alias("sha"), canonical_repo(F.col("repo")).alias("repo")), [("sha", known), ("repo", repos)])
+
+
+def status_matrix(s, d):
+    """Quality against message status; missing ones are unknown."""
+    u = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("UNKNOWN"))
+    return _few(s, d).groupBy(u(F.col("quality_status")).alias("quality"), u(F.col("message_status")).alias("message")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def split_divergence(s, d):
+    """Total variation distance of the source kinds of every two splits."""
+    return stats.tvd(_samples(s, d).where("split is not null"), "split", "source_kind")
+
+
+def coverage_curve(s, d):
+    """Share of samples with at most k gold intents, by split."""
+    return stats.coverage_curve(_samples(s, d).where("split is not null and gold_count is not null"), "split", "gold_count")
+
+
+def yield_table(s, d):
+    """Counts by type and language, by each alone, and in total."""
+    return _pool(s, d).select(F.coalesce("type", F.lit("unknown")).alias("type"), F.coalesce("language", F.lit("unknown")).alias("language")).cube("type", "language").agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_shortfall(s, d):
+    """Rows of each type and language against a minimum of twenty, zero-filled."""
+    x = _pool(s, d).where("type is not null and language is not null")
+    grid = x.select("type").distinct().join(x.select("language").distinct(), F.lit(True))
+    n = x.groupBy("type", "language").agg(F.count(F.lit(1)).alias("n"))
+    c = F.coalesce("n", F.lit(0))
+    return grid.join(n, ["type", "language"], "left").select("type", "language", c.alias("n"), F.greatest(F.lit(0), 20 - c).alias("short"))
+
+
+def hunk_overlaps(s, d):
+    """Pairs of hunks of a sample's file whose ranges come within three lines."""
+    u = _units(s, d).select("sample_id", "file_path", "unit_id", *[c.alias(n) for n, c in ch.hunk_range(F.col("patch_text")).items()]).where("old_start is not null")
+    return joins.interval_overlaps(u, ["sample_id", "file_path"], "unit_id", "old_start", "old_len", 3)
+
+
+def delivery_chain(s, d):
+    """Hash chain over the commits of each repository in order of their id: links, and a digest over all."""
+    x = _log(s, d).select(canonical_repo(F.col("repo")).alias("repo"), "log_id", F.lower("sha").alias("sha")).where("repo is not null and sha is not null")
+    return audit.hash_chain(x, "repo", "log_id", "sha").groupBy("repo").agg(F.count(F.lit(1)).alias("links"), F.min("link").alias("least"), F.max("link").alias("greatest"))
+
+
+def integrity_counters(s, d):
+    """Referential counters between units and samples."""
+    return audit.reference_counters(_units(s, d), T(s, d, "attribution_samples").select("sample_id", F.map_keys("gold_unit_to_intent").alias("units")).distinct())
+
+
+def document_slices(s, d):
+    """Overlapping slices of documents."""
+    n = F.coalesce(F.col("n_chars"), F.lit(0))
+    slices = [("short", n < 300), ("long", n > 3000), ("code", F.coalesce(F.col("text").contains("```"), F.lit(False))), ("list", F.coalesce(F.col("text").contains("\n- "), F.lit(False))), ("labelled_en", F.coalesce(F.col("lang") == "en", F.lit(False))), ("all", F.lit(True))]
+    x = T(s, d, "documents").select("doc_id", n.alias("n"), F.explode(F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in slices]), lambda v: v.isNotNull())).alias("slice"))
+    return x.groupBy("slice").agg(F.count(F.lit(1)).alias("docs"), r6(F.avg("n")).alias("mean_chars"))
+
+
+def neighbour_pairs(s, d):
+    """Commits paired with their next three in hash order within a repository, if types differ and files do not meet."""
+    files = F.array_distinct(F.transform(F.regexp_extract_all(F.col("git_diff"), F.lit(r"diff --git a/(\S+) b/"), 1), lambda x: x))
+    x = _pool(s, d).where("git_diff is not null").select(canonical_repo(F.col("repo")).alias("repo"), "row_id", "type", files.alias("files"))
+    p = selection.neighbour_pairs(x, "repo", "row_id", 3, "11", ["type", "files"])
+    ok = p.where((F.col("type_a") != F.col("type_b")) & ~F.arrays_overlap("files_a", "files_b"))
+    return ok.select("repo", F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), (F.size("files_a") + F.size("files_b")).cast("bigint").alias("files"))
+
+
+def example_cascade(s, d):
+    """Three examples for each sample's commit: same pair and signature, same pair, same raw signature; never of its repository."""
+    few = _few(s, d).select("example_id", canonical_repo(F.col("repo")).alias("repo"), F.when(~F.isnan("quality_score"), F.col("quality_score")).alias("score"), "type_pair", "type_signature_canonical", "type_signature_raw", "split").withColumn("exact", F.concat_ws("|", "type_pair", "type_signature_raw"))
+    q = few.where(canonical_split(F.col("split")).isin("dev", "test")).select(F.col("example_id").alias("query_id"), "repo", "exact", "type_pair", "type_signature_raw")
+    return selection.cascade_top_k(q, few.where(canonical_split(F.col("split")) == "train"), ["exact", "type_pair", "type_signature_raw"], 3)
+
+
+def file_list_check(s, d):
+    """Whether the stated number of files is that of the list, by the form of the list."""
+    c = F.col("changed_files")
+    form = F.when(c.isNull(), "null").when(c.rlike(r"^\s*\["), "json").when(c.contains("|"), "bar").when(c.contains("\n"), "lines").when(c.contains(","), "comma").otherwise("one")
+    n = F.when(form == "json", F.size(F.from_json(c, "array<string>"))).otherwise(F.size(F.split(c, r"\s*[|\n,]\s*")))
+    return _pool(s, d).groupBy(form.alias("form")).agg(F.count(F.lit(1)).alias("n"), F.sum((n == F.col("file_count")).cast("bigint")).alias("agree"), F.max(n).cast("bigint").alias("most"))
+
+
+def repo_caps(s, d):
+    """The three best candidates of each repository, highest score first."""
+    x = _cand(s, d).select(canonical_repo(F.col("repo")).alias("repo"), "sha", F.when(~F.isnan("score"), F.col("score")).alias("score")).where("repo is not null")
+    w = Window.partitionBy("repo").orderBy(F.col("score").desc_nulls_last(), "sha")
+    return x.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("repo", "sha", "rank")
+
+
+def provenance_filter(s, d):
+    """Samples all of whose units have exact provenance, and the others by their worst status."""
+    order = F.when(F.col("provenance_status") == "exact", 0).when(F.col("provenance_status") == "fuzzy", 1).otherwise(2)
+    x = _units(s, d).where("sample_id is not null").groupBy("sample_id").agg(F.max(order).alias("worst"), F.count(F.lit(1)).alias("units"))
+    return x.groupBy(F.element_at(F.array(F.lit("exact"), F.lit("fuzzy"), F.lit("other")), F.col("worst") + 1).alias("worst")).agg(F.count(F.lit(1)).alias("samples"), F.sum("units").alias("units"))
+
+
+def breaking_changes(s, d):
+    """Priority class of commit types, and breaking changes in each."""
+    p = F.when(F.lower("type").isin("feat", "fix"), 0).when(F.lower("type").isin("refactor", "perf"), 1).otherwise(2)
+    f = ch.message_features(F.col("subject"))
+    return _pool(s, d).groupBy(p.alias("priority")).agg(F.count(F.lit(1)).alias("n"), F.sum(f["is_breaking"].cast("bigint")).alias("breaking"), F.sum(f["multi_marker"].cast("bigint")).alias("multi"))
+
+
+def score_centres(s, d):
+    """Two boundaries of message scores by one-dimensional k-means with three centres."""
+    return stats.kmeans_bounds(_log(s, d).where("message_score is not null and not isnan(message_score)"), "message_score", 3)
+
+
+def bootstrap_precision(s, d):
+    """Share of verified examples with a repository-cluster bootstrap interval."""
+    return stats.cluster_bootstrap(_few(s, d).select(canonical_repo(F.col("repo")).alias("repo"), (F.col("verified_multi_intent") == 1).cast("double").alias("x")).where("repo is not null and x is not null"), "repo", "x", 200, 17)
+
+
+def stream_event_windows(s, d):
+    """Hourly counts of event types by a stream with a watermark."""
+    return windowed_counts(s, d)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Every public function above by name."""
+    skip = {"queries", "oracle_sql", "canonical_repo", "canonical_sha", "canonical_split", "windowed_counts", "r6", "T"}
+    return {k: v for k, v in globals().items() if callable(v) and not k.startswith("_") and k not in skip and getattr(v, "__module__", "") == __name__}
