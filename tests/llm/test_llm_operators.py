@@ -303,15 +303,15 @@ def test_packing_splits_only_what_is_too_long(spark):
 
 def test_subjects_on_held_out_documents(spark):
     rng = random.Random(12)
-    # as many terms as a subject has, so that none of them is a common word
+    # as many terms as a subject has and as many documents without one, so that no term is a common word
     terms = {
         "astro": ["telescope", "dark frame", "nebula", "orbit fit", "parallax", "comet", "redshift", "zenith", "eclipse", "galaxy", "spectrograph", "asteroid", "light curve", "dome", "meteor", "quasar", "pulsar", "corona", "perigee", "apogee"],
         "farm": ["tractor", "milk tank", "harvest", "soil moisture", "orchard", "barn", "irrigation", "weaning", "silage", "fertiliser", "vineyard", "greenhouse", "pest trap", "seed drill", "fodder", "herd", "pasture", "combine", "manure", "tillage"],
     }
     fill = ["the reader was late", "no cache should wait", "move the pipe next to the queue"]
     docs, truth = [], {}
-    for i in range(600):
-        a = rng.choice(["astro", "farm", None])
+    for i in range(1000):
+        a = rng.choice(["astro", "farm", None, None, None])
         s = [rng.choice(fill) for _ in range(6)]
         if a:
             s += [f"show the {rng.choice(terms[a])} beside the pipe" for _ in range(rng.randint(3, 5))]
@@ -320,8 +320,8 @@ def test_subjects_on_held_out_documents(spark):
         rng.shuffle(s)
         docs.append((i, ". ".join(s) + ".", "x"))
         truth[i] = {a} if a else set()
-    docs += [(1000, None, "x"), (1001, "", "x"), (1002, "  \n", "x"), (0, docs[0][1], "x")]
-    labels = [(i, next(iter(truth[i]), "none"), "ann") for i in range(200)] + [(0, next(iter(truth[0]), "none"), "ann"), (1, None, "ann"), (2, "unknown", "b")]
+    docs += [(2000, None, "x"), (2001, "", "x"), (2002, "  \n", "x"), (0, docs[0][1], "x")]
+    labels = [(i, next(iter(truth[i]), "none"), "ann") for i in range(300)] + [(0, next(iter(truth[0]), "none"), "ann"), (1, None, "ann"), (2, "unknown", "b")]
     d = spark.createDataFrame(docs, "doc_id long, text string, area string")
     lab = spark.createDataFrame(labels, "doc_id long, area string, annotator_id string")
     areas = spark.createDataFrame([("astro",), ("farm",)], "area string")
@@ -329,9 +329,9 @@ def test_subjects_on_held_out_documents(spark):
     got = {}
     for r in found.collect():
         got.setdefault(r["doc_id"], set()).add(r["area"])
-    held = range(200, 600)
+    held = range(300, 1000)
     assert sum(got.get(i, set()) == truth[i] for i in held) >= 0.97 * len(held)
-    assert 1000 not in got and 1001 not in got
+    assert not {2000, 2001, 2002} & set(got)
     assert subjects.subject_areas(d, lab.where("false"), areas).count() == 0
     share = {r["area"]: r["documents"] for r in subjects.composition(found, d, areas).collect()}
     assert share["astro"] == sum("astro" in v for v in got.values())
