@@ -156,5 +156,10 @@ def oracle_sql() -> dict[str, str]:
         "repo_caps": f"SELECT * FROM (SELECT repo, sha, row_number() OVER (PARTITION BY repo ORDER BY score DESC NULLS LAST, sha) AS rank FROM (SELECT {repo('repo')} AS repo, sha, {nosc.format(c='score')} AS score FROM {CAND}) WHERE repo IS NOT NULL) WHERE rank <= 3",
         "provenance_filter": f"WITH x AS (SELECT sample_id, max(CASE provenance_status WHEN 'exact' THEN 0 WHEN 'fuzzy' THEN 1 ELSE 2 END) AS w, count(*) AS u FROM {UNITS} WHERE sample_id IS NOT NULL GROUP BY 1) SELECT ['exact', 'fuzzy', 'other'][w + 1] AS worst, count(*) AS samples, sum(u)::BIGINT AS units FROM x GROUP BY 1",
         "breaking_changes": f"""WITH {MSG.format(key='row_id, type', c='subject', src=POOL)} SELECT CASE WHEN lower(type) IN ('feat', 'fix') THEN 0 WHEN lower(type) IN ('refactor', 'perf') THEN 1 ELSE 2 END AS priority, count(*) AS n, sum({BREAKING}::INT)::BIGINT AS breaking, sum({MULTI}::INT)::BIGINT AS multi FROM s GROUP BY 1""",
+        "tfidf_neighbours": f"""WITH f AS (SELECT example_id AS id, {repo('repo')} AS repo, {split('split')} AS split, list_filter(regexp_split_to_array(lower(subject), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '') AS ws FROM {FEW}),
+ b AS (SELECT id, repo, split, w, count(*)::DOUBLE AS tf FROM (SELECT id, repo, split, unnest(ws) AS w FROM f) GROUP BY ALL), n AS (SELECT count(DISTINCT id) AS n FROM f WHERE split = 'train'),
+ i AS (SELECT w, ln((1 + (SELECT n FROM n)) / (1 + count(*))::DOUBLE) AS idf FROM b WHERE split = 'train' GROUP BY w), x AS (SELECT b.*, tf * idf + 1 AS v FROM b JOIN i USING (w) WHERE split IN ('train', 'dev', 'test')), m AS (SELECT id, sqrt(sum(v * v)) AS norm FROM x GROUP BY id),
+ s AS (SELECT q.id AS query_id, p.id AS example_id, round(sum(q.v * p.v) / (any_value(mq.norm) * any_value(mp.norm)), 6) AS cosine FROM x q JOIN x p ON q.w = p.w AND p.split = 'train' AND q.split <> 'train' AND q.repo IS DISTINCT FROM p.repo JOIN m mq ON mq.id = q.id JOIN m mp ON mp.id = p.id GROUP BY q.id, p.id)
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, example_id) AS rank FROM s) WHERE rank <= 3""",
         "stream_event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2",
     }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from difflode.functions import changes as ch
 from difflode.functions import scores as sc
 from difflode.functions.repo import canonical_repo, canonical_sha, canonical_split
-from difflode.operators import audit, joins, selection, stats
+from difflode.operators import audit, joins, matching, retrieval, selection, stats
 from difflode.operators import metrics as mt
 from difflode.oracle import oracle_sql  # noqa: F401  (part of the interface)
 from difflode.sources.tables import table as T
@@ -376,6 +376,23 @@ def bootstrap_precision(s, d):
     return stats.cluster_bootstrap(_few(s, d).select(canonical_repo(F.col("repo")).alias("repo"), (F.col("verified_multi_intent") == 1).cast("double").alias("x")).where("repo is not null and x is not null"), "repo", "x", 200, 17)
 
 
+def tfidf_neighbours(s, d):
+    """The three nearest training subjects of each evaluation example, never of its repository."""
+    x = _few(s, d).select(F.col("example_id").alias("id"), F.col("subject").alias("text"), canonical_repo(F.col("repo")).alias("repo"), canonical_split(F.col("split")).alias("split"))
+    return retrieval.tfidf_top_k(x.where(F.col("split").isin("dev", "test")), x.where("split = 'train'"), 3, "repo")
+
+
+def matched_accuracy(s, d):
+    """Share of units that the best matching of files to gold intents explains, for each sample."""
+    return matching.matched_accuracy(_units(s, d), "sample_id", "gold_intent_id", "file_path")
+
+
+def split_packing(s, d):
+    """Repositories of the samples packed whole into splits, and what each split gets."""
+    w = _samples(s, d).select(canonical_repo(F.col("repo")).alias("repo")).where("repo is not null").groupBy("repo").agg(F.count(F.lit(1)).alias("w"))
+    return matching.pack_groups(w, "repo", "w", [("train", 0.8), ("dev", 0.1), ("test", 0.1)], "1").join(w, "repo").groupBy("split").agg(F.count(F.lit(1)).alias("repos"), F.sum("w").alias("n"))
+
+
 def stream_event_windows(s, d):
     """Hourly counts of event types by a stream with a watermark."""
     return windowed_counts(s, d)
