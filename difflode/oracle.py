@@ -156,6 +156,30 @@ def oracle_sql() -> dict[str, str]:
         "repo_caps": f"SELECT * FROM (SELECT repo, sha, row_number() OVER (PARTITION BY repo ORDER BY score DESC NULLS LAST, sha) AS rank FROM (SELECT {repo('repo')} AS repo, sha, {nosc.format(c='score')} AS score FROM {CAND}) WHERE repo IS NOT NULL) WHERE rank <= 3",
         "provenance_filter": f"WITH x AS (SELECT sample_id, max(CASE provenance_status WHEN 'exact' THEN 0 WHEN 'fuzzy' THEN 1 ELSE 2 END) AS w, count(*) AS u FROM {UNITS} WHERE sample_id IS NOT NULL GROUP BY 1) SELECT ['exact', 'fuzzy', 'other'][w + 1] AS worst, count(*) AS samples, sum(u)::BIGINT AS units FROM x GROUP BY 1",
         "breaking_changes": f"""WITH {MSG.format(key='row_id, type', c='subject', src=POOL)} SELECT CASE WHEN lower(type) IN ('feat', 'fix') THEN 0 WHEN lower(type) IN ('refactor', 'perf') THEN 1 ELSE 2 END AS priority, count(*) AS n, sum({BREAKING}::INT)::BIGINT AS breaking, sum({MULTI}::INT)::BIGINT AS multi FROM s GROUP BY 1""",
+        "edit_unit_records": f"""WITH p AS (SELECT row_id, string_split(chr(10) || git_diff, chr(10) || 'diff --git ')[2:] AS ps FROM {POOL} WHERE git_diff IS NOT NULL), f AS (SELECT row_id, unnest(ps) AS part, generate_subscripts(ps, 1) - 1 AS file_no FROM p),
+ h AS (SELECT row_id, file_no, regexp_extract(part, '^a/(\\S+) b/', 1) AS file_path, string_split(part, chr(10) || '@@ ')[2:] AS hs FROM f), u AS (SELECT row_id, file_no, file_path, string_split(unnest(hs), chr(10))[2:] AS ls, generate_subscripts(hs, 1) - 1 AS hunk_no FROM h)
+ SELECT row_id, file_no, file_path, hunk_no, len(list_filter(ls, lambda x: starts_with(x, '+')))::BIGINT AS added, len(list_filter(ls, lambda x: starts_with(x, '-')))::BIGINT AS deleted FROM u""",
+        "exclusion_reasons": f"""WITH x AS (SELECT lower(coalesce(subject, '')) AS s, lower(type) AS t, changed_files AS c, string_split(chr(10) || coalesce(git_diff, ''), chr(10) || 'diff --git ')[2:] AS ps FROM {POOL}),
+ y AS (SELECT *, coalesce(list_sum(list_transform(ps, lambda q: len(list_filter(string_split(q, chr(10)), lambda x: (starts_with(x, '+') AND NOT starts_with(x, '+++')) OR (starts_with(x, '-') AND NOT starts_with(x, '---')))))), 0) AS ch FROM x)
+ SELECT reason, count(*) AS n FROM (SELECT unnest([CASE WHEN starts_with(s, 'merge') THEN 'merge' END, CASE WHEN starts_with(s, 'revert') THEN 'revert' END, CASE WHEN regexp_matches(s, '^(release|bump|chore\\(release)') THEN 'release' END, CASE WHEN t = 'style' THEN 'style' END,
+  CASE WHEN len(ps) = 0 THEN 'no_diff' END, CASE WHEN ch < 3 THEN 'tiny' END, CASE WHEN len(ps) > 4 THEN 'wide' END, CASE WHEN regexp_matches(c, '\\.lock|go\\.sum|package-lock') THEN 'lock_file' END]) AS reason FROM y) WHERE reason IS NOT NULL GROUP BY 1""",
+        "deliverable": f"""SELECT CASE WHEN verified_multi_intent <> 1 THEN 'not_verified' WHEN fewshot_eligible <> 1 THEN 'not_eligible' WHEN quality_score IS NULL OR isnan(quality_score) THEN 'no_score' WHEN quality_score < 0.5 THEN 'low_score' WHEN {repo('repo')} IS NULL THEN 'no_repo' ELSE 'ready' END AS reason, intent_k, count(*) AS n FROM {FEW} GROUP BY ALL""",
+        "diff_duplicates": f"""WITH g AS (SELECT sha256(array_to_string(list_filter(string_split(git_diff, chr(10)), lambda x: NOT (starts_with(x, 'index ') OR starts_with(x, '@@ '))), chr(10))) AS h, count(*) AS copies FROM {POOL} WHERE git_diff <> '' GROUP BY 1) SELECT copies, count(*) AS groups FROM g GROUP BY 1""",
+        "disjoint_flags": f"""WITH p AS (SELECT lower(trim(sha)) AS sha, {repo('repo')} AS repo FROM {POOL}), c AS (SELECT lower(trim(sha)) AS sha, {repo('repo')} AS repo FROM {CAND})
+ SELECT coalesce(sha IN (SELECT sha FROM p WHERE sha IS NOT NULL), false) AS sha_known, coalesce(repo IN (SELECT repo FROM p WHERE repo IS NOT NULL), false) AS repo_known, count(*) AS n FROM c GROUP BY ALL""",
+        "seed_stability": overlap(" UNION ALL ".join(f"SELECT '{z}' AS g, row_id AS k FROM (SELECT row_id, row_number() OVER (PARTITION BY coalesce(language, 'unknown') ORDER BY sha256('{z}|' || row_id), row_id) AS r FROM {POOL}) WHERE r <= 20" for z in "123")),
+        "background_rates": f"SELECT {ROLE} AS role, count(*) AS units, sum((g IS NULL)::INT)::BIGINT AS background, round(avg((g IS NULL)::INT), 6) AS rate FROM (SELECT lower(replace(file_path, '\\', '/')) AS p, gold_intent_id AS g FROM (SELECT DISTINCT unit_id, file_path, gold_intent_id, context_clipped FROM edit_units) WHERE NOT coalesce(context_clipped, false)) GROUP BY 1",
+        "sample_rates": f"SELECT source_kind, count(is_multi_intent) AS n_multi, round(avg(is_multi_intent::INT), 6) AS multi_rate, count(gold_count) AS n_gold, round(avg((gold_count = k)::INT), 6) AS k_agrees, round(avg({nosc.format(c='sample_weight')}), 6) AS mean_weight FROM {SAMPLES} GROUP BY 1",
+        "intent_types": "WITH x AS (SELECT DISTINCT sample_id, list_sort(list_distinct(intent_types)) AS t FROM attribution_samples) SELECT type, count(*) AS samples, round(avg(k), 6) AS mean_types FROM (SELECT unnest(t) AS type, len(t) AS k FROM x) GROUP BY 1",
+        "type_signatures": f"""SELECT array_to_string(list_filter(list_sort(list_distinct(list_transform(regexp_split_to_array(lower(type_signature_raw), '[+|,/& ]+'), lambda v: regexp_replace(v, '\\(.*\\)|!', '', 'g')))), lambda v: v <> ''), '+') AS signature, count(*) AS n FROM {FEW} WHERE type_signature_raw IS NOT NULL GROUP BY 1""",
+        "masked_subjects": f"""SELECT regexp_replace(regexp_replace(regexp_replace(subject, '[A-Za-z0-9]+(_[A-Za-z0-9]+)+', 'ID', 'g'), '[0-9]+', 'N', 'g'), '[A-Za-z]+(/[A-Za-z]+)+', 'PATH', 'g') AS mask, count(*) AS n FROM {LOG} WHERE subject IS NOT NULL GROUP BY 1 HAVING count(*) > 1""",
+        "shard_plan": f"SELECT (i - 1) // 100 AS shard, count(*) AS n, min(row_id) AS first, max(row_id) AS last FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) AS i FROM {POOL}) GROUP BY 1",
+        "commit_dates": f"""WITH f AS (SELECT trim(commit_date) AS c FROM {LOG}), g AS (SELECT c, CASE WHEN c IS NULL THEN 'null' WHEN c = '' THEN 'blank' WHEN regexp_matches(c, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T') THEN 'iso' WHEN regexp_matches(c, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 'day_first_iso' WHEN regexp_matches(c, '^[0-9]{{9,}}$') THEN 'epoch' WHEN regexp_matches(c, '^[A-Z][a-z]{{2}},? ') THEN 'named' ELSE 'other' END AS form FROM f)
+ SELECT form, CASE WHEN form = 'iso' THEN substr(c, 1, 4) END AS year, count(*) AS n FROM g GROUP BY ALL""",
+        "difficulty_levels": f"""WITH u AS (SELECT sample_id, count(DISTINCT file_path) f, count(DISTINCT CASE WHEN contains(p, '/') THEN split_part(p, '/', 1) ELSE '.' END) m, count(DISTINCT gold_intent_id) i FROM (SELECT *, regexp_replace(replace(file_path, '\\', '/'), '^(\\./|/)+', '') AS p FROM {UNITS} WHERE sample_id IS NOT NULL AND file_path IS NOT NULL) GROUP BY 1)
+ SELECT substr('ABCD', 1 + (i > 1)::INT + (f > 2)::INT + (m > 2)::INT, 1) AS level, count(*) AS samples, round(avg(f), 6) AS mean_files FROM u GROUP BY 1""",
+        "message_polarity": f"""WITH x AS (SELECT lower(regexp_extract(regexp_replace(subject, '^[a-z]+(\\([^)]*\\))?!?: |^\\[[^]]*\\] |^[a-z]+/[a-z]+: ', ''), '^([A-Za-z]+)', 1)) AS w, score FROM {CAND} WHERE subject IS NOT NULL)
+ SELECT CASE WHEN w IN ('add', 'create', 'introduce', 'enable', 'load', 'mount') THEN 'adds' WHEN w IN ('remove', 'delete', 'drop', 'stop', 'disable', 'drain', 'expire', 'flush') THEN 'removes' WHEN w IN ('use', 'let', 'move', 'merge', 'split', 'compact', 'prune', 'seal') THEN 'changes' ELSE 'none' END AS polarity, count(*) AS n, round(avg({nosc.format(c='score')}), 6) AS mean_score FROM x GROUP BY 1""",
         "tfidf_neighbours": f"""WITH f AS (SELECT example_id AS id, {repo('repo')} AS repo, {split('split')} AS split, list_filter(regexp_split_to_array(lower(subject), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '') AS ws FROM {FEW}),
  b AS (SELECT id, repo, split, w, count(*)::DOUBLE AS tf FROM (SELECT id, repo, split, unnest(ws) AS w FROM f) GROUP BY ALL), n AS (SELECT count(DISTINCT id) AS n FROM f WHERE split = 'train'),
  i AS (SELECT w, ln((1 + (SELECT n FROM n)) / (1 + count(*))::DOUBLE) AS idf FROM b WHERE split = 'train' GROUP BY w), x AS (SELECT b.*, tf * idf + 1 AS v FROM b JOIN i USING (w) WHERE split IN ('train', 'dev', 'test')), m AS (SELECT id, sqrt(sum(v * v)) AS norm FROM x GROUP BY id),

@@ -393,6 +393,116 @@ def split_packing(s, d):
     return matching.pack_groups(w, "repo", "w", [("train", 0.8), ("dev", 0.1), ("test", 0.1)], "1").join(w, "repo").groupBy("split").agg(F.count(F.lit(1)).alias("repos"), F.sum("w").alias("n"))
 
 
+def edit_unit_records(s, d):
+    """The hunks of every pool diff: file, place in the file, and added and deleted lines."""
+    parts = F.posexplode(F.slice(F.split(F.concat(F.lit("\n"), "git_diff"), "\ndiff --git "), 2, 1_000_000)).alias("file_no", "part")
+    x = _pool(s, d).where("git_diff is not null").select("row_id", parts)
+    h = x.select("row_id", "file_no", F.regexp_extract("part", r"^a/(\S+) b/", 1).alias("file_path"), F.posexplode(F.slice(F.split("part", "\n@@ "), 2, 1_000_000)).alias("hunk_no", "hunk"))
+    lines = F.split("hunk", "\n")
+    count = lambda sign: F.size(F.filter(F.slice(lines, 2, 1_000_000), lambda v: v.startswith(sign))).cast("bigint")
+    return h.select("row_id", "file_no", "file_path", "hunk_no", count("+").alias("added"), count("-").alias("deleted"))
+
+
+def exclusion_reasons(s, d):
+    """All reasons to leave a pool commit out; a commit may have several."""
+    sub, f = F.lower(F.coalesce("subject", F.lit(""))), ch.diff_counts(F.col("git_diff"))
+    rules = [("merge", sub.startswith("merge")), ("revert", sub.startswith("revert")), ("release", sub.rlike("^(release|bump|chore\\(release)")), ("style", F.coalesce(F.lower("type") == "style", F.lit(False))),
+             ("no_diff", f["n_files"] == 0), ("tiny", f["changed"] < 3), ("wide", f["n_files"] > 4), ("lock_file", F.coalesce(F.col("changed_files").rlike(r"\.lock|go\.sum|package-lock"), F.lit(False)))]
+    x = _pool(s, d).select("row_id", F.explode(F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules]), lambda v: v.isNotNull())).alias("reason"))
+    return x.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def deliverable(s, d):
+    """Examples ready for use by quality and message status, and the first gate that stops the others."""
+    x = joins.ladder(_few(s, d), [("not_verified", F.col("verified_multi_intent") != 1), ("not_eligible", F.col("fewshot_eligible") != 1), ("no_score", F.col("quality_score").isNull() | F.isnan("quality_score")), ("low_score", F.col("quality_score") < 0.5), ("no_repo", canonical_repo(F.col("repo")).isNull())], "ready")
+    return x.groupBy("reason", "intent_k").agg(F.count(F.lit(1)).alias("n"))
+
+
+def diff_duplicates(s, d):
+    """Pool diffs that are equal once index and hunk-position lines are dropped: groups by size."""
+    keep = F.filter(F.split("git_diff", "\n"), lambda v: ~(v.startswith("index ") | v.startswith("@@ ")))
+    g = _pool(s, d).where("git_diff is not null and git_diff != ''").groupBy(F.sha2(F.array_join(keep, "\n"), 256).alias("h")).agg(F.count(F.lit(1)).alias("copies"))
+    return g.groupBy("copies").agg(F.count(F.lit(1)).alias("groups"))
+
+
+def disjoint_flags(s, d):
+    """Candidates by whether their commit or repository occurs among the pool's sources."""
+    pool = _pool(s, d)
+    shas = pool.select(canonical_sha(F.col("sha")).alias("a")).where("a is not null").distinct()
+    repos = pool.select(canonical_repo(F.col("repo")).alias("b")).where("b is not null").distinct()
+    x = _cand(s, d).select(canonical_sha(F.col("sha")).alias("sha"), canonical_repo(F.col("repo")).alias("repo"))
+    x = x.join(shas, F.col("sha") == F.col("a"), "left").join(repos, F.col("repo") == F.col("b"), "left")
+    return x.groupBy(F.col("a").isNotNull().alias("sha_known"), F.col("b").isNotNull().alias("repo_known")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def seed_stability(s, d):
+    """Overlap of the quota samples of three seeds."""
+    x = None
+    for seed in ("1", "2", "3"):
+        y = selection.quota_sample(_pool(s, d).select("row_id", F.coalesce("language", F.lit("unknown")).alias("language")), "language", "row_id", 20, seed).select(F.lit(seed).alias("seed"), "row_id")
+        x = y if x is None else x.union(y)
+    return joins.overlap_matrix(x, "seed", "row_id")
+
+
+def background_rates(s, d):
+    """Units without a gold intent by derived role, clipped ones left out, with denominators."""
+    x = T(s, d, "edit_units").select("unit_id", "file_path", "gold_intent_id", "context_clipped").distinct().where("not coalesce(context_clipped, false)")
+    return x.groupBy(ch.path_role(F.col("file_path")).alias("role")).agg(F.count(F.lit(1)).alias("units"), F.sum(F.col("gold_intent_id").isNull().cast("bigint")).alias("background"), r6(F.avg(F.col("gold_intent_id").isNull().cast("double"))).alias("rate"))
+
+
+def sample_rates(s, d):
+    """Shares with a denominator of their own each, by source kind; null where nothing counts."""
+    x = _samples(s, d)
+    return x.groupBy("source_kind").agg(F.count("is_multi_intent").alias("n_multi"), r6(F.avg(F.col("is_multi_intent").cast("double"))).alias("multi_rate"), F.count("gold_count").alias("n_gold"), r6(F.avg((F.col("gold_count") == F.col("k")).cast("double"))).alias("k_agrees"), r6(F.avg(F.when(~F.isnan("sample_weight"), F.col("sample_weight")))).alias("mean_weight"))
+
+
+def intent_types(s, d):
+    """Samples of each intent type, and how many types they have."""
+    x = T(s, d, "attribution_samples").select("sample_id", F.array_sort(F.array_distinct("intent_types")).alias("t")).distinct()
+    return x.select(F.explode("t").alias("type"), F.size("t").alias("k")).groupBy("type").agg(F.count(F.lit(1)).alias("samples"), r6(F.avg("k")).alias("mean_types"))
+
+
+def type_signatures(s, d):
+    """Canonical signatures of the pair of types: sorted, without scope, joined by a plus sign."""
+    parts = F.array_sort(F.array_distinct(F.transform(F.split(F.lower("type_signature_raw"), r"[+|,/& ]+"), lambda v: F.regexp_replace(v, r"\(.*\)|!", ""))))
+    return _few(s, d).where("type_signature_raw is not null").groupBy(F.array_join(F.filter(parts, lambda v: v != ""), "+").alias("signature")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def masked_subjects(s, d):
+    """Subjects with identifiers, numbers and paths masked, and how many share a mask."""
+    m = F.regexp_replace(F.regexp_replace(F.regexp_replace("subject", r"[A-Za-z0-9]+(_[A-Za-z0-9]+)+", "ID"), r"[0-9]+", "N"), r"[A-Za-z]+(/[A-Za-z]+)+", "PATH")
+    return _log(s, d).where("subject is not null").groupBy(m.alias("mask")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def shard_plan(s, d):
+    """Contiguous shards of a hundred pool commits in order of their id: first, last and size."""
+    from difflode.operators.ranking import rank_within
+
+    r = rank_within(_pool(s, d).select(F.lit(0).alias("g"), "row_id"), ["g"], [F.col("row_id").asc()])
+    return r.groupBy(F.floor((F.col("rank") - 1) / 100).cast("bigint").alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"))
+
+
+def commit_dates(s, d):
+    """Commit dates by the form they are written in, and those in ISO form by year."""
+    c = F.trim("commit_date")
+    form = F.when(c.isNull(), "null").when(c == "", "blank").when(c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T"), "iso").when(c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), "day_first_iso").when(c.rlike("^[0-9]{9,}$"), "epoch").when(c.rlike("^[A-Z][a-z]{2},? "), "named").otherwise("other")
+    return _log(s, d).groupBy(form.alias("form"), F.when(form == "iso", F.substring(c, 1, 4)).alias("year")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def difficulty_levels(s, d):
+    """Difficulty of samples by intents, files and modules of their units."""
+    u = _units(s, d).where("sample_id is not null and file_path is not null").groupBy("sample_id").agg(F.count_distinct("file_path").alias("files"), F.count_distinct(ch.module_of(F.col("file_path"))).alias("modules"), F.count_distinct("gold_intent_id").alias("intents"))
+    points = (F.col("intents") > 1).cast("int") + (F.col("files") > 2).cast("int") + (F.col("modules") > 2).cast("int")
+    return u.groupBy(F.substring(F.lit("ABCD"), points + 1, F.lit(1)).alias("level")).agg(F.count(F.lit(1)).alias("samples"), r6(F.avg("files")).alias("mean_files"))
+
+
+def message_polarity(s, d):
+    """Polarity of the first verb of a subject: adding, removing, changing or none."""
+    w = F.lower(F.regexp_extract(F.regexp_replace("subject", r"^[a-z]+(\([^)]*\))?!?: |^\[[^]]*\] |^[a-z]+/[a-z]+: ", ""), r"^([A-Za-z]+)", 1))
+    p = F.when(w.isin("add", "create", "introduce", "enable", "load", "mount"), "adds").when(w.isin("remove", "delete", "drop", "stop", "disable", "drain", "expire", "flush"), "removes").when(w.isin("use", "let", "move", "merge", "split", "compact", "prune", "seal"), "changes").otherwise("none")
+    return _cand(s, d).where("subject is not null").groupBy(p.alias("polarity")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.when(~F.isnan("score"), F.col("score")))).alias("mean_score"))
+
+
 def stream_event_windows(s, d):
     """Hourly counts of event types by a stream with a watermark."""
     return windowed_counts(s, d)
