@@ -180,6 +180,15 @@ def oracle_sql() -> dict[str, str]:
  SELECT substr('ABCD', 1 + (i > 1)::INT + (f > 2)::INT + (m > 2)::INT, 1) AS level, count(*) AS samples, round(avg(f), 6) AS mean_files FROM u GROUP BY 1""",
         "message_polarity": f"""WITH x AS (SELECT lower(regexp_extract(regexp_replace(subject, '^[a-z]+(\\([^)]*\\))?!?: |^\\[[^]]*\\] |^[a-z]+/[a-z]+: ', ''), '^([A-Za-z]+)', 1)) AS w, score FROM {CAND} WHERE subject IS NOT NULL)
  SELECT CASE WHEN w IN ('add', 'create', 'introduce', 'enable', 'load', 'mount') THEN 'adds' WHEN w IN ('remove', 'delete', 'drop', 'stop', 'disable', 'drain', 'expire', 'flush') THEN 'removes' WHEN w IN ('use', 'let', 'move', 'merge', 'split', 'compact', 'prune', 'seal') THEN 'changes' ELSE 'none' END AS polarity, count(*) AS n, round(avg({nosc.format(c='score')}), 6) AS mean_score FROM x GROUP BY 1""",
+        "pair_precheck": f"""WITH x AS (SELECT {repo('repo')} AS repo, row_id, type, list_distinct(regexp_extract_all(git_diff, 'diff --git a/(\\S+) b/', 1)) AS files, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(subject, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')) AS ws FROM {POOL} WHERE git_diff IS NOT NULL),
+ y AS (SELECT *, list_distinct(list_transform(files, lambda f: CASE WHEN contains(f, '/') THEN split_part(f, '/', 1) ELSE '.' END)) AS ms, row_number() OVER (PARTITION BY repo ORDER BY sha256('19|' || row_id), row_id) AS i FROM x WHERE repo IS NOT NULL),
+ z AS (SELECT p.row_id AS pa, q.row_id AS pb, p.type AS ta, q.type AS tb, list_has_any(p.files, q.files) AS meet, len(list_intersect(p.ws, q.ws)) AS wi, len(p.ws) + len(q.ws) AS wn, len(list_intersect(p.ms, q.ms)) AS mi, len(p.ms) + len(q.ms) AS mn, len(p.files) AS na, len(q.files) AS nb FROM y p JOIN y q ON p.repo = q.repo AND q.i - p.i BETWEEN 1 AND 2),
+ v AS (SELECT *, CASE WHEN wn - wi > 0 THEN wi / (wn - wi) ELSE 1 END AS w, CASE WHEN mn - mi > 0 THEN mi / (mn - mi) ELSE 1 END AS m, CASE WHEN greatest(na, nb) > 0 THEN least(na, nb) / greatest(na, nb) ELSE 0 END AS bal FROM z),
+ c AS (SELECT *, CASE WHEN meet THEN 'shared_file' WHEN ta IS NOT DISTINCT FROM tb THEN 'same_type' WHEN w >= 0.8 THEN 'same_words' ELSE 'none' END AS first_conflict FROM v)
+ SELECT least(pa, pb) AS a, greatest(pa, pb) AS b, first_conflict, round(CASE WHEN first_conflict <> 'none' OR (1 - w) * (1 - 0.5 * m) * bal <= 0 THEN 0 ELSE pow((1 - w) * (1 - 0.5 * m) * bal, 1.0 / 3) END, 6) AS weight FROM c""",
+        "gate_report": f"""WITH a AS (SELECT avg((verified_multi_intent = 1)::INT) v, avg((fewshot_eligible = 1)::INT) e, avg({nosc.format(c='quality_score')}) m, avg(({repo('repo')} IS NULL)::INT) r, avg((quality_score IS NULL)::INT) s FROM {FEW})
+ SELECT 'verified' AS gate, round(v, 6) AS observed, 0.5::DOUBLE AS threshold, v >= 0.5 AS passes FROM a UNION ALL SELECT 'eligible', round(e, 6), 0.5, e >= 0.5 FROM a UNION ALL SELECT 'mean_score', round(m, 6), 0.4, m >= 0.4 FROM a UNION ALL SELECT 'no_repo', round(r, 6), 0.05, r <= 0.05 FROM a UNION ALL SELECT 'no_score', round(s, 6), 0.05, s <= 0.05 FROM a""",
+        "stream_first_deliveries": "SELECT sha, any_value(subject) AS subject FROM candidates WHERE sha IS NOT NULL GROUP BY sha",
         "tfidf_neighbours": f"""WITH f AS (SELECT example_id AS id, {repo('repo')} AS repo, {split('split')} AS split, list_filter(regexp_split_to_array(lower(subject), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '') AS ws FROM {FEW}),
  b AS (SELECT id, repo, split, w, count(*)::DOUBLE AS tf FROM (SELECT id, repo, split, unnest(ws) AS w FROM f) GROUP BY ALL), n AS (SELECT count(DISTINCT id) AS n FROM f WHERE split = 'train'),
  i AS (SELECT w, ln((1 + (SELECT n FROM n)) / (1 + count(*))::DOUBLE) AS idf FROM b WHERE split = 'train' GROUP BY w), x AS (SELECT b.*, tf * idf + 1 AS v FROM b JOIN i USING (w) WHERE split IN ('train', 'dev', 'test')), m AS (SELECT id, sqrt(sum(v * v)) AS norm FROM x GROUP BY id),

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from difflode.functions import changes as ch
 from difflode.functions import scores as sc
 from difflode.functions.repo import canonical_repo, canonical_sha, canonical_split
-from difflode.operators import audit, joins, matching, retrieval, selection, stats
+from difflode.operators import audit, joins, matching, pairing, retrieval, selection, stats
 from difflode.operators import metrics as mt
 from difflode.oracle import oracle_sql  # noqa: F401  (part of the interface)
 from difflode.sources.tables import table as T
+from difflode.functions.words import words
+from difflode.streaming.ingest import first_deliveries
 from difflode.streaming.windows import windowed_counts
 
 r6 = mt.r6
@@ -503,6 +505,31 @@ def message_polarity(s, d):
     return _cand(s, d).where("subject is not null").groupBy(p.alias("polarity")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.when(~F.isnan("score"), F.col("score")))).alias("mean_score"))
 
 
+def pair_precheck(s, d):
+    """First conflict and weight of commits paired with their next two in hash order within a repository."""
+    files = F.array_distinct(F.regexp_extract_all(F.col("git_diff"), F.lit(r"diff --git a/(\S+) b/"), 1))
+    x = _pool(s, d).where("git_diff is not null").select(canonical_repo(F.col("repo")).alias("repo"), "row_id", "type", files.alias("files"), F.array_distinct(words(F.col("subject"))).alias("words"))
+    x = x.withColumn("modules", F.array_distinct(F.transform("files", lambda f: F.when(f.contains("/"), F.substring_index(f, "/", 1)).otherwise("."))))
+    p = pairing.pair_precheck(selection.neighbour_pairs(x, "repo", "row_id", 2, "19", ["type", "files", "modules", "words"]))
+    return p.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"), "first_conflict", "weight")
+
+
+def gate_report(s, d):
+    """Gates on the example pool: observed rate, threshold and whether it passes."""
+    x = _few(s, d)
+    ok = ~F.isnan("quality_score")
+    a = x.agg(F.avg((F.col("verified_multi_intent") == 1).cast("double")).alias("verified"), F.avg((F.col("fewshot_eligible") == 1).cast("double")).alias("eligible"), F.avg(F.when(ok, F.col("quality_score"))).alias("mean_score"),
+              F.avg(canonical_repo(F.col("repo")).isNull().cast("double")).alias("no_repo"), F.avg(F.col("quality_score").isNull().cast("double")).alias("no_score"))
+    gates = [("verified", "min", 0.5), ("eligible", "min", 0.5), ("mean_score", "min", 0.4), ("no_repo", "max", 0.05), ("no_score", "max", 0.05)]
+    rows = F.array(*[F.struct(F.lit(n).alias("gate"), F.round(F.col(n), 6).alias("observed"), F.lit(t).alias("threshold"), (F.col(n) >= t if k == "min" else F.col(n) <= t).alias("passes")) for n, k, t in gates])
+    return a.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def stream_first_deliveries(s, d):
+    """Every candidate once, by a stream that keeps the keys it has seen."""
+    return first_deliveries(s, f"{d}/candidates.parquet", "sha", ["subject"])
+
+
 def stream_event_windows(s, d):
     """Hourly counts of event types by a stream with a watermark."""
     return windowed_counts(s, d)
@@ -510,5 +537,5 @@ def stream_event_windows(s, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every public function above by name."""
-    skip = {"queries", "oracle_sql", "canonical_repo", "canonical_sha", "canonical_split", "windowed_counts", "r6", "T"}
+    skip = {"queries", "oracle_sql", "canonical_repo", "canonical_sha", "canonical_split", "windowed_counts", "first_deliveries", "words", "r6", "T"}
     return {k: v for k, v in globals().items() if callable(v) and not k.startswith("_") and k not in skip and getattr(v, "__module__", "") == __name__}
