@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from difflode.operators.joins import first_wins  # noqa: F401  (the batch counterpart)
 from difflode.plans.lineage import ensure_checkpoint_dir
 
 
