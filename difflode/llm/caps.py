@@ -43,7 +43,7 @@ def cap_records(records: DataFrame, limits: DataFrame, max_share: float | None =
 
     ``records`` has ``pool, record_id, contributor, score``; ``limits`` has ``pool,
     max_rows``. A record is a distinct id of its pool (of repeated deliveries the best
-    score and the smallest contributor count). Within pool and contributor the higher
+    score and the smallest contributor name). Within pool and contributor the higher
     score ranks first, null and NaN last, then the smaller id; records ranked beyond
     ``max_rows`` are dropped, and with ``max_share`` also those beyond the water level of
     the whole table. Records without a contributor are never dropped, nor are those of a
