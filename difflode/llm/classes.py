@@ -67,7 +67,7 @@ def bucketed(classes: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], tupl
     return rows.select(F.col("key").bitwiseXOR(F.col("grp")).alias("key"), "cls", "s0", "s1", *keep[1:])
 
 
-def near(a: str, b: str, radius: int) -> Column:
+def near(a: str, b: str, radius: int | Column) -> Column:
     """Whether the sketches of two aliased sides differ in at most ``radius`` bits."""
     return F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))) + F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) <= radius
 

@@ -11,11 +11,9 @@ from difflode.operators.components import connected_components
 from difflode.plans.lineage import cut
 
 #: Bands and rows of the signature. A pair of similarity s shares a bucket with the chance
-#: 1 - (1 - s^5)^25: 0.990 at 0.70, 0.9988 at 0.75, 0.99995 at 0.80, and more above.
+#: 1 - (1 - s^5)^25: 0.990 at 0.70, 0.9988 at 0.75, 0.99995 at 0.80, and more above. No later step loses a pair.
 BANDS, ROWS = 25, 5
 REGISTERS = 128
-#: Bits of 128 that may differ: a pair of similarity 0.70 differs in 19 and stays within with a chance of 0.996, one of 0.75 with 0.9998.
-RADIUS = 30
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -61,6 +59,15 @@ def prob_minhash(offsets: np.ndarray, elements: np.ndarray, m: int = REGISTERS,
     return np.where(held == EMPTY, EMPTY, held & np.uint64(0xFFFFFFFF)).reshape(n, m)
 
 
+def parity_bits(offsets: np.ndarray, elements: np.ndarray) -> np.ndarray:
+    """128 bits of each set: how often, modulo two, its elements fall on a bit. Two sets differ in at least as many elements as in bits."""
+    n = len(offsets) - 1
+    doc = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
+    at = mix(elements.astype(np.int64).view(np.uint64) + salt(11)) & np.uint64(127)
+    odd = np.bincount(doc * 128 + at.astype(np.int64), minlength=n * 128) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, 128), axis=1).view(np.uint64)
+
+
 def _kernel(offsets: np.ndarray, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sig = mix(prob_minhash(offsets, elements))
     n = len(sig)
@@ -70,23 +77,25 @@ def _kernel(offsets: np.ndarray, elements: np.ndarray) -> tuple[np.ndarray, np.n
         for r in range(ROWS):
             h = mix(h * GOLD + sig[:, b * ROWS + r])
         keys[:, b] = h
-    bits = (sig & np.uint64(1)).astype(np.uint8)
-    return keys, np.packbits(bits, axis=1).view(np.uint64)
+    return keys, parity_bits(offsets, elements)
 
 
 def similar_classes(docs: DataFrame, group: str, text: str, min_words: int = 8, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """``(members, pairs)``: the documents with their class, and the verified pairs of classes.
 
-    Signatures are cut into bands; classes of a bucket are joined, a pair passes only if
-    128 one-bit registers nearly agree, and is then verified on the word sets. Copies count
-    once (by class), so a text that fills a third of the rows adds one row to its buckets.
+    Signatures are cut into bands and classes of a bucket are joined. A pair passes only if
+    its sizes and the bits in which the sets differ allow the threshold, which holds for
+    every pair that reaches it, and is then verified on the word sets. Copies count once
+    (by class), so a text that fills a third of the rows adds one row to its buckets.
     """
     d = with_classes(docs, group, text, min_words)
     classes = class_table(d, group)
-    banded = bucketed(classes, _kernel)
+    banded = bucketed(classes.withColumn("size", F.size("words")), _kernel, keep=("size",))
+    sizes = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * F.lit(threshold - 1e-6)
+    differ = (F.col("a.size") + F.col("b.size")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
     cand = (
         banded.alias("a").join(banded.alias("b"), F.col("a.key") == F.col("b.key"))
-        .where((F.col("a.cls") < F.col("b.cls")) & near("a", "b", RADIUS))
+        .where((F.col("a.cls") < F.col("b.cls")) & sizes & near("a", "b", differ))
         .select(F.col("a.cls").alias("c1"), F.col("b.cls").alias("c2")).distinct()
     )
     return d.drop("words"), verified(cand, classes, threshold)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from difflode.functions.words import word_set
 from difflode.llm import caps, handwritten, nearcopies, overlap, packing, secrets, splits, subjects, tokens
 from difflode.llm.classes import salt
 
@@ -118,6 +119,21 @@ def test_near_copies_against_brute_force(spark):
     assert {p for p in want if similar(own[p[0], p[1]], own[p[0], p[2]]) >= 0.8} <= got
 
 
+def test_near_copies_finds_every_pair_of_a_bucket(spark):
+    rows, union = [], {}
+    for k, (shared, of) in enumerate([(7, 10), (8, 11), (14, 20), (70, 100)] * 150):
+        own = [f"x{k}y{i}" for i in range(of)]
+        cut = shared + (of - shared) // 2
+        rows += [("f", 2 * k, " ".join(own[:cut])), ("f", 2 * k + 1, " ".join(own[:shared] + own[cut:]))]
+        union[k] = shared / of
+    df = spark.createDataFrame(rows, "field string, id long, text string")
+    sets = [r[0] for r in df.orderBy("id").select(word_set(F.col("text"))).collect()]
+    keys, _ = nearcopies._kernel(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), np.concatenate([np.array(s, np.int32) for s in sets]))
+    want = {(2 * k, 2 * k + 1) for k in union if (keys[2 * k] == keys[2 * k + 1]).any()}
+    assert len(want) >= 0.98 * len(union)
+    assert {(r["id_a"], r["id_b"]) for r in nearcopies.near_copies(df, "field", "id", "text").collect()} == want
+
+
 def test_near_groups(spark):
     t = " ".join(VOCAB[:30])
     df = spark.createDataFrame([("f", 1, t), ("f", 2, t.upper()), ("f", 3, t + " extra"), ("f", 4, " ".join(VOCAB[100:140]))], "field string, id long, text string")
