@@ -48,8 +48,19 @@ ASSIGN = re.compile(r"(?:^[+\-]?|[\s,{(\[;|<$?&:/.\"'])[\"']?([A-Za-z_][\w.-]*)[
 QUOTED = re.compile(r"[rbuf]{0,2}([\"'`])((?:\\.|(?!\1).)*)\1")
 CONCAT = re.compile(r"\s*(?:\+|\.|\|\|)?\s*[rbuf]{0,2}([\"'`])((?:\\.|(?!\1).)*)\1")
 BARE = re.compile(r"[^\s,;\"'`]+")
+#: Between the letters of a key's word, which ``holds_credential`` joins over signs.
+_S = r"[^\sA-Za-z0-9]*"
+#: What every line must hold that a detector can report; a line without it is not scanned. Each part names its detectors.
 CANDIDATE = re.compile(
-    r"(?i)pass|pwd|secret|token|key|cred|auth|log ?in|sign ?in|://[^\s/]*@|-----begin|bearer|kennwort|akia|asia|\b[srp]k_|\bsk-|xox.-|gh[oprsu]_|glpat|npm_|dop_v1|\bsg\.|aiza|\bhf_|shp.._|pypi-|ya29|eyj| -u |--user"
+    "(?i)"
+    # KNOWN, with its condition on what stands before
+    r"(?<![A-Za-z0-9_])(?:[srp]k_|sk-|sg\.|hf_)|xox.-|gh[oprsu]_|github_pat_|gl(?:pat|rt|dt|ptt|soat)-|npm_|dop_v1|aiza|shp.._|pypi-|ya29|eyj|"
+    # ACCESS_ID, PEM, USERINFO, DASH_U and DASH_P
+    r"akia|asia|-----begin|://[^\s/]*@|\s-u|-u[ =]|--user|"
+    # LOGIN, PROSE, NETRC, HEADER
+    r"log(?:ging|ged)?[ _]?[io]n|sign(?:ing)?[ _]?in|connect\b|auth|"
+    # words of STRONG and KEY_OF: FLAG, CONNECTION, XML, ADD, ASSIGN and the rest of LOGIN and PROSE
+    + "|".join(_S.join(w) for w in ("pass", "pw", "secret", "token", "key", "cred", "bearer", "kennwort"))
 )
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
