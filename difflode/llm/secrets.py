@@ -209,7 +209,7 @@ def scan(text: str, words: Segmenter) -> list[tuple[int, int, int]]:
         if pem:
             body = [(i, pem.end(), len(line.rstrip("\r")))] if re.match(r"(?:\\n|\s)*[A-Za-z0-9+/=]{16,}", line[pem.end() :]) else []
             j, closed = i + 1, bool(PEM_END.search(line, pem.end()))
-            while not closed and j < len(lines) and j - i < 400:
+            while not closed and j < len(lines):
                 bare = re.sub(r"^[+\- ]?[\s\"'#*/|>]*", "", lines[j])
                 if PEM_END.search(bare):
                     closed = True
