@@ -24,6 +24,8 @@ ODDS, SHARE = 0.8, 0.30
 ROUNDS = 3
 #: Documents folded at a time by a task.
 BATCH = 1_000
+#: Labelled documents that the curve of all areas of a language counts for at each number of sentences, in the curve of one area.
+POOLED = 10.0
 #: Deviations of the bounds (Wilson) for features and for contexts.
 Z, Z_CONTEXT = 2.58, 1.64
 
@@ -151,8 +153,8 @@ def _features(tokens_of: DataFrame, lexicon: dict[str, int], passing: set[str],
                     if posterior is None:
                         r = np.array(label, dtype=np.float64)
                     else:
-                        s = np.minimum(counts(doc, places, lexicon, passing, n), posterior.shape[1] - 1)
-                        r = posterior[language(doc)][s]
+                        s = np.minimum(counts(doc, places, lexicon, passing, n), posterior.shape[2] - 1)
+                        r = posterior[language(doc), np.arange(n), s]
                         if label is not None:
                             r = (r + np.array(label)) / 2
                     v = np.append(r, (1.0, 0.0))
@@ -196,7 +198,10 @@ def _lexicon(features: DataFrame, n: int) -> dict[str, int]:
 
 
 def _labelled(tokens_of: DataFrame, lexicon: dict[str, int], passing: set[str], common: dict[str, bool], n: int) -> tuple[set[str], np.ndarray]:
-    """From the labelled documents: the contexts of passing mentions, and the calibrated posterior by language and number of sentences."""
+    """From the labelled documents: the contexts of passing mentions, and the calibrated posterior by language, area and number of sentences.
+
+    The curve of an area is drawn to that of all areas of its language where labels are few.
+    """
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c: dict[str, list[float]] = {}
@@ -219,20 +224,22 @@ def _labelled(tokens_of: DataFrame, lexicon: dict[str, int], passing: set[str],
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = np.zeros((2, GROUPS, 10))
+            t = np.zeros((2, GROUPS, n, 10))
             for doc, label in zip(batch.column("toks").to_pylist(), batch.column("label").to_pylist()):
                 s, g = np.minimum(counts(doc, [list(spans(w, common)) for w in doc], lexicon, found, n), 9), language(doc)
-                np.add.at(t[0, g], s, 1.0)
-                np.add.at(t[1, g], s, np.array(label))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(10 * GROUPS, dtype=np.int32)), pa.array(t[0].reshape(-1)), pa.array(t[1].reshape(-1))], names=["s", "n", "y"])
+                t[0, g, np.arange(n), s] += 1.0
+                t[1, g, np.arange(n), s] += np.array(label)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(10 * GROUPS * n, dtype=np.int32)), pa.array(t[0].reshape(-1)), pa.array(t[1].reshape(-1))], names=["s", "n", "y"])
 
     rows = own.mapInArrow(tally, "s int, n double, y double").groupBy("s").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect()
-    k, y = np.zeros(10 * GROUPS), np.zeros(10 * GROUPS)
+    k, y = np.zeros(10 * GROUPS * n), np.zeros(10 * GROUPS * n)
     for r in rows:
         k[r["s"]], y[r["s"]] = r["n"], r["y"]
-    k, y = k.reshape(GROUPS, 10), y.reshape(GROUPS, 10)
-    prior = (y.sum(axis=0) + 0.1) / (k.sum(axis=0) + 1)
-    return found, np.array([isotonic((y[g] + prior) / (k[g] + 1), k[g] + 1e-6) for g in range(GROUPS)])
+    k, y = k.reshape(GROUPS, n, 10), y.reshape(GROUPS, n, 10)
+    kg, yg = k.sum(axis=1), y.sum(axis=1)
+    prior = (yg.sum(axis=0) + 0.1) / (kg.sum(axis=0) + 1)
+    pooled = [isotonic((yg[g] + prior) / (kg[g] + 1), kg[g] + 1e-6) for g in range(GROUPS)]
+    return found, np.array([[isotonic((y[g, a] + POOLED * pooled[g]) / (k[g, a] + POOLED), k[g, a] + POOLED) for a in range(n)] for g in range(GROUPS)])
 
 
 def subject_areas(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
@@ -241,7 +248,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataF
     Features of labelled documents are weighed by complement naive Bayes; expectation
     (sentence counts and calibrated posteriors of all documents) and maximisation (weights
     from all documents) then alternate. Each area has a posterior of its own, so a document
-    may have none or several. Contexts that go with mentions in documents without the label
+    may have none or several; the rows themselves follow from the sentence counts. Contexts that go with mentions in documents without the label
     mark a mention as passing. All statistics cover all documents; the model itself is
     bounded by ``MODEL_FEATURES``. Labels by several annotators are averaged, repeated ones
     count once, unknown areas are ignored. Null, empty and blank texts have no area;
@@ -295,7 +302,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataF
                     ids.append(i)
                     which.append(names[a])
                     many.append(int(s[a]))
-                    post.append(float(posterior[language(doc)][min(s[a], posterior.shape[1] - 1)]))
+                    post.append(float(posterior[language(doc), a, min(s[a], posterior.shape[2] - 1)]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(which, pa.string()), pa.array(many, pa.int32()), pa.array(post, pa.float64())], names=["doc_id", "area", "sentences", "posterior"])
 
     out = toks.select("doc_id", "toks").mapInArrow(decide, f"doc_id {kind}, area string, sentences int, posterior double")

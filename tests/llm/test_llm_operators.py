@@ -336,6 +336,10 @@ def test_packing_splits_only_what_is_too_long(spark):
 
 # --- subjects ------------------------------------------------------------------------
 
+VOCAB_A = "lunar solar stellar radio gamma polar nova comet quasar pulsar zenith corona".split()
+VOCAB_F = "wheat barley maize clover turnip fodder orchard pasture tillage silage manure harvest".split()
+
+
 def test_subjects_on_held_out_documents(spark):
     rng = random.Random(12)
     # as many terms as a subject has and as many documents without one, so that no term is a common word
@@ -370,3 +374,22 @@ def test_subjects_on_held_out_documents(spark):
     assert subjects.subject_areas(d, lab.where("false"), areas).count() == 0
     share = {r["area"]: r["documents"] for r in subjects.composition(found, d, areas).collect()}
     assert share["astro"] == sum("astro" in v for v in got.values())
+
+
+def test_subjects_calibrate_each_area_apart(spark):
+    rng = random.Random(13)
+    terms = {"astro": [f"{w} scope" for w in VOCAB_A], "farm": [f"{w} field" for w in VOCAB_F]}
+    docs, labels = [], []
+    for i in range(900):
+        a = ("astro", "farm", None)[i % 3]
+        s = ["the reader was late", "no cache should wait", "move the pipe next to the queue"]
+        if a:
+            s += [f"show the {rng.choice(terms[a])} beside the pipe" for _ in range(4)]
+        docs.append((i, ". ".join(s) + "."))
+        # documents of farming are often labelled as without an area
+        labels.append((i, a if a == "astro" or a and rng.random() < 0.7 else "none", "ann"))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    found = subjects.subject_areas(d, spark.createDataFrame(labels, "doc_id long, area string, annotator_id string"), spark.createDataFrame([("astro",), ("farm",)], "area string"))
+    got = {r["area"]: (r["n"], r["p"]) for r in found.groupBy("area").agg(F.count("*").alias("n"), F.avg("posterior").alias("p")).collect()}
+    assert got["astro"][0] == got["farm"][0] == 300
+    assert got["astro"][1] > 0.95 and abs(got["farm"][1] - 0.7) < 0.08
