@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from itertools import combinations
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +21,8 @@ from difflode.plans.lineage import cut
 SEGMENTS, BITS = 80, 14
 #: Bits of 128 that may differ: 25 at a similarity of 0.7, and 3.5 deviations.
 RADIUS = 41
+#: Pairs with at most so many shared words are found by those words, as long as no set has more subsets than this.
+SHARED, SUBSETS = 8, 200
 LANES = -(-SEGMENTS * BITS // 64) + 2
 
 
@@ -72,11 +79,50 @@ def _kernel(offsets: np.ndarray, elements: np.ndarray) -> tuple[np.ndarray, np.n
     return keys, code[:, LANES - 2 :]
 
 
+def subset_sizes(threshold: float) -> dict[int, range]:
+    """For sets of each size, how many words they may share with one that reaches the threshold, as far as all such pairs are covered.
+
+    A set of n words shares at least ``threshold * n``. The numbers go up to ``SHARED``, or
+    to what ``SUBSETS`` allows at low thresholds.
+    """
+    for top in range(SHARED, 0, -1):
+        least = {n: max(1, math.ceil(threshold * n - 1e-9)) for n in range(1, int(top / max(threshold, 0.1)) + 2)}
+        sizes = {n: range(k, min(n, top) + 1) for n, k in least.items() if k <= top}
+        if all(sum(math.comb(n, k) for k in ks) <= SUBSETS for n, ks in sizes.items()):
+            return sizes
+    return {}
+
+
+def subset_rows(classes: DataFrame, threshold: float) -> DataFrame:
+    """``key, cls, is_train, is_eval``: a row for each set of words that a small class may share with another; the group is part of the key."""
+    sizes = subset_sizes(threshold)
+    picks = {n: [np.array(list(combinations(range(n), k))) for k in ks] for n, ks in sizes.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            offsets = np.asarray(lists.offsets, dtype=np.int64)
+            flat = mix(np.asarray(lists.values).astype(np.int64).view(np.uint64) + salt(13))
+            size = np.diff(offsets)
+            for n in np.unique(size):
+                at = np.flatnonzero(size == n)
+                words = flat[offsets[at][:, None] + np.arange(n)]
+                keys = np.concatenate([mix(words[:, c].sum(axis=2, dtype=np.uint64) + salt(c.shape[1])) for c in picks[int(n)]], axis=1)
+                part = batch.take(pa.array(at))
+                arr = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.view(np.int64).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("cls", "grp", "is_train", "is_eval")], arr], names=["cls", "grp", "is_train", "is_eval", "keys"])
+
+    small = classes.where(F.size("words").isin(list(sizes))).select("cls", "grp", "is_train", "is_eval", "words")
+    rows = small.mapInArrow(run, "cls long, grp long, is_train boolean, is_eval boolean, keys array<long>").withColumn("key", F.explode("keys"))
+    return rows.select(F.col("key").bitwiseXOR(F.col("grp")).alias("key"), "cls", "is_train", "is_eval")
+
+
 def similar_across(docs: DataFrame, group: str, key: str, text: str, split: str = "split", threshold: float = 0.7) -> DataFrame:
     """``group, id_train, id_eval`` for all similar texts of which one is in training and one in an evaluation split.
 
     Fingerprints are cut into segments; a training and an evaluation class that agree in a
-    segment and differ in few bits of another 128 are verified on their words. ``split``
+    segment and differ in few bits of another 128 are verified on their words. Pairs with
+    few shared words, whose fingerprints say little, are all found by those words. ``split``
     holds train, dev and test; other values and null take no part, nor do texts without a
     word. Classes fold copies, so repeated texts never multiply in the buckets.
     """
@@ -85,12 +131,19 @@ def similar_across(docs: DataFrame, group: str, key: str, text: str, split: str
     )
     d = with_classes(d, group, text)
     classes = class_table(d, group, ("is_train", "is_eval"))
-    rows = bucketed(classes, _kernel, keep=("is_train", "is_eval"))
+    # a class of so few words has no pair that its shared words do not find
+    covered = max((ks.stop - 1 for ks in subset_sizes(threshold).values()), default=0)
+    rows = bucketed(classes.where(F.size("words") > covered), _kernel, keep=("is_train", "is_eval"))
     cand = (
         rows.where("is_eval").alias("a").join(rows.where("is_train").alias("b"), F.col("a.key") == F.col("b.key"))
         .where((F.col("a.cls") != F.col("b.cls")) & near("a", "b", RADIUS))
-        .select(F.col("a.cls").alias("c1"), F.col("b.cls").alias("c2")).distinct()
+        .select(F.col("a.cls").alias("c1"), F.col("b.cls").alias("c2"))
     )
+    few = subset_rows(classes, threshold)
+    cand = cand.union(
+        few.where("is_eval").alias("a").join(few.where("is_train").alias("b"), F.col("a.key") == F.col("b.key"))
+        .where(F.col("a.cls") != F.col("b.cls")).select(F.col("a.cls").alias("c1"), F.col("b.cls").alias("c2"))
+    ).distinct()
     across = (F.col("a.is_eval") & F.col("b.is_train")) | (F.col("b.is_eval") & F.col("a.is_train"))
     pairs = verified(cand, classes, threshold, across).select("c1", "c2")
     m = cut(d.select("cls", group, key, "is_train").distinct())

@@ -164,6 +164,20 @@ def test_overlaps_against_brute_force(spark):
     assert overlap.overlap_report(pairs, samples, few).agg(F.sum("pairs")).first()[0] == len(got)
 
 
+def test_overlaps_of_short_texts_are_all_found(spark):
+    samples, examples, want = [], [], set()
+    for k, (n, shared, of) in enumerate([(4, 4, 5), (3, 3, 4), (10, 8, 11), (9, 7, 10), (1, 1, 1), (6, 5, 7)] * 150):
+        own = [f"x{k}y{i}" for i in range(of)]
+        examples += [(f"t{k}", "o/r", f"{2 * k:040x}", "train", " ".join(own[:n])), (f"e{k}", "o/q", f"{2 * k + 1:040x}", "test", " ".join(own[:shared] + own[n:]))]
+        want.add(("fewshot_pool", f"t{k}", f"e{k}"))
+    few = spark.createDataFrame(examples, "example_id string, repo string, sha string, split string, subject string")
+    none = spark.createDataFrame(samples, "sample_id string, repo string, split string, diff_text string")
+    assert {tuple(r) for r in overlap.split_overlaps(none, few).collect()} == want
+    for n, ks in overlap.subset_sizes(0.7).items():
+        assert ks.stop == min(n, overlap.SHARED) + 1
+    assert max(overlap.subset_sizes(0.7)) == 11
+
+
 # --- hand-written source -------------------------------------------------------
 
 def test_globs_and_attributes(spark):
