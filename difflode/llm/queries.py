@@ -82,10 +82,20 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return units.union(pool.select(F.lit("commit_pool"), F.col("row_id").cast("string"), "file_path", "repo", handwritten.section_of(F.col("parts"), F.col("file_path"))))
 
 
+def _attributes(spark: SparkSession, d: str) -> DataFrame:
+    """``repo, path, text`` of the attribute files: edit units of such a file, and its sections in the diffs of the pool."""
+    def kept(patch):
+        return F.array_join(F.transform(F.filter(F.split(patch, "\n"), lambda x: x.rlike("^[+ ]")), lambda x: F.substring(x, 2, 1_000_000)), "\n")
+
+    name = r"(?:^|/)\.gitattributes$"
+    units = table(spark, d, "edit_units").where(F.col("file_path").rlike(name)).select("repo", F.col("file_path").alias("path"), kept(F.col("patch_text")).alias("text"))
+    pool = table(spark, d, "commit_pool").where(F.col("git_diff").contains(".gitattributes")).select("repo", F.explode(handwritten.sections(F.col("git_diff"))).alias("part"))
+    pool = pool.select("repo", F.regexp_extract(F.substring_index("part", "\n", 1), r" \"?b/([^\"\r]+)\"?\r?$", 1).alias("path"), kept(F.col("part")).alias("text"))
+    return units.union(pool.where(F.col("path").rlike(name)))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    added = F.array_join(F.transform(F.filter(F.split(F.col("patch_text"), "\n"), lambda x: x.rlike("^[+ ]")), lambda x: F.substring(x, 2, 1_000_000)), "\n")
-    attributes = table(spark, d, "edit_units").where(F.col("file_path").rlike(r"(?:^|/)\.gitattributes$")).select("repo", F.col("file_path").alias("path"), added.alias("text"))
-    return handwritten.not_handwritten(_files(spark, d), attributes)
+    return handwritten.not_handwritten(_files(spark, d), _attributes(spark, d))
 
 
 def _patches(spark: SparkSession, d: str) -> DataFrame:

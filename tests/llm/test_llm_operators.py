@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from difflode.functions.words import word_set
-from difflode.llm import caps, handwritten, nearcopies, overlap, packing, secrets, splits, subjects, tokens
+from difflode.llm import caps, handwritten, nearcopies, overlap, packing, queries, secrets, splits, subjects, tokens
 from difflode.llm.classes import salt
 
 VOCAB = [f"w{i}" for i in range(400)]
@@ -206,6 +206,17 @@ def test_listed_files_and_sections(spark):
     assert spark.range(1).select(handwritten.section_of(handwritten.sections(F.lit(d)), F.lit("y"))).first()[0] == "a/y b/y\n+2"
 
 
+def test_attribute_files_in_pool_diffs(spark, tmp_path):
+    attr = "diff --git a/.gitattributes b/.gitattributes\n--- a/.gitattributes\n+++ b/.gitattributes\n@@ -1 +1,2 @@\n-*.d linguist-generated\n+*.c linguist-generated\n keep/*.min.js -linguist-generated\n"
+    deep = "diff --git a/sub/.gitattributes b/sub/.gitattributes\nnew file mode 100644\n--- /dev/null\n+++ b/sub/.gitattributes\n@@ -0,0 +1 @@\n+x.e linguist-vendored\n"
+    code = "diff --git a/a.c b/a.c\n--- a/a.c\n+++ b/a.c\n@@ -1 +1 @@\n+x = 1\n"
+    pool = [(1, "O/R", attr + code + deep, "a.c|a.d|sub/x.e|x.e|keep/z.min.js"), (2, "o/q", code, "a.c|keep/z.min.js"), (3, "o/q", None, None)]
+    spark.createDataFrame(pool, "row_id long, repo string, git_diff string, changed_files string").write.parquet(f"{tmp_path}/commit_pool.parquet")
+    spark.createDataFrame([("u1", "b.c", "o/r", "+x = 1"), ("u2", "b.c", "o/q", "+x = 1")], "unit_id string, file_path string, repo string, patch_text string").write.parquet(f"{tmp_path}/edit_units.parquet")
+    got = {tuple(r) for r in queries.p3_found(spark, str(tmp_path)).collect()}
+    assert got == {("commit_pool", "1", "a.c"), ("commit_pool", "1", "sub/x.e"), ("edit_units", "u1", "b.c"), ("commit_pool", "2", "keep/z.min.js")}
+
+
 # --- caps ----------------------------------------------------------------------
 
 def test_water_level():
