@@ -359,6 +359,14 @@ def test_packing_splits_only_what_is_too_long(spark):
     assert packing.pack(packing.split_items(sizes.where("false"), plans)).count() == 0
 
 
+def test_packing_keeps_a_loss_limit(spark):
+    sizes = spark.createDataFrame([("t", i, 100, 90) for i in range(40)], "tokenizer string, doc_id long, tokens long, loss long")
+    items = packing.split_items(sizes, spark.createDataFrame([(1, "t", 1000)], "plan_id int, tokenizer string, capacity int"))
+    assert packing.pack(items).select("container_id").distinct().count() == 4
+    tight = packing.pack(items, loss_share=0.5).toPandas()
+    assert len(tight) == 40 and tight.groupby("container_id").size().max() == 5 and tight.container_id.nunique() == 8
+
+
 # --- subjects ------------------------------------------------------------------------
 
 VOCAB_A = "lunar solar stellar radio gamma polar nova comet quasar pulsar zenith corona".split()
