@@ -17,8 +17,6 @@ from difflode.plans.lineage import cut
 SENTENCES = 3
 #: Words in more documents than this share carry no subject alone, nor in pairs beyond the second share; features in fewer documents than this are not weighed.
 COMMON_SHARE, STOP_SHARE, LEAST_DOCS = 0.10, 0.35, 4
-#: Bound of the model, a parameter: so many of the surest features are kept, and so many contexts.
-MODEL_FEATURES, MODEL_CONTEXTS = 50_000, 5_000
 #: A feature speaks for an area if its log odds and the lower bound of its share of documents of the area are at least these.
 ODDS, SHARE = 0.8, 0.30
 ROUNDS = 3
@@ -193,7 +191,7 @@ def _lexicon(features: DataFrame, n: int) -> dict[str, int]:
         scored.append(F.struct(low.alias("low"), F.lit(j).alias("area"), odds.alias("odds")))
     best = features.where("f != ''").select("f", "n", F.array_max(F.array(*scored)).alias("b"))
     sure = best.where((F.col("b.low") >= SHARE) & (F.col("b.odds") >= ODDS))
-    rows = sure.orderBy(F.desc("b.low"), "f").limit(MODEL_FEATURES).select("f", "b.area").collect()
+    rows = sure.select("f", "b.area").collect()
     return {r["f"]: r["area"] for r in rows}
 
 
@@ -220,7 +218,7 @@ def _labelled(tokens_of: DataFrame, lexicon: dict[str, int], passing: set[str],
     p = F.col("y") / F.col("n")
     z2 = Z_CONTEXT * Z_CONTEXT
     high = (p + z2 / (2 * F.col("n")) + Z_CONTEXT * F.sqrt((p * (1 - p) + z2 / (4 * F.col("n"))) / F.col("n"))) / (1 + z2 / F.col("n"))
-    found = {r["c"] for r in seen.where(high < 0.33).orderBy(high, "c").limit(MODEL_CONTEXTS).select("c").collect()}
+    found = {r["c"] for r in seen.where(high < 0.33).select("c").collect()}
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,8 +247,8 @@ def subject_areas(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataF
     (sentence counts and calibrated posteriors of all documents) and maximisation (weights
     from all documents) then alternate. Each area has a posterior of its own, so a document
     may have none or several; the rows themselves follow from the sentence counts. Contexts that go with mentions in documents without the label
-    mark a mention as passing. All statistics cover all documents; the model itself is
-    bounded by ``MODEL_FEATURES``. Labels by several annotators are averaged, repeated ones
+    mark a mention as passing. All statistics cover all documents; the model, all
+    features that are sure, is gathered whole by the driver and sent to the tasks. Labels by several annotators are averaged, repeated ones
     count once, unknown areas are ignored. Null, empty and blank texts have no area;
     repeated document rows count once in the result. Without any label the result is empty.
     """

@@ -426,3 +426,9 @@ def test_subjects_calibrate_each_area_apart(spark):
     got = {r["area"]: (r["n"], r["p"]) for r in found.groupBy("area").agg(F.count("*").alias("n"), F.avg("posterior").alias("p")).collect()}
     assert got["astro"][0] == got["farm"][0] == 300
     assert got["astro"][1] > 0.95 and abs(got["farm"][1] - 0.7) < 0.08
+
+
+def test_the_lexicon_keeps_every_sure_feature(spark):
+    sure = spark.range(60_000).select(F.concat(F.lit("w"), "id").alias("f"), *[F.lit(20.0).alias(c) for c in ("s0", "t", "n")])
+    whole = spark.createDataFrame([("", 500_000.0, 0.0, 1_000_000.0)], "f string, s0 double, t double, n double")
+    assert len(subjects._lexicon(sure.union(whole), 1)) == 60_000
