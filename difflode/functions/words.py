@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What separates words: anything but letters, digits and underscores.
-NOT_A_WORD = r"[^\p{L}\p{N}_]+"
+NOT_A_WORD = r"[\P{L}&&\P{N}&&[^_]]+"
 
 
 def words(text: Column) -> Column:
@@ -19,7 +19,7 @@ def word_set(text: Column) -> Column:
 
     Two words of one pair of texts share a hash with a chance of about n^2 / 2^32.
     """
-    return F.array_sort(F.array_distinct(F.transform(words(text), lambda w: F.hash(w))))
+    return F.sort_array(F.array_distinct(F.transform(words(text), lambda w: F.hash(w))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
