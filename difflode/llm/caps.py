@@ -14,7 +14,8 @@ def water_level(histogram: list[tuple[int, int]], max_share: float, free: int =
     ``histogram`` has (records, number of contributors with that many); ``free`` records
     belong to nobody and always stay. With every contributor cut to T the output has
     ``free + sum(min(c, T))`` records; the level rises through the sorted counts until
-    T / output would exceed the share. 1 where too few contributors exist for any level.
+    T / output would exceed the share. 0 where no level from 1 on meets the share, as with
+    fewer than ``1 / max_share`` contributors and no free records.
     """
     hist = sorted((int(c), int(n)) for c, n in histogram if c > 0)
     above, below, level = sum(n for _, n in hist), free, 0
@@ -27,7 +28,7 @@ def water_level(histogram: list[tuple[int, int]], max_share: float, free: int =
             if slope > 0:
                 level = max(level, min(c, int(max_share * below / slope + 1e-9)))
         below, above = below + c * n, above - n
-    return max(level, 1)
+    return level
 
 
 def share_limit(records: DataFrame, contributor: str, max_share: float) -> int:
@@ -46,13 +47,16 @@ def cap_records(records: DataFrame, limits: DataFrame, max_share: float | None =
     score and the smallest contributor name). Within pool and contributor the higher
     score ranks first, null and NaN last, then the smaller id; records ranked beyond
     ``max_rows`` are dropped, and with ``max_share`` also those beyond the water level of
-    the whole table. Records without a contributor are never dropped, nor are those of a
+    the whole table. A share that no level meets is an error, as every contributor would
+    lose all records. Records without a contributor are never dropped, nor are those of a
     pool without a limit; null ids are left out. Other columns are not read.
     """
     one = records.where(F.col("record_id").isNotNull()).select(
         "pool", "record_id", "contributor", F.when(~F.isnan("score"), F.col("score").cast("double")).alias("score")
     ).groupBy("pool", "record_id").agg(F.min("contributor").alias("contributor"), F.max("score").alias("score"))
     level = share_limit(one, "contributor", max_share) if max_share is not None else None
+    if level == 0 and not one.where(F.col("contributor").isNotNull()).isEmpty():
+        raise ValueError(f"no limit keeps every contributor within a share of {max_share}; there are too few of them")
     ranked = rank_within(one, ["pool", "contributor"], [F.col("score").desc_nulls_last(), F.col("record_id").asc()])
     lim = limits.where(F.col("max_rows").isNotNull()).groupBy("pool").agg(F.min("max_rows").alias("max_rows"))
     cap = F.least(F.col("max_rows"), F.lit(level)) if level is not None else F.col("max_rows")

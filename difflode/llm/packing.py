@@ -12,6 +12,7 @@ from difflode.plans.lineage import cut
 #: Items packed by one task at a time, and how full a container must be not to be packed again.
 ITEMS_A_CHUNK, FULL = 10_000, 0.97
 ROUNDS = 3
+KINDS_A_BLOCK = 64
 
 
 def pack_vectors(items: np.ndarray, limits: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
@@ -20,46 +21,71 @@ def pack_vectors(items: np.ndarray, limits: np.ndarray, weights: np.ndarray | No
     ``items`` has a row of demands for each item, ``limits`` what a container holds in each
     dimension. One container is open at a time. Of the kinds of items that still fit in
     every dimension, the one whose demand has the largest weighted dot product with the
-    remaining room goes in; the container closes when nothing fits. Items with equal
-    demands are one kind with a count. An item beyond a limit gets a container alone.
+    remaining room goes in, as often as it fits; the container closes when nothing fits.
+    Items with equal demands are one kind with a count. An item beyond a limit gets a
+    container alone.
+
+    Kinds lie in blocks of similar demand with their least and largest demands. The largest
+    bound the dot product of a block, so that only the blocks that can hold the best kind
+    are searched.
     """
     n = len(items)
     out = np.full(n, -1, np.int64)
     if not n:
         return out
     kinds, back = np.unique(-items, axis=0, return_inverse=True)
-    kinds = -kinds
-    back = back.reshape(-1)
+    kinds, back = -kinds, back.reshape(-1)
     order = np.argsort(back, kind="stable")
     count = np.bincount(back, minlength=len(kinds))
     at = np.concatenate([[0], np.cumsum(count)])[:-1]
-    scaled = kinds / limits * (np.ones(len(limits)) if weights is None else weights)
-    left, container = n, -1
-    big = (kinds > limits).any(axis=1)
-    for k in np.flatnonzero(big & (count > 0)):
-        for _ in range(count[k]):
-            container += 1
-            out[order[at[k]]] = container
-            at[k] += 1
-            left -= 1
-        count[k] = 0
-    live = np.flatnonzero(count)
+    gain = kinds / limits**2 * (np.ones(len(limits)) if weights is None else weights)
+    container = -1
+    for k in np.flatnonzero((kinds > limits).any(axis=1)):
+        m = count[k]
+        out[order[at[k] : at[k] + m]] = container + 1 + np.arange(m)
+        container, count[k] = container + m, 0
+    left = int(count.sum())
+    starts = np.arange(0, len(kinds), KINDS_A_BLOCK)
+    ends = np.minimum(starts + KINDS_A_BLOCK, len(kinds))
+    live = [np.arange(a, b)[count[a:b] > 0] for a, b in zip(starts, ends)]
+    full = np.array([len(x) > 0 for x in live])
+    least = np.array([kinds[x].min(axis=0) if len(x) else limits * 2 for x in live])
+    most = np.array([gain[x].max(axis=0) if len(x) else limits * 0 for x in live])
     while left:
         container += 1
         room = limits.astype(np.float64)
-        fits = live[count[live] > 0]
-        live = fits
-        while len(fits):
-            fits = fits[(kinds[fits] <= room).all(axis=1) & (count[fits] > 0)]
-            if not len(fits):
+        while True:
+            open_ = np.flatnonzero(full & (least <= room).all(axis=1))
+            bound = most[open_] @ room
+            best, score = -1, -1.0
+            for j in np.argsort(-bound, kind="stable"):
+                if bound[j] <= score:
+                    break
+                own = live[open_[j]]
+                own = own[(kinds[own] <= room).all(axis=1)]
+                if len(own):
+                    value = gain[own] @ room
+                    i = int(value.argmax())
+                    if value[i] > score:
+                        best, score = int(own[i]), float(value[i])
+            if best < 0:
                 break
-            k = fits[np.argmax(scaled[fits] @ (room / limits))]
-            take = 1
-            out[order[at[k] : at[k] + take]] = container
-            at[k] += take
-            count[k] -= take
+            need = kinds[best] > 0
+            take = min(int(count[best]), max(1, int((room[need] // kinds[best][need]).min()))) if need.any() else int(count[best])
+            out[order[at[best] : at[best] + take]] = container
+            at[best] += take
+            count[best] -= take
             left -= take
-            room = room - kinds[k]
+            room = room - take * kinds[best]
+            if not count[best]:
+                b = best // KINDS_A_BLOCK
+                live[b] = live[b][live[b] != best]
+                if len(live[b]):
+                    least[b], most[b] = kinds[live[b]].min(axis=0), gain[live[b]].max(axis=0)
+                else:
+                    full[b] = False
+            if not left:
+                break
     return out
 
 
@@ -88,17 +114,20 @@ def pack(items: DataFrame, max_segments: int | None = None, loss_share: float =
     the capacity unless given) and ``loss_share`` of its capacity in loss-bearing tokens.
     Items are dealt by hash into chunks of about ``ITEMS_A_CHUNK``, packed by one task
     each; containers left short of ``FULL`` are opened and their items packed again with
-    those of other chunks, so that chunking costs at most a container a plan in the end.
-    No item is dropped; an empty table gives an empty result.
+    those of other chunks, so that chunking costs at most a container a plan in the end. A
+    plan of one chunk is packed once. Every plan is packed as if it were alone. No item is
+    dropped; an empty table gives an empty result.
     """
     schema = "plan_id int, container_id long, capacity long, doc_id long, part int, start long, tokens long, loss long, fill double"
     todo = cut(items.select(F.col("plan_id").cast("int").alias("plan_id"), "capacity", F.col("doc_id").cast("long").alias("doc_id"), "part", "start", "tokens", "loss"))
     done = None
     for turn in range(ROUNDS):
-        counts = {r["plan_id"]: r["n"] for r in todo.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if not counts:
+        # one count a plan; the plan table is small by nature
+        chunks = {r["plan_id"]: max(1, -(-r["n"] // ITEMS_A_CHUNK)) for r in todo.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not chunks:
             break
-        chunks = F.create_map(*[x for p, n in counts.items() for x in (F.lit(p), F.lit(max(1, -(-n // ITEMS_A_CHUNK))))])
+        by_plan = F.create_map(*[x for p, n in chunks.items() for x in (F.lit(p), F.lit(n))])
+        single = [p for p, n in chunks.items() if n == 1 or turn == ROUNDS - 1]
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             turn = int(pdf["turn"].iloc[0])
@@ -111,13 +140,15 @@ def pack(items: DataFrame, max_segments: int | None = None, loss_share: float =
             pdf["fill"] = np.bincount(where, weights=demand[:, 0])[where] / cap
             return pdf[["plan_id", "container_id", "capacity", "doc_id", "part", "start", "tokens", "loss", "fill"]]
 
-        packed = cut(todo.withColumn("turn", F.lit(turn)).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "part", F.lit(turn)), chunks[F.col("plan_id")])).groupBy("plan_id", "chunk").applyInPandas(run, schema))
-        final = turn == ROUNDS - 1 or max(counts.values()) <= ITEMS_A_CHUNK
-        kept = packed if final else packed.where(F.col("fill") >= FULL)
+        dealt = todo.withColumn("turn", F.lit(turn)).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "part", F.lit(turn)), by_plan[F.col("plan_id")]))
+        # twice as many tasks as chunks, so that few chunks share a task; a given number is not coalesced
+        packed = cut(dealt.repartition(2 * sum(chunks.values()), "plan_id", "chunk").groupBy("plan_id", "chunk").applyInPandas(run, schema))
+        final = F.col("plan_id").isin(single) | (F.col("fill") >= FULL)
+        kept = packed.where(final)
         done = kept if done is None else done.union(kept)
-        if final:
+        todo = packed.where(~final).select("plan_id", "capacity", "doc_id", "part", "start", "tokens", "loss")
+        if len(single) == len(chunks):
             break
-        todo = packed.where(F.col("fill") < FULL).select("plan_id", "capacity", "doc_id", "part", "start", "tokens", "loss")
     if done is None:
         done = items.sparkSession.createDataFrame([], schema)
     return done.select("plan_id", "container_id", "doc_id", "part", "start", "tokens")

@@ -55,12 +55,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_share(spark: SparkSession, d: str) -> DataFrame:
-    """Rows kept and dropped by pool when no repository may have more than a twentieth of a pool's output."""
+    """Rows kept and dropped, and the largest repository's rows, by pool when no repository may have more than a twentieth of a pool's output."""
     parts = []
     for pool in ("fewshot_pool", "candidates"):
-        own = _pools(spark, d).where(F.col("pool") == pool)
         none = spark.createDataFrame([], "pool string, max_rows int")
-        parts.append(caps.cap_records(own, none, max_share=0.05).groupBy("pool").agg(F.sum((~F.col("dropped")).cast("long")).alias("kept"), F.sum(F.col("dropped").cast("long")).alias("dropped")))
+        x = caps.cap_records(_pools(spark, d).where(F.col("pool") == pool), none, max_share=0.05).groupBy("pool", "contributor").agg(F.sum((~F.col("dropped")).cast("long")).alias("k"), F.sum(F.col("dropped").cast("long")).alias("d"))
+        parts.append(x.groupBy("pool").agg(F.sum("k").alias("kept"), F.sum("d").alias("dropped"), F.max(F.when(F.col("contributor").isNotNull(), F.col("k"))).alias("largest")))
     return parts[0].union(parts[1])
 
 

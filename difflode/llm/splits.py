@@ -97,42 +97,48 @@ def allocate_bins(weights: list[float], plan: list[tuple[str, float]]) -> list[s
     return out
 
 
+def _binned(weights: DataFrame, key: str) -> DataFrame:
+    """``key, weight, bin``: chunks of about ``FAMILIES_A_CHUNK`` keys, each differenced into ``BINS_A_CHUNK`` bins by one task."""
+    chunks = max(1, -(-weights.count() // FAMILIES_A_CHUNK))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["weight", key], ascending=[False, True], ignore_index=True)
+        pdf["bin"] = 0
+        for b, part in enumerate(largest_differencing(pdf["weight"].tolist(), BINS_A_CHUNK)):
+            pdf.loc[part, "bin"] = int(pdf["chunk"].iloc[0]) * BINS_A_CHUNK + b
+        return pdf[[key, "weight", "bin"]]
+
+    dealt = weights.select(key, "weight", F.pmod(F.xxhash64(key), F.lit(chunks)).alias("chunk"))
+    return cut(dealt.groupBy("chunk").applyInPandas(run, f"{key} {dict(weights.dtypes)[key]}, weight long, bin long"))
+
+
 def assign_splits(members: DataFrame, plan: DataFrame, group: str = "family_key") -> DataFrame:
     """``members`` with a ``split`` such that no group is divided.
 
-    Groups are balanced in two levels: chunks of about ``FAMILIES_A_CHUNK`` groups each
-    are differenced into ``BINS_A_CHUNK`` bins by the executors, then the bins of all
-    chunks (their number and weights only come to the driver) into ``BINS`` near-equal
-    bins, which go whole to the splits by target proportion. ``plan`` has ``split,
-    proportion``; rows with null or no positive proportion are ignored, and a plan
-    without any other row is an error. A group heavier than a bin stays whole and goes
-    to the split with the most room. An empty table gives an empty result.
+    Groups are balanced in levels: chunks of about ``FAMILIES_A_CHUNK`` groups each are
+    differenced into ``BINS_A_CHUNK`` bins by the executors, and the bins again likewise
+    as long as more than ``FAMILIES_A_CHUNK`` are left; the rest (their number and weights
+    only) comes to the driver and is differenced into ``BINS`` near-equal bins, which go
+    whole to the splits by target proportion. ``plan`` has ``split, proportion``; rows
+    with null or no positive proportion are ignored, and a plan without any other row is
+    an error. A group heavier than a bin stays whole and goes to the split with the most
+    room. An empty table gives an empty result.
     """
     spark: SparkSession = members.sparkSession
     targets = [(r[0], float(r[1])) for r in plan.select("split", "proportion").collect() if r[0] and r[1] and r[1] > 0]
     if not targets:
         raise ValueError("the split plan has no split with a positive proportion")
-    weight = cut(members.groupBy(group).agg(F.count(F.lit(1)).alias("weight")))
-    chunks = max(1, -(-weight.count() // FAMILIES_A_CHUNK))
-
-    def bins(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["weight", group], ascending=[False, True], ignore_index=True)
-        parts = largest_differencing(pdf["weight"].tolist(), BINS_A_CHUNK)
-        pdf["bin"] = 0
-        for b, part in enumerate(parts):
-            pdf.loc[part, "bin"] = b
-        return pdf
-
-    cols = f"{group} string, weight long, chunk int, bin int"
-    placed = cut(
-        weight.withColumn("chunk", F.pmod(F.xxhash64(group), F.lit(chunks)).cast("int"))
-        .groupBy("chunk")
-        .applyInPandas(lambda pdf: bins(pdf)[[group, "weight", "chunk", "bin"]], cols)
-    )
-    rows = placed.groupBy("chunk", "bin").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "chunk", "bin").collect()
+    levels = [_binned(members.groupBy(group).agg(F.count(F.lit(1)).alias("weight")), group)]
+    while True:
+        bins = levels[-1].groupBy("bin").agg(F.sum("weight").alias("weight"))
+        if bins.count() <= FAMILIES_A_CHUNK:
+            break
+        levels.append(_binned(bins.withColumnRenamed("bin", "below"), "below"))
+    rows = bins.orderBy(F.desc("weight"), "bin").collect()
     large = largest_differencing([r["weight"] for r in rows], BINS)
     splits = allocate_bins([float(sum(rows[i]["weight"] for i in part)) for part in large], targets)
-    where = [(rows[i]["chunk"], rows[i]["bin"], splits[b]) for b, part in enumerate(large) for i in part]
-    to = spark.createDataFrame(where, "chunk int, bin int, split string")
-    chosen = placed.join(to, ["chunk", "bin"]).select(F.col(group).alias("__g"), F.col("split").alias("__split"))
+    chosen = spark.createDataFrame([(rows[i]["bin"], splits[b]) for b, part in enumerate(large) for i in part], "bin long, __split string")
+    for level in reversed(levels[1:]):
+        chosen = level.join(chosen, "bin").select(F.col("below").alias("bin"), "__split")
+    chosen = levels[0].join(chosen, "bin").select(F.col(group).alias("__g"), "__split")
     return members.drop("split").join(chosen, F.col(group) == F.col("__g")).select(*[c for c in members.columns if c != "split"], F.col("__split").alias("split"))
