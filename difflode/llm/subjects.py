@@ -3,121 +3,283 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from difflode.llm.classes import GOLD, mix, salt
 from difflode.plans.lineage import cut
 
-#: Sentences or items of a document that must deal with an area.
-SENTENCES = 3
-#: Words in more documents than this share carry no subject alone, nor in pairs beyond the second share; features in fewer documents than this are not weighed.
+#: Sentences or items of a document that must deal with an area, as the task defines it: the calibration counts up to thrice as many.
+SENTENCES, MOST = 3, 9
+#: Words in more documents of a language than this share carry no subject alone, nor in pairs beyond the second share; features in fewer documents than this are not weighed.
 COMMON_SHARE, STOP_SHARE, LEAST_DOCS = 0.10, 0.35, 4
 #: A feature speaks for an area if its log odds and the lower bound of its share of documents of the area are at least these.
 ODDS, SHARE = 0.8, 0.30
-ROUNDS = 3
-#: Documents folded at a time by a task.
-BATCH = 1_000
-#: Labelled documents that the curve of all areas of a language counts for at each number of sentences, in the curve of one area.
-POOLED = 10.0
+#: From labels alone, a feature also speaks for an area that half of its documents have, if chance does not explain it (likelihood ratio, one in a thousand).
+LABEL_SHARE, LABEL_RATIO = 0.5, 10.83
+#: Rounds of expectation and maximisation after the one on labels, and parts of the labelled documents that are counted with the weights of the others.
+ROUNDS, FOLDS = 3, 4
+#: Posterior from which an area is reported.
+SURE = 0.5
+#: Labelled documents that the curve of all areas of a language counts for at each number of sentences, in the curve of one area; the curve of all languages likewise in that of one.
+POOLED = 2.0
 #: Deviations of the bounds (Wilson) for features and for contexts.
 Z, Z_CONTEXT = 2.58, 1.64
+#: A language is told apart if so large a share of the documents with a stated language have it; its marks are words of so large a share of them.
+LANGUAGE_SHARE, MARK_SHARE = 0.02, 0.25
+#: Characters and documents handled at a time by a task.
+BLOCK_CHARS, BLOCK_DOCS = 1_000_000, 4096
 
 FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 SPLIT = re.compile(r"(?<=[.!?])[\"'”’)\]]*\s+|[。！？]+|[\r\n]+(?!\s*[a-zà-ÿ])|[\r\n]+\s*(?=[-*+•]\s)|[\r\n]{2,}")
-WORD = re.compile(r"[A-ZÀ-ÖØ-Þ]+(?![a-zà-öø-ÿ])|[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+|[㐀-䶿一-鿿]+")
-
-
-def is_han(w: str) -> bool:
-    """Whether a token is a run of Chinese characters."""
-    return "㐀" <= w[0] <= "鿿"
-
-
-def tokens(text: str | None) -> list[list[str]]:
-    """The words of each sentence or list item: lower case, identifiers taken apart, plain plurals cut; code blocks left out."""
-    out = []
-    for s in SPLIT.split(FENCE.sub("\n\n", text or "")):
-        words = []
-        for w in WORD.findall(s or ""):
-            if not is_han(w):
-                w = w.lower()
-                if len(w) > 4 and w.endswith("ies"):
-                    w = w[:-3] + "y"
-                elif len(w) > 3 and w.endswith("s") and not w.endswith("ss"):
-                    w = w[:-1]
-            words.append(w)
-        if words:
-            out.append(words)
-    return out
 
+OTHER, UPPER, LOWER, HAN = 0, 1, 2, 3
+#: What stands for a language where documents with Chinese characters are counted.
+HAN_DOCS = "+han"
+_BASE = 0x9E3779B97F4A7C15 | 1
+_LAST = 0x10FFFF
 
-def spans(words: list[str], common: dict[str, bool]) -> Iterator[tuple[str, int, int]]:
-    """Features of a sentence with their place: words, pairs of words, and parts of two to five characters of Chinese runs.
 
-    ``common`` maps the words that are no feature alone to whether they are none in pairs either.
-    """
-    for i, w in enumerate(words):
-        if is_han(w):
-            for n in (5, 4, 3, 2):
-                for k in range(len(w) - n + 1):
-                    yield w[k : k + n], i * 1000 + k, i * 1000 + k + n
-        elif len(w) > 1:
-            if w not in common and len(w) > 2:
-                yield w, i * 1000, i * 1000 + 1
-            if i + 1 < len(words) and not common.get(w) and len(x := words[i + 1]) > 1 and not is_han(x) and not common.get(x):
-                yield f"{w} {x}", i * 1000, (i + 1) * 1000 + 1
-
-
-def mentions(words: list[str], places: list[tuple[str, int, int]], lexicon: dict[str, int]) -> tuple[set[int], list[str]]:
-    """Areas named in a sentence with features at ``places``, each place explained by its longest feature only, and the context: what no such feature covers."""
-    hits = [(e - s, f, s, e) for f, s, e in places if f in lexicon]
-    if not hits:
-        return set(), []
-    hits.sort(key=lambda x: (-x[0], x[2]))
-    taken: list[tuple[int, int]] = []
-    areas: set[int] = set()
-    for _, f, s, e in hits:
-        if all(e <= a or s >= b for a, b in taken):
-            taken.append((s, e))
-            areas.add(lexicon[f])
-    if not areas:
-        return areas, []
-    context = []
-    for i, w in enumerate(words):
-        if is_han(w):
-            free = [not any(a <= i * 1000 + k < b for a, b in taken) for k in range(len(w))]
-            context += [w[k : k + 2] for k in range(len(w) - 1) if free[k] and free[k + 1]]
-        elif not any(a <= i * 1000 < b for a, b in taken):
-            context.append(w)
-    return areas, context
-
-
-def counts(doc: list[list[str]], places: list[list[tuple[str, int, int]]], lexicon: dict[str, int], passing: set[str], n: int) -> np.ndarray:
-    """How many sentences deal with each area; sentences with a context of passing mentions count for none."""
-    out = np.zeros(n, np.int32)
-    for words, at in zip(doc, places):
-        areas, context = mentions(words, at, lexicon)
-        if areas and not any(c in passing for c in context):
-            for a in areas:
-                out[a] += 1
-    return out
+def _class_table() -> np.ndarray:
+    table = np.zeros(_LAST + 1, np.uint8)
+    for a, b, kind in ((0x41, 0x5A, UPPER), (0xC0, 0xD6, UPPER), (0xD8, 0xDE, UPPER), (0x61, 0x7A, LOWER), (0xDF, 0xF6, LOWER), (0xF8, 0xFF, LOWER), (0x3400, 0x4DBF, HAN), (0x4E00, 0x9FFF, HAN)):
+        table[a : b + 1] = kind
+    return table
+
+
+_CLASS = _class_table()
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    p = np.full(n + 1, np.uint64(base & 0xFFFFFFFFFFFFFFFF), np.uint64)
+    p[0] = 1
+    return np.cumprod(p, dtype=np.uint64)
+
+
+@dataclass
+class Parsed:
+    """The words and features of some documents as flat arrays; places are character offsets in the joined text."""
 
+    docs: int
+    sentence_doc: np.ndarray
+    chars: int
+    #: words: hash, start, end, sentence, whether Chinese
+    word: np.ndarray
+    w_start: np.ndarray
+    w_end: np.ndarray
+    w_sentence: np.ndarray
+    w_han: np.ndarray
+    #: features: hash, start, end, sentence
+    feature: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    f_start: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    f_end: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    f_sentence: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    #: pairs of neighbouring Chinese characters and single ones: hash, start, sentence
+    pair: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    p_start: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    p_sentence: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    single: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    s_sentence: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
-#: Function words that tell German from English here; Chinese is told by its script.
-GERMAN = {"der", "die", "das", "und", "nicht", "wird", "für", "mit", "den", "von", "ist", "neue", "war", "hängt"}
-GROUPS = 3
 
+def parse(texts: list[str | None]) -> Parsed:
+    """Words of all sentences: lower case, identifiers taken apart, plain plurals cut, runs of Chinese characters; code blocks left out.
 
-def language(doc: list[list[str]]) -> int:
-    """0 English or other, 1 German, 2 Chinese, by most sentences; posteriors are calibrated for each apart."""
-    votes = [0, 0, 0]
-    for words in doc:
-        votes[2 if any(is_han(w) for w in words) else 1 if any(w in GERMAN for w in words) else 0] += 1
-    return max(range(3), key=lambda g: (votes[g], -g))
+    Nothing runs by character or word: classes of code points tell where words begin and
+    end, and a word's hash is a difference of running sums of a polynomial.
+    """
+    parts: list[str] = []
+    owner: list[int] = []
+    for i, t in enumerate(texts):
+        if t:
+            own = [s for s in SPLIT.split(FENCE.sub("\n\n", t.replace("\0", " "))) if s]
+            parts += own
+            owner += [i] * len(own)
+    flat = np.frombuffer(("\0".join(parts) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    sentence = np.cumsum(flat == 0) - (flat == 0)
+    kind = _CLASS[np.minimum(flat, _LAST)]
+    before, after = np.concatenate([[0], kind[:-1]]), np.concatenate([kind[1:], [0]])
+    begins = (kind != OTHER) & (
+        (before == OTHER) | ((kind == HAN) != (before == HAN)) | ((kind == UPPER) & (before == LOWER)) | ((kind == UPPER) & (before == UPPER) & (after == LOWER))
+    )
+    start = np.flatnonzero(begins)
+    ends = (kind != OTHER) & ((after == OTHER) | np.concatenate([begins[1:], [True]]))
+    end = np.flatnonzero(ends) + 1
+    n = len(flat)
+    value = (flat + 32 * (kind == UPPER) + 1).astype(np.uint64)
+    power = _powers(n, _BASE)
+    inverse = _powers(n, pow(_BASE, -1, 1 << 64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * power[:n], dtype=np.uint64)])
+
+    def raw(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (total[b] - total[a]) * inverse[a]
+
+    def named(h: np.ndarray, length: np.ndarray | int, kind: int) -> np.ndarray:
+        return mix(h + np.asarray(length).astype(np.uint64) * GOLD + salt(kind))
+
+    han = kind[start] == HAN
+    size = end - start
+    low = value - np.uint64(1)
+    last, second, third = low[end - 1], low[np.maximum(end - 2, 0)], low[np.maximum(end - 3, 0)]
+    ies = ~han & (size > 4) & (last == 115) & (second == 101) & (third == 105)
+    plural = ~han & ~ies & (size > 3) & (last == 115) & (second != 115)
+    h = raw(start, end - plural - 3 * ies)
+    length = size - plural - 2 * ies
+    h = np.where(ies, h + np.uint64(122) * power[np.maximum(size - 3, 0)], h)
+    out = Parsed(len(texts), np.array(owner, np.int64), n, named(h, length, 1), start, end, sentence[start], han)
+    latin = np.flatnonzero(~han)
+    out_f, out_s, out_e = [], [], []
+    # words of three letters and more, and pairs of neighbours in a sentence; what is common is taken out later
+    long_ = latin[length[latin] > 2]
+    out_f.append(out.word[long_])
+    out_s.append(start[long_])
+    out_e.append(end[long_])
+    k = np.flatnonzero(~han[:-1] & ~han[1:] & (out.w_sentence[:-1] == out.w_sentence[1:]) & (length[:-1] > 1) & (length[1:] > 1)) if len(start) else np.zeros(0, np.int64)
+    out._pairs = (len(long_), k, long_)
+    out_f.append(mix(out.word[k] * GOLD + out.word[k + 1] + salt(2)))
+    out_s.append(start[k])
+    out_e.append(end[k + 1] if len(k) else end[:0])
+    at = np.flatnonzero(kind == HAN)
+    run_end = np.repeat(end[han], size[han])
+    for m in (2, 3, 4, 5):
+        p = at[at + m <= run_end]
+        g = named(raw(p, p + m), m, 3)
+        out_f.append(g)
+        out_s.append(p)
+        out_e.append(p + m)
+        if m == 2:
+            out.pair, out.p_start, out.p_sentence = g, p, sentence[p]
+    out.single, out.s_sentence = named(value[at], 1, 4), sentence[at]
+    out.feature, out.f_start, out.f_end = np.concatenate(out_f), np.concatenate(out_s), np.concatenate(out_e)
+    out.f_sentence = sentence[out.f_start]
+    # 52 bits name a feature, so that 12 more can name a document of the block; the lowest tells Chinese ones
+    words = len(long_) + len(k)
+    out.feature = (out.feature >> np.uint64(13)) << np.uint64(1)
+    out.feature[words:] |= np.uint64(1)
+    return out
+
+
+def inside(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The place of each value in a sorted array, -1 where it is not in."""
+    if not len(sorted_keys):
+        return np.full(len(x), -1, np.int64)
+    at = np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == x, at, -1)
+
+
+@dataclass
+class Model:
+    """What the tasks need to count sentences: a few arrays, all sorted by their hash."""
+
+    areas: int
+    #: documents with Chinese characters
+    han_docs: int
+    common: np.ndarray
+    stop: np.ndarray
+    #: languages and their marks: log shares, a row a word and a column a language
+    marks: np.ndarray
+    shares: np.ndarray
+    #: features and the log odds by area of complement naive Bayes, 0 where a feature does not speak for the area
+    features: np.ndarray
+    odds: np.ndarray
+    passing: np.ndarray
+    posterior: np.ndarray | None
+
+    @property
+    def languages(self) -> int:
+        return max(1, self.shares.shape[1])
+
+
+def drop_common(p: Parsed, model: Model) -> Parsed:
+    """The features without common words and without pairs that hold a stop word."""
+    n_words, k, long_ = p._pairs
+    keep = np.ones(len(p.feature), bool)
+    keep[:n_words] = inside(model.common, p.word[long_]) < 0
+    stop = inside(model.stop, p.word) >= 0
+    keep[n_words : n_words + len(k)] = ~(stop[k] | stop[k + 1]) if len(k) else True
+    p.feature, p.f_start, p.f_end, p.f_sentence = p.feature[keep], p.f_start[keep], p.f_end[keep], p.f_sentence[keep]
+    return p
+
+
+def language(p: Parsed, model: Model) -> np.ndarray:
+    """The likeliest language of each document, by the words that mark one."""
+    score = np.zeros((p.docs, model.languages))
+    for keys, sent in ((p.word, p.w_sentence), (p.single, p.s_sentence)):
+        at = inside(model.marks, keys)
+        ok = at >= 0
+        np.add.at(score, p.sentence_doc[sent[ok]], model.shares[at[ok]])
+    return score.argmax(axis=1)
+
+
+def mentions(p: Parsed, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(sentence, area, cover)``: the areas each sentence names, and which characters their features cover.
+
+    A place is explained by its longest feature only. A sentence names the areas for which
+    the log odds of its features add up to ``ODDS``.
+    """
+    at = inside(model.features, p.feature)
+    hit = np.flatnonzero(at >= 0)
+    s, e = p.f_start[hit], p.f_end[hit]
+    order = np.lexsort((s, s - e, p.f_sentence[hit]))
+    hit, s, e = hit[order], s[order], e[order]
+    keep = np.ones(len(hit), bool)
+    own = p.f_sentence[hit]
+    many = np.zeros(len(hit), bool)
+    many[1:] |= own[1:] == own[:-1]
+    many[:-1] |= own[1:] == own[:-1]
+    taken: list[tuple[int, int]] = []
+    sentence = -1
+    for i in np.flatnonzero(many).tolist():
+        if own[i] != sentence:
+            sentence, taken = own[i], []
+        a, b = s[i], e[i]
+        if all(b <= x or a >= y for x, y in taken):
+            taken.append((a, b))
+        else:
+            keep[i] = False
+    hit, s, e = hit[keep], s[keep], e[keep]
+    edge = np.zeros(p.chars + 1, np.int32)
+    np.add.at(edge, s, 1)
+    np.add.at(edge, e, -1)
+    named, back = np.unique(p.f_sentence[hit], return_inverse=True)
+    weight = np.zeros((len(named), model.areas))
+    np.add.at(weight, back.reshape(-1), model.odds[at[hit]])
+    i, area = np.nonzero(weight >= ODDS)
+    return named[i], area, np.cumsum(edge[:-1]) > 0
+
+
+def contexts(p: Parsed, cover: np.ndarray, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(sentence, hash)`` of what the features do not cover in the given sentences: words, and pairs of Chinese characters; each once a sentence."""
+    own = np.zeros(len(p.sentence_doc) + 1, bool)
+    own[sentences] = True
+    w = np.flatnonzero(~p.w_han & own[p.w_sentence] & ~cover[np.minimum(p.w_start, max(p.chars - 1, 0))]) if p.chars else np.zeros(0, np.int64)
+    h = np.flatnonzero(own[p.p_sentence] & ~cover[p.p_start] & ~cover[p.p_start + 1]) if len(p.pair) else np.zeros(0, np.int64)
+    sent, key = np.concatenate([p.w_sentence[w], p.p_sentence[h]]), np.concatenate([p.word[w], p.pair[h]])
+    if not len(key):
+        return sent, key
+    order = np.lexsort((key, sent))
+    sent, key = sent[order], key[order]
+    new = np.concatenate([[True], (sent[1:] != sent[:-1]) | (key[1:] != key[:-1])])
+    return sent[new], key[new]
+
+
+def counts(p: Parsed, model: Model) -> np.ndarray:
+    """How many sentences of each document deal with each area; sentences with a context of passing mentions count for none."""
+    out = np.zeros((p.docs, model.areas), np.int32)
+    sent, area, cover = mentions(p, model)
+    if len(sent) and len(model.passing):
+        cs, ck = contexts(p, cover, sent)
+        bad = np.zeros(len(p.sentence_doc) + 1, bool)
+        bad[cs[inside(model.passing, ck) >= 0]] = True
+        ok = ~bad[sent]
+        sent, area = sent[ok], area[ok]
+    np.add.at(out, (p.sentence_doc[sent], area), 1)
+    return out
 
 
 def isotonic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -132,179 +294,280 @@ def isotonic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.array([v for v, _, m in stack for _ in range(int(m))])
 
 
-def _features(tokens_of: DataFrame, lexicon: dict[str, int], passing: set[str], common: dict[str, bool], posterior: np.ndarray | None, n: int) -> DataFrame:
-    """For each feature the documents with it, its sentences, and their posteriors by area summed over sentences, folded within batches; all documents under the empty feature.
+def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of a bounded number of documents and characters; a longer document is a slice of its own."""
+    size = [len(t or "") for t in batch.column("text").to_pylist()]
+    at = chars = 0
+    for i, n in enumerate(size):
+        if i > at and (chars + n > BLOCK_CHARS or i - at == BLOCK_DOCS):
+            yield batch.slice(at, i - at)
+            at, chars = i, 0
+        chars += n
+    if batch.num_rows > at:
+        yield batch.slice(at)
+
+
+def _labels(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Label vectors, and which documents have one."""
+    rows = batch.column("label").to_pylist()
+    has = np.array([r is not None for r in rows], bool)
+    return np.array([r if r is not None else [0.0] * n for r in rows], np.float64).reshape(len(rows), n), has
+
 
-    The first round takes the labels as posteriors and labelled documents only; later
-    rounds take all documents, with calibrated posteriors from their sentence counts,
-    averaged with the labels where there are some.
+def _statistics(docs: DataFrame, model: Model, fold: bool) -> DataFrame:
+    """``f, fold, area, v, n``: for each feature its occurrences and documents (area -1), and its occurrences weighed by the posterior of each area; all documents under feature -1.
+
+    Without a posterior the labels stand for it, and only labelled documents are taken.
+    Later all documents are, with the calibrated posterior of their sentence counts,
+    averaged with the label where there is one; an area that no sentence names has none.
     """
-    one = np.append(np.zeros(n + 1), 1.0)
+    n = model.areas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(at, BATCH)
-                sums: dict[str, np.ndarray] = {"": np.zeros(n + 2)}
-                for doc, label in zip(batch.column("toks").to_pylist(), batch.column("label").to_pylist()):
-                    places = [list(spans(words, common)) for words in doc]
-                    if posterior is None:
-                        r = np.array(label, dtype=np.float64)
-                    else:
-                        s = np.minimum(counts(doc, places, lexicon, passing, n), posterior.shape[2] - 1)
-                        r = posterior[language(doc), np.arange(n), s]
-                        if label is not None:
-                            r = (r + np.array(label)) / 2
-                    v = np.append(r, (1.0, 0.0))
-                    sums[""] += v + one
-                    for f, tf in Counter(f for at_ in places for f in {f for f, _, _ in at_}).items():
-                        add = v * tf + one
-                        if f in sums:
-                            sums[f] += add
-                        else:
-                            sums[f] = add
-                keys = list(sums)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([float(sums[k][j]) for k in keys], pa.float64()) for j in range(n + 2)]], names=["f", *[f"s{j}" for j in range(n)], "t", "n"])
-
-    src = tokens_of.where("label is not null") if posterior is None else tokens_of
-    part = src.select("toks", "label").mapInArrow(run, ", ".join(["f string", *[f"s{j} double" for j in range(n)], "t double", "n double"]))
-    return part.groupBy("f").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(n)], F.sum("t").alias("t"), F.sum("n").alias("n")).where((F.col("n") >= LEAST_DOCS) | (F.col("f") == ""))
-
-
-def _lexicon(features: DataFrame, n: int) -> dict[str, int]:
-    """The area each sure feature speaks for, by complement naive Bayes: its rate in the area's documents against all others.
-
-    The share of the area among the documents with the feature must be sure as well, which
-    keeps out what is frequent only by chance; that share is taken of the round's posteriors.
+            for batch in blocks(whole):
+                p = drop_common(parse(batch.column("text").to_pylist()), model)
+                label, has = _labels(batch, n)
+                part = np.asarray(batch.column("fold")).astype(np.int64) if fold else np.zeros(p.docs, np.int64)
+                if model.posterior is None:
+                    r = label
+                else:
+                    s = np.minimum(counts(p, model), MOST)
+                    r = np.where(s > 0, model.posterior[language(p, model)[:, None], np.arange(n)[None, :], s], 0.0)
+                    r[has] = (r[has] + label[has]) / 2
+                cols = []
+                for g in np.unique(part):
+                    own = part == g
+                    doc = p.sentence_doc[p.f_sentence]
+                    pick = own[doc] if fold else slice(None)
+                    key = np.sort((p.feature[pick] << np.uint64(12)) | doc[pick].astype(np.uint64))
+                    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+                    tf = np.diff(np.append(first, len(key))).astype(np.float64)
+                    f, d = (key[first] >> np.uint64(12)).view(np.int64), (key[first] & np.uint64(4095)).astype(np.int64)
+                    head = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.zeros(0, np.int64)
+                    names = f[head]
+                    cols.append((np.append(names, -1), np.full(len(names) + 1, g), np.full(len(names) + 1, -1), np.append(np.add.reduceat(tf, head) if len(head) else tf[:0], own.sum()), np.append(np.diff(np.append(head, len(f))), own.sum())))
+                    for a in range(n):
+                        if not (r[own, a] > 0).any():
+                            continue
+                        v = np.add.reduceat(tf * r[d, a], head) if len(head) else tf[:0]
+                        ok = v > 0
+                        cols.append((np.append(names[ok], -1), np.full(ok.sum() + 1, g), np.full(ok.sum() + 1, a), np.append(v[ok], r[own, a].sum()), np.zeros(ok.sum() + 1)))
+                if cols:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate([c[j] for c in cols]).astype(t)) for j, t in enumerate((np.int64, np.int32, np.int32, np.float64, np.int64))],
+                        names=["f", "fold", "area", "v", "n"],
+                    )
+
+    src = docs.where("label is not null") if model.posterior is None else docs
+    return src.select("text", "label", "fold").mapInArrow(run, "f long, fold int, area int, v double, n long").groupBy("f", "fold", "area").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+
+
+def _weights(stats: DataFrame, n: int, least: int, from_labels: bool, han_docs: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Features that speak for an area, sorted, and their log odds by complement naive Bayes: the rate in the area's documents against that in all others.
+
+    The lower bound of the share of the area among the documents with the feature must be
+    high as well, which keeps out what is frequent only by chance; Chinese features in more
+    than ``COMMON_SHARE`` of the ``han_docs`` are common.
     """
-    features = cut(features)
-    whole = features.where("f = ''").first()
-    if whole is None:
-        return {}
-    total, in_area = float(whole["n"]), [float(whole[f"s{j}"]) for j in range(n)]
-    scored, z2 = [], Z * Z
-    for j in range(n):
-        k, m = F.col(f"s{j}"), F.col("t") - F.col(f"s{j}")
-        odds = F.log((k + 0.5) / F.lit(float(in_area[j]) + 1.0)) - F.log((m + 0.5) / F.lit(max(total - float(in_area[j]), 0.0) + 1.0))
-        p = F.least(k / F.col("t"), F.lit(1.0))
-        low = (p + z2 / (2 * F.col("n")) - Z * F.sqrt((p * (1 - p) + z2 / (4 * F.col("n"))) / F.col("n"))) / (1 + z2 / F.col("n"))
-        scored.append(F.struct(low.alias("low"), F.lit(j).alias("area"), odds.alias("odds")))
-    best = features.where("f != ''").select("f", "n", F.array_max(F.array(*scored)).alias("b"))
-    sure = best.where((F.col("b.low") >= SHARE) & (F.col("b.odds") >= ODDS))
-    rows = sure.select("f", "b.area").collect()
-    return {r["f"]: r["area"] for r in rows}
-
-
-def _labelled(tokens_of: DataFrame, lexicon: dict[str, int], passing: set[str], common: dict[str, bool], n: int) -> tuple[set[str], np.ndarray]:
-    """From the labelled documents: the contexts of passing mentions, and the calibrated posterior by language, area and number of sentences.
-
-    The curve of an area is drawn to that of all areas of its language where labels are few.
+    total = {(r["area"]): (r["v"], r["n"]) for r in stats.where("f = -1").groupBy("area").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()}
+    docs = float(total.get(-1, (0.0, 0))[0])
+    none = np.zeros(0, np.uint64), np.zeros((0, n))
+    if not docs:
+        return none
+    t = stats.where("f != -1 and area = -1").groupBy("f").agg(F.sum("v").alias("t"), F.sum("n").alias("n")).where(F.col("n") >= least)
+    if not from_labels:
+        t = t.where((F.col("f").bitwiseAND(F.lit(1)) == 0) | (F.col("n") <= COMMON_SHARE * han_docs))
+    k = stats.where("f != -1 and area != -1").groupBy("f", "area").agg(F.sum("v").alias("k"))
+    base = F.create_map(*[x for a in range(n) for x in (F.lit(a), F.lit(float(total.get(a, (0.0, 0))[0])))])
+    x = t.join(k, "f").withColumn("in", base[F.col("area")])
+    kk, m, nn = F.least("k", "t"), F.greatest(F.col("t") - F.col("k"), F.lit(0.0)), F.col("n")
+    odds = F.log((kk + 0.5) / (F.col("in") + 1.0)) - F.log((m + 0.5) / (F.greatest(F.lit(docs) - F.col("in"), F.lit(0.0)) + 1.0))
+    p, z2 = kk / F.col("t"), Z * Z
+    low = (p + z2 / (2 * nn) - Z * F.sqrt((p * (1 - p) + z2 / (4 * nn)) / nn)) / (1 + z2 / nn)
+    sure = low >= SHARE
+    if from_labels:
+        rate = F.least(F.greatest(F.col("in") / docs, F.lit(1e-6)), F.lit(1 - 1e-6))
+        ratio = 2 * nn * (p * F.log(F.greatest(p, F.lit(1e-9)) / rate) + (1 - p) * F.log(F.greatest(1 - p, F.lit(1e-9)) / (1 - rate)))
+        sure = sure | ((p >= LABEL_SHARE) & (p > rate) & (ratio >= LABEL_RATIO))
+    rows = x.where(sure & (odds >= ODDS)).select("f", "area", odds.alias("w")).collect()
+    if not rows:
+        return none
+    f = np.array([r["f"] for r in rows], np.int64).view(np.uint64)
+    keys, back = np.unique(f, return_inverse=True)
+    w = np.zeros((len(keys), n))
+    w[back.reshape(-1), np.array([r["area"] for r in rows])] = [r["w"] for r in rows]
+    return keys, w
+
+
+def _calibrated(docs: DataFrame, models: list[Model]) -> tuple[np.ndarray, np.ndarray]:
+    """From the labelled documents: the contexts of passing mentions, and the posterior by language, area and number of sentences.
+
+    With several models each document is counted by that of its part. The curve of an area
+    is drawn to that of all areas of its language, and that to the curve of all languages,
+    where labels are few; the areas' posteriors are independent of one another.
     """
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, langs = models[0].areas, models[0].languages
+    own = docs.where("label is not null").select("text", "label", "fold")
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[Parsed, np.ndarray, Model]]:
+        for block in blocks(batch):
+            fold = np.asarray(block.column("fold")).astype(np.int64)
+            for g in np.unique(fold) if len(models) > 1 else [0]:
+                pick = block.filter(pa.array(fold == g)) if len(models) > 1 else block
+                yield drop_common(parse(pick.column("text").to_pylist()), models[g]), _labels(pick, n)[0], models[g]
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c: dict[str, list[float]] = {}
-            for doc, label in zip(batch.column("toks").to_pylist(), batch.column("label").to_pylist()):
-                for words in doc:
-                    areas, context = mentions(words, list(spans(words, common)), lexicon)
-                    y = [label[a] for a in areas]
-                    for w in set(context):
-                        t = c.setdefault(w, [0.0, 0.0])
-                        t[0] += len(y)
-                        t[1] += sum(y)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([t[0] for t in c.values()], pa.float64()), pa.array([t[1] for t in c.values()], pa.float64())], names=["c", "n", "y"])
-
-    own = tokens_of.where("label is not null").select("toks", "label")
-    seen = own.mapInArrow(contexts, "c string, n double, y double").groupBy("c").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).where("n >= 6")
-    p = F.col("y") / F.col("n")
-    z2 = Z_CONTEXT * Z_CONTEXT
+            for p, label, model in parts(batch):
+                sent, area, cover = mentions(p, model)
+                cs, ck = contexts(p, cover, np.unique(sent))
+                many, yes = np.zeros(len(p.sentence_doc) + 1), np.zeros(len(p.sentence_doc) + 1)
+                np.add.at(many, sent, 1.0)
+                np.add.at(yes, sent, label[p.sentence_doc[sent], area])
+                yield pa.RecordBatch.from_arrays([pa.array(ck.view(np.int64)), pa.array(many[cs]), pa.array(yes[cs])], names=["c", "n", "y"])
+
+    at = own.mapInArrow(seen, "c long, n double, y double").groupBy("c").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).where("n >= 6")
+    p, z2 = F.col("y") / F.col("n"), Z_CONTEXT * Z_CONTEXT
     high = (p + z2 / (2 * F.col("n")) + Z_CONTEXT * F.sqrt((p * (1 - p) + z2 / (4 * F.col("n"))) / F.col("n"))) / (1 + z2 / F.col("n"))
-    found = {r["c"] for r in seen.where(high < 0.33).select("c").collect()}
+    passing = np.sort(np.array([r["c"] for r in at.where(high < 0.33).select("c").collect()], np.int64).view(np.uint64))
+    for m in models:
+        m.passing = passing
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = np.zeros((2, GROUPS, n, 10))
-            for doc, label in zip(batch.column("toks").to_pylist(), batch.column("label").to_pylist()):
-                s, g = np.minimum(counts(doc, [list(spans(w, common)) for w in doc], lexicon, found, n), 9), language(doc)
-                t[0, g, np.arange(n), s] += 1.0
-                t[1, g, np.arange(n), s] += np.array(label)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(10 * GROUPS * n, dtype=np.int32)), pa.array(t[0].reshape(-1)), pa.array(t[1].reshape(-1))], names=["s", "n", "y"])
-
-    rows = own.mapInArrow(tally, "s int, n double, y double").groupBy("s").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect()
-    k, y = np.zeros(10 * GROUPS * n), np.zeros(10 * GROUPS * n)
-    for r in rows:
+            t = np.zeros((2, langs, n, MOST + 1))
+            for p, label, model in parts(batch):
+                s, g = np.minimum(counts(p, model), MOST), language(p, model)
+                for j, v in enumerate((np.ones_like(label), label)):
+                    np.add.at(t[j], (g[:, None], np.arange(n)[None, :], s), v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(langs * n * (MOST + 1), dtype=np.int32)), pa.array(t[0].reshape(-1)), pa.array(t[1].reshape(-1))], names=["s", "n", "y"])
+
+    k, y = np.zeros(langs * n * (MOST + 1)), np.zeros(langs * n * (MOST + 1))
+    for r in own.mapInArrow(tally, "s int, n double, y double").groupBy("s").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect():
         k[r["s"]], y[r["s"]] = r["n"], r["y"]
-    k, y = k.reshape(GROUPS, n, 10), y.reshape(GROUPS, n, 10)
-    kg, yg = k.sum(axis=1), y.sum(axis=1)
-    prior = (yg.sum(axis=0) + 0.1) / (kg.sum(axis=0) + 1)
-    pooled = [isotonic((yg[g] + prior) / (kg[g] + 1), kg[g] + 1e-6) for g in range(GROUPS)]
-    return found, np.array([[isotonic((y[g, a] + POOLED * pooled[g]) / (k[g, a] + POOLED), k[g, a] + POOLED) for a in range(n)] for g in range(GROUPS)])
+    k, y = k.reshape(langs, n, MOST + 1), y.reshape(langs, n, MOST + 1)
+    every = isotonic((y.sum(axis=(0, 1)) + 0.1) / (k.sum(axis=(0, 1)) + 1), k.sum(axis=(0, 1)) + 1e-6)
+    out = np.zeros((langs, n, MOST + 1))
+    for g in range(langs):
+        kg, yg = k[g].sum(axis=0), y[g].sum(axis=0)
+        pooled = isotonic((yg + POOLED * every) / (kg + POOLED), kg + POOLED)
+        for a in range(n):
+            out[g, a] = isotonic((y[g, a] + POOLED * pooled) / (k[g, a] + POOLED), k[g, a] + POOLED)
+    return passing, out
+
+
+def _vocabulary(docs: DataFrame, n: int) -> Model:
+    """Common words, and the words that mark a language; both from all documents.
+
+    At most (words a document) / share words can be common or marks, whatever the corpus.
+    """
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in blocks(whole):
+                p = parse(batch.column("text").to_pylist())
+                langs, code = np.unique(np.array([x or "" for x in batch.column("lang").to_pylist()], dtype=object).astype(str), return_inverse=True)
+                code = code.reshape(-1)
+                own = ~p.w_han
+                key = np.concatenate([p.word[own], p.single])
+                doc = p.sentence_doc[np.concatenate([p.w_sentence[own], p.s_sentence])]
+                han = np.concatenate([np.zeros(own.sum(), bool), np.ones(len(p.single), bool)])
+                order = np.lexsort((key, doc))
+                key, doc, han = key[order], doc[order], han[order]
+                new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(key) else np.zeros(0, bool)
+                key, han, lang = key[new], han[new], code[doc[new]]
+                order = np.lexsort((key, lang))
+                key, han, lang = key[order], han[order], lang[order]
+                head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (lang[1:] != lang[:-1])])) if len(key) else np.zeros(0, np.int64)
+                docs_of = np.append(np.bincount(code, minlength=len(langs)), len(np.unique(p.sentence_doc[p.s_sentence])))
+                names = [*langs.tolist(), HAN_DOCS]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([key[head].view(np.int64), np.zeros(len(names), np.int64)])), pa.array(np.concatenate([han[head], np.zeros(len(names), bool)])),
+                        pa.array([*langs[lang[head]].tolist(), *names], pa.string()), pa.array(np.concatenate([np.diff(np.append(head, len(key))), docs_of]).astype(np.int64)),
+                        pa.array(np.concatenate([np.zeros(len(head), bool), np.ones(len(names), bool)])),
+                    ],
+                    names=["w", "han", "lang", "n", "whole"],
+                )
+
+    code = F.lower(F.regexp_extract(F.coalesce(F.trim("lang"), F.lit("")), r"^([A-Za-z]{2,3})(?:[-_]\w+)?$", 1))
+    src = docs.select("text", F.when(code == "und", "").otherwise(code).alias("lang"))
+    rows = cut(src.mapInArrow(seen, "w long, han boolean, lang string, n long, whole boolean").groupBy("w", "han", "lang", "whole").agg(F.sum("n").alias("n")))
+    size = {r["lang"]: r["n"] for r in rows.where("whole").collect()}
+    han_docs = size.pop(HAN_DOCS, 0)
+    total, stated = sum(size.values()), sum(v for k, v in size.items() if k)
+    langs = sorted(k for k, v in size.items() if k and v >= LANGUAGE_SHARE * stated)
+    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(float(size[k])))]) if langs else None
+    alone = F.col("n") / share[F.col("lang")] if langs else F.lit(0.0)
+    words = rows.where("not whole and not han").groupBy("w").agg((F.sum("n") / float(max(total, 1))).alias("p"), F.max(F.coalesce(alone, F.lit(0.0))).alias("q"))
+    often = words.select("w", F.greatest("p", "q").alias("p")).where(F.col("p") > COMMON_SHARE).collect()
+    common = np.sort(np.array([r["w"] for r in often], np.int64).view(np.uint64))
+    stop = np.sort(np.array([r["w"] for r in often if r["p"] > STOP_SHARE], np.int64).view(np.uint64))
+    marks, shares = np.zeros(0, np.uint64), np.zeros((0, max(1, len(langs))))
+    if len(langs) > 1:
+        known = rows.where(~F.col("whole") & F.col("lang").isin(langs)).withColumn("p", F.col("n") / share[F.col("lang")])
+        mark = known.groupBy("w").agg(F.max("p").alias("most"), F.map_from_entries(F.collect_list(F.struct("lang", "p"))).alias("by")).where(F.col("most") >= MARK_SHARE).collect()
+        key = np.array([r["w"] for r in mark], np.int64).view(np.uint64)
+        order = np.argsort(key)
+        marks = key[order]
+        shares = np.log(np.array([[mark[i]["by"].get(k, 0.0) + 0.01 for k in langs] for i in order]).reshape(len(order), len(langs)))
+    return Model(n, han_docs, common, stop, marks, shares, np.zeros(0, np.uint64), np.zeros((0, n)), np.zeros(0, np.uint64), None)
 
 
 def subject_areas(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
-    """``doc_id, area, sentences, posterior`` for every area that at least ``SENTENCES`` sentences deal with.
-
-    Features of labelled documents are weighed by complement naive Bayes; expectation
-    (sentence counts and calibrated posteriors of all documents) and maximisation (weights
-    from all documents) then alternate. Each area has a posterior of its own, so a document
-    may have none or several; the rows themselves follow from the sentence counts. Contexts that go with mentions in documents without the label
-    mark a mention as passing. All statistics cover all documents; the model, all
-    features that are sure, is gathered whole by the driver and sent to the tasks. Labels by several annotators are averaged, repeated ones
-    count once, unknown areas are ignored. Null, empty and blank texts have no area;
-    repeated document rows count once in the result. Without any label the result is empty.
+    """``doc_id, area, sentences, posterior`` for every area whose posterior is at least ``SURE``.
+
+    Complement naive Bayes weighs the features of labelled documents; its log odds decide
+    which areas a sentence deals with, and calibrated curves turn the number of sentences
+    of a document into an independent posterior for each area. The first curves count each
+    labelled document with weights from the other parts of the labels. Expectation
+    (posteriors of all documents) and maximisation (weights from all documents) then
+    alternate. Contexts that go with mentions in documents without the label mark a
+    mention as passing.
+
+    ``docs`` has ``doc_id, text`` and may have ``lang``, from which the marks of languages
+    are learned. All statistics cover all documents and whole texts; the model, all
+    features that are sure, is gathered by the driver and sent to the tasks. Labels by
+    several annotators are averaged, repeated ones count once, unknown areas are ignored.
+    Null, empty and blank texts have no area; repeated document rows count once in the
+    result. Without any label the result is empty.
     """
     names = sorted(r[0] for r in areas.select("area").distinct().collect() if r[0])
     n = len(names)
-    lab = labels.where("doc_id is not null and area is not null and annotator_id is not null").select("doc_id", "area", "annotator_id").distinct()
-    soft = lab.groupBy("doc_id").agg(
-        F.transform(F.array(*[F.sum(F.when(F.col("area") == a, 1.0).otherwise(0.0)) for a in names]), lambda x: x).alias("votes"), F.count_distinct("annotator_id").alias("k")
-    ).select("doc_id", F.transform("votes", lambda v: F.least(v / F.col("k"), F.lit(1.0))).alias("label"))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([tokens(t) for t in part.column("text").to_pylist()], pa.list_(pa.list_(pa.string()))), part.column("label")], names=["doc_id", "toks", "label"])
-
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ctx = docs.sparkSession.sparkContext
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * ctx.defaultParallelism)
-    text = docs.where("doc_id is not null and text is not null").select("doc_id", "text").repartition(tasks, "doc_id").join(soft, "doc_id", "left")
-    toks = cut(text.select("doc_id", "text", "label").mapInArrow(split, f"doc_id {kind}, toks array<array<string>>, label array<double>").where(F.size("toks") > 0))
-    total = toks.count()
-    if not total or not n or toks.where("label is not null").isEmpty():
-        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, area string, sentences int, posterior double")
-
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c: Counter[str] = Counter()
-            for doc in batch.column("toks").to_pylist():
-                c.update({w for s in doc for w in s if not is_han(w)})
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["w", "n"])
-
-    # at most (words a document) / COMMON_SHARE words can be common
-    often = toks.select("toks").mapInArrow(seen, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON_SHARE * total)
-    common = {r["w"]: r["n"] > STOP_SHARE * total for r in often.collect()}
-    lexicon: dict[str, int] = {}
-    passing: set[str] = set()
-    posterior: np.ndarray | None = None
+    schema = f"doc_id {kind}, area string, sentences int, posterior double"
+    lab = labels.where("doc_id is not null and area is not null and annotator_id is not null").select("doc_id", "area", "annotator_id").distinct()
+    soft = lab.groupBy("doc_id").agg(F.array(*[F.sum(F.when(F.col("area") == a, 1.0).otherwise(0.0)) for a in names]).alias("votes"), F.count_distinct("annotator_id").alias("k"))
+    soft = soft.select("doc_id", F.transform("votes", lambda v: F.least(v / F.col("k"), F.lit(1.0))).alias("label"))
+    text = docs.where("doc_id is not null and text is not null").select("doc_id", "text", (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string").alias("lang"))
+    known = cut(text.join(soft, "doc_id").select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold")))
+    if not n or known.isEmpty():
+        return docs.sparkSession.createDataFrame([], schema)
+    model = _vocabulary(text, n)
+
+    # the weights of all labels, and for each part of the labelled documents those of the other parts
+    stats = cut(_statistics(known, model, True))
+    folds = []
+    for g in range(FOLDS):
+        f, w = _weights(stats.where(F.col("fold") != g), n, 2, True)
+        folds.append(Model(n, model.han_docs, model.common, model.stop, model.marks, model.shares, f, w, model.passing, None))
+    model.features, model.odds = _weights(stats, n, 2, True)
+    model.passing, model.posterior = _calibrated(known, folds)
+    everything = text.join(soft, "doc_id", "left").select("text", "label", F.lit(0).alias("fold"))
     for _ in range(ROUNDS):
-        lexicon = _lexicon(_features(toks, lexicon, passing, common, posterior, n), n)
-        passing, posterior = _labelled(toks, lexicon, passing, common, n)
+        model.features, model.odds = _weights(cut(_statistics(everything, model, False)), n, LEAST_DOCS, False, model.han_docs)
+        model.passing, model.posterior = _calibrated(known, [model])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, which, many, post = [], [], [], []
-            for i, doc in enumerate(batch.column("toks").to_pylist()):
-                s = counts(doc, [list(spans(w, common)) for w in doc], lexicon, passing, n)
-                for a in np.flatnonzero(s >= SENTENCES):
-                    ids.append(i)
-                    which.append(names[a])
-                    many.append(int(s[a]))
-                    post.append(float(posterior[language(doc), a, min(s[a], posterior.shape[2] - 1)]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(which, pa.string()), pa.array(many, pa.int32()), pa.array(post, pa.float64())], names=["doc_id", "area", "sentences", "posterior"])
-
-    out = toks.select("doc_id", "toks").mapInArrow(decide, f"doc_id {kind}, area string, sentences int, posterior double")
-    return out.groupBy("doc_id", "area").agg(F.max("sentences").alias("sentences"), F.max("posterior").alias("posterior"))
+        for whole in batches:
+            for batch in blocks(whole):
+                p = drop_common(parse(batch.column("text").to_pylist()), model)
+                s = counts(p, model)
+                r = model.posterior[language(p, model)[:, None], np.arange(n)[None, :], np.minimum(s, MOST)]
+                d, a = np.nonzero((s > 0) & (r >= SURE))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), pa.array([names[i] for i in a], pa.string()), pa.array(s[d, a]), pa.array(r[d, a])], names=["doc_id", "area", "sentences", "posterior"])
+
+    return text.select("doc_id", "text").mapInArrow(decide, schema).groupBy("doc_id", "area").agg(F.max("sentences").alias("sentences"), F.max("posterior").alias("posterior"))
 
 
 def composition(found: DataFrame, docs: DataFrame, areas: DataFrame) -> DataFrame:

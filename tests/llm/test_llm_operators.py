@@ -40,7 +40,7 @@ def edited(rng, n):
 
 # --- splits -----------------------------------------------------------------
 
-def test_families_link_repositories_and_commits(spark):
+def test_families_link_repositories_and_revisions(spark):
     full = "ab" * 20
     s = spark.createDataFrame([("s1", "O/A"), ("s1", "O/A"), ("s2", "https://h/o/a.git"), ("s3", None), ("s4", " "), ("s5", "o/b"), ("s6", None), (None, "o/a")], "sample_id string, repo string")
     u = spark.createDataFrame([("s3", full.upper()), ("s5", full[:12]), ("s6", None), ("s6", ""), ("zz", full)], "sample_id string, commit_id string")
@@ -222,7 +222,7 @@ def test_attribute_files_in_pool_diffs(spark, tmp_path):
 def test_water_level():
     assert caps.water_level([(10, 1), (2, 5)], 0.5) == 10
     assert caps.water_level([(100, 1), (2, 5)], 0.5) == 10
-    assert caps.water_level([(100, 1)], 0.5) == 1
+    assert caps.water_level([(100, 1)], 0.5) == 0 and caps.water_level([(100, 10)], 0.05) == 0 and caps.water_level([(100, 1)], 0.5, 50) == 50
     for hist, s in (([(50, 2), (7, 3), (1, 9)], 0.2), ([(9, 4), (3, 4)], 0.15)):
         t = caps.water_level(hist, s)
         out = lambda t: sum(n * min(c, t) for c, n in hist)
@@ -428,7 +428,52 @@ def test_subjects_calibrate_each_area_apart(spark):
     assert got["astro"][1] > 0.95 and abs(got["farm"][1] - 0.7) < 0.08
 
 
-def test_the_lexicon_keeps_every_sure_feature(spark):
-    sure = spark.range(60_000).select(F.concat(F.lit("w"), "id").alias("f"), *[F.lit(20.0).alias(c) for c in ("s0", "t", "n")])
-    whole = spark.createDataFrame([("", 500_000.0, 0.0, 1_000_000.0)], "f string, s0 double, t double, n double")
-    assert len(subjects._lexicon(sure.union(whole), 1)) == 60_000
+def test_the_model_keeps_every_sure_feature(spark):
+    f = spark.range(60_000).select(F.col("id").alias("f"), F.explode(F.array(F.struct(F.lit(-1).alias("area"), F.lit(20.0).alias("v"), F.lit(20).cast("long").alias("n")), F.struct(F.lit(0).alias("area"), F.lit(20.0).alias("v"), F.lit(0).cast("long").alias("n")))).alias("x")).select("f", F.lit(0).alias("fold"), "x.*")
+    whole = spark.createDataFrame([(-1, 0, -1, 1_000_000.0, 1_000_000), (-1, 0, 0, 500_000.0, 0)], "f long, fold int, area int, v double, n long")
+    keys, odds = subjects._weights(f.union(whole), 1, 4, False, 1_000_000)
+    assert len(keys) == 60_000 and (np.diff(keys.astype(np.float64)) >= 0).all() and (odds > subjects.ODDS).all()
+    # a Chinese feature (odd) in more than a tenth of the Chinese documents is common
+    assert len(subjects._weights(f.union(whole), 1, 4, False, 100)[0]) == 30_000
+
+
+WORD = re.compile(r"[A-ZÀ-ÖØ-Þ]+(?![a-zà-öø-ÿ])|[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+|[㐀-䶿一-鿿]+")
+
+
+def test_words_are_those_of_the_expression():
+    rng = random.Random(21)
+    alphabet = "abSsiesyXYZäÖß 日本中文_-.1!\n\0😀é"
+    texts = [None, "", " ", "HTTPServer parseXMLFiles 日本x", "bodies body berries dress dresses"] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(500)]
+    p = subjects.parse(texts)
+    want = [[w for s in subjects.SPLIT.split(subjects.FENCE.sub("\n\n", (t or "").replace("\0", " "))) for w in WORD.findall(s)] for t in texts]
+    doc = p.sentence_doc[p.w_sentence]
+    names: dict[int, str] = {}
+    for i, words_ in enumerate(want):
+        own = np.flatnonzero(doc == i)
+        assert len(own) == len(words_)
+        for j, w in zip(own.tolist(), words_):
+            w = w.lower()
+            w = w[:-3] + "y" if len(w) > 4 and w.endswith("ies") and w.isascii() else w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w
+            assert names.setdefault(int(p.word[j]), w) == w
+    assert len(set(names.values())) == len(names)
+    assert len(subjects.parse([]).word) == 0 and subjects.counts(subjects.drop_common(subjects.parse(["", None]), EMPTY_MODEL), EMPTY_MODEL).tolist() == [[0, 0], [0, 0]]
+
+
+def test_a_place_counts_for_its_longest_feature_only():
+    text = "the milk tank is cold. a tank and a milk tank here. nothing"
+    p = subjects.parse([text])
+    at = {text[a:b]: f for f, a, b in zip(p.feature.tolist(), p.f_start, p.f_end)}
+    keys = np.sort(np.array([at["milk tank"], at["tank"]], np.uint64))
+    odds = np.array([[2.0, 0.0] if k == at["milk tank"] else [0.0, 2.0] for k in keys.tolist()])
+    model = subjects.Model(2, 0, NONE, NONE, NONE, np.zeros((0, 1)), keys, odds, NONE, None)
+    sent, area, cover = subjects.mentions(p, model)
+    assert sorted(zip(sent.tolist(), area.tolist())) == [(0, 0), (1, 0), (1, 1)]
+    assert subjects.counts(p, model).tolist() == [[2, 1]]
+    model.passing = np.array([w for w, a, b in zip(p.word, p.w_start, p.w_end) if text[a:b] == "cold"], np.uint64)
+    assert subjects.counts(p, model).tolist() == [[1, 1]]
+
+
+NONE = np.zeros(0, np.uint64)
+EMPTY_MODEL = subjects.Model(2, 0, NONE, NONE, NONE, np.zeros((0, 1)), NONE, np.zeros((0, 2)), NONE, None)
+
+
