@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from difflode.functions.words import jaccard, word_set
+from difflode.plans.lineage import stored
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -27,9 +28,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def with_classes(docs: DataFrame, group: str, text: str, min_words: int = 1) -> DataFrame:
-    """``docs`` with ``words`` and ``cls``, a 64-bit name of group and word set; texts of fewer words are left out."""
-    w = docs.withColumn("words", word_set(F.col(text))).drop(text).where(F.size("words") >= max(1, min_words))
-    return w.withColumn("cls", F.xxhash64(group, "words"))
+    """``docs`` with ``words`` and ``cls``, a 64-bit name of group and word set; texts of fewer words are left out.
+
+    The word sets cost more than all later steps, so they are made once and stored.
+    """
+    w = docs.withColumn("words", word_set(F.col(text))).drop(text).withColumn("cls", F.xxhash64(group, "words"))
+    # the condition follows the table: before it, the optimiser would make the word sets twice; a name that
+    # cannot be null keeps all readers of the class table on one shuffle, as no condition on it is pushed below
+    return stored(w).withColumn("cls", F.coalesce("cls", F.lit(0))).where(F.size("words") >= max(1, min_words))
 
 
 def class_table(docs: DataFrame, group: str, flags: tuple[str, ...] = ()) -> DataFrame:
@@ -75,11 +81,12 @@ def near(a: str, b: str, radius: int | Column) -> Column:
 def verified(candidates: DataFrame, classes: DataFrame, threshold: float, also: Column | None = None) -> DataFrame:
     """``c1, c2, similarity`` of the candidate pairs of one group whose word sets reach the threshold.
 
-    ``also`` is a further condition on the aliased sides ``a`` and ``b``. Both sides read all
-    columns of the class table, so that its shuffle is made once and used by all readers.
+    ``also`` is a further condition on the aliased sides ``a`` and ``b``. Both sides read the
+    class table as the buckets do, so that its shuffle is made once and used by all readers;
+    the groups are compared after the join, for as a key they would shuffle it again.
     """
     a, b = classes.alias("a"), classes.alias("b")
-    j = candidates.join(a, F.col("c1") == F.col("a.cls")).join(b, F.col("c2") == F.col("b.cls")).where(F.col("a.grp") == F.col("b.grp"))
+    j = candidates.join(a, F.col("c1") == F.col("a.cls")).join(b, F.col("c2") == F.col("b.cls")).where(F.col("a.grp").bitwiseXOR(F.col("b.grp")) == 0)
     if also is not None:
         j = j.where(also)
     j = j.select("c1", "c2", jaccard(F.col("a.words"), F.col("b.words")).alias("similarity"))
