@@ -94,7 +94,7 @@ def subset_sizes(threshold: float) -> dict[int, range]:
 
 
 def subset_rows(classes: DataFrame, threshold: float) -> DataFrame:
-    """``key, cls, is_train, is_eval``: a row for each set of words that a small class may share with another; the group is part of the key."""
+    """``key, cls``: a row for each set of words that a small class may share with another; the group is part of the key."""
     sizes = subset_sizes(threshold)
     picks = {n: [np.array(list(combinations(range(n), k))) for k in ks] for n, ks in sizes.items()}
 
@@ -110,11 +110,11 @@ def subset_rows(classes: DataFrame, threshold: float) -> DataFrame:
                 keys = np.concatenate([mix(words[:, c].sum(axis=2, dtype=np.uint64) + salt(c.shape[1])) for c in picks[int(n)]], axis=1)
                 part = batch.take(pa.array(at))
                 arr = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.view(np.int64).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("cls", "grp", "is_train", "is_eval")], arr], names=["cls", "grp", "is_train", "is_eval", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("cls"), part.column("grp"), arr], names=["cls", "grp", "keys"])
 
-    small = classes.where(F.size("words").isin(list(sizes))).select("cls", "grp", "is_train", "is_eval", "words")
-    rows = small.mapInArrow(run, "cls long, grp long, is_train boolean, is_eval boolean, keys array<long>").withColumn("key", F.explode("keys"))
-    return rows.select(F.col("key").bitwiseXOR(F.col("grp")).alias("key"), "cls", "is_train", "is_eval")
+    small = classes.where(F.size("words").isin(list(sizes))).select("cls", "grp", "words")
+    rows = small.mapInArrow(run, "cls long, grp long, keys array<long>").withColumn("key", F.explode("keys"))
+    return rows.select(F.col("key").bitwiseXOR(F.col("grp")).alias("key"), "cls")
 
 
 def similar_across(docs: DataFrame, group: str, key: str, text: str, split: str = "split", threshold: float = 0.7) -> DataFrame:
@@ -133,15 +133,14 @@ def similar_across(docs: DataFrame, group: str, key: str, text: str, split: str
     classes = class_table(d, group, ("is_train", "is_eval"))
     # a class of so few words has no pair that its shared words do not find
     covered = max((ks.stop - 1 for ks in subset_sizes(threshold).values()), default=0)
-    rows = bucketed(classes.where(F.size("words") > covered), _kernel, keep=("is_train", "is_eval"))
+    large = classes.where(F.size("words") > covered)
     cand = (
-        rows.where("is_eval").alias("a").join(rows.where("is_train").alias("b"), F.col("a.key") == F.col("b.key"))
+        bucketed(large.where("is_eval"), _kernel).alias("a").join(bucketed(large.where("is_train"), _kernel).alias("b"), F.col("a.key") == F.col("b.key"))
         .where((F.col("a.cls") != F.col("b.cls")) & near("a", "b", RADIUS))
         .select(F.col("a.cls").alias("c1"), F.col("b.cls").alias("c2"))
     )
-    few = subset_rows(classes, threshold)
     cand = cand.union(
-        few.where("is_eval").alias("a").join(few.where("is_train").alias("b"), F.col("a.key") == F.col("b.key"))
+        subset_rows(classes.where("is_eval"), threshold).alias("a").join(subset_rows(classes.where("is_train"), threshold).alias("b"), F.col("a.key") == F.col("b.key"))
         .where(F.col("a.cls") != F.col("b.cls")).select(F.col("a.cls").alias("c1"), F.col("b.cls").alias("c2"))
     ).distinct()
     across = (F.col("a.is_eval") & F.col("b.is_train")) | (F.col("b.is_eval") & F.col("a.is_train"))
@@ -154,8 +153,8 @@ def similar_across(docs: DataFrame, group: str, key: str, text: str, split: str
     return both.select(group, "id_train", "id_eval").distinct()
 
 
-def same_commit_across(records: DataFrame, key: str, sha: str, split: str = "split") -> DataFrame:
-    """``id_train, id_eval`` of records of the same commit; a short id names the commits it begins."""
+def same_revision_across(records: DataFrame, key: str, sha: str, split: str = "split") -> DataFrame:
+    """``id_train, id_eval`` of records of the same revision; a short id names those it begins."""
     r = records.where(F.col(key).isNotNull() & F.col(split).isin("train", "dev", "test")).select(F.col(key).alias("k"), canonical_sha(F.col(sha)).alias("id"), (F.col(split) == "train").alias("is_train"))
     r = cut(r.where(F.col("id").isNotNull()).distinct())
     full = r.join(resolve_short_ids(r, "id"), "id").select("full_id", "k", "is_train")
@@ -165,12 +164,12 @@ def same_commit_across(records: DataFrame, key: str, sha: str, split: str = "spl
 
 
 def split_overlaps(samples: DataFrame, examples: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``origin, id_train, id_eval``: overlaps of the samples' diffs, and of the examples' commits or subjects."""
+    """``origin, id_train, id_eval``: overlaps of the samples' diffs, and of the examples' revisions or subjects."""
     s = samples.select(F.lit("attribution_samples").alias("origin"), F.col("sample_id").alias("id"), F.col("diff_text").alias("text"), canonical_split(F.col("split")).alias("split"))
     x = examples.select(F.lit("fewshot_pool").alias("origin"), F.col("example_id").alias("id"), F.col("subject").alias("text"), canonical_split(F.col("split")).alias("split"))
     texts = similar_across(s.union(x), "origin", "id", "text", threshold=threshold)
-    commits = same_commit_across(examples.withColumn("split", canonical_split(F.col("split"))), "example_id", "sha")
-    return texts.union(commits.select(F.lit("fewshot_pool").alias("origin"), "id_train", "id_eval")).distinct()
+    revisions = same_revision_across(examples.withColumn("split", canonical_split(F.col("split"))), "example_id", "sha")
+    return texts.union(revisions.select(F.lit("fewshot_pool").alias("origin"), "id_train", "id_eval")).distinct()
 
 
 def overlap_report(pairs: DataFrame, samples: DataFrame, examples: DataFrame) -> DataFrame:
