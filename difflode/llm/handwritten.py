@@ -6,12 +6,15 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from difflode.functions.repo import canonical_repo
+from difflode.plans.lineage import cut, stored
 
-#: Attribute lines that stand for the declaration which most repositories lack.
+#: Attribute lines of common tools, the seeds of mining. A seed counts as ``SEED_FILES`` files of which ``SEED_HITS``
+#: show evidence, so that it holds where there are few files and falls where many files of a collection speak against it.
 EQUIVALENT_ATTRIBUTES = """
 node_modules/** linguist-vendored
 **/node_modules/** linguist-vendored
@@ -104,19 +107,25 @@ MARK = rf"(?im)^[+\- ]?[ \t]*(?://+|#+|/\*+!?|\*+|--+|;+|<!--+|%+|\(\*|\"{{3}}|'
 SOURCE_MAP = r"(?m)^[+\- ]?\s*\{\"version\":\s*3,|\"mappings\":\s*\"[A-Za-z0-9+/,;]{20,}|^[+\- ]?\s*//[#@] sourceMappingURL="
 SNAPSHOT = r"(?m)^[+\- ]?// Jest Snapshot v\d"
 BLOB_LINE = r"^[+\- ]?\s*(?:[\[({]*\s*(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)[uUlLfF]*\s*[,;]\s*){4,}[^A-Za-z_]*[0-9a-fA-FxX.]*[\])}]*[,;]?|[\"'](?:[A-Za-z0-9+/=]{40,}|(?:\\\\x[0-9a-fA-F]{2}){8,})[\"'][,;+)\s]*|[A-Za-z0-9+/]{60,}={0,2})\s*$"
+#: Lines of lock files, and what a text must hold to be searched for them.
+LOCK_LINE = r"^[+\- ]?\s*(?:\"?integrity\"?:?\s+\"?sha\d+-[A-Za-z0-9+/=]{20,}|checksum = \"[0-9a-f]{32,}\"|\S+ v\S+ h1:[A-Za-z0-9+/=]{20,}|\"?resolved\"?:?\s+\"https?://|\{?\s*file = \".*hash = \"sha256:|\"sha256:[0-9a-f]{64}\")"
+LOCK_ANY = r"integrity\W|checksum = |\sh1:|resolved\W|sha256:"
 LONG = 300
 #: A mined pattern needs so many files and a lower bound of their share with evidence in the content (Wilson, z = 2.58).
 MINED_FILES, MINED_SHARE, Z = 40, 0.12, 2.58
+SEED_FILES, SEED_HITS = 20, 8
 
 
 def glob_regex(pattern: str) -> str:
     """A regular expression for whole relative paths, by the rules of attribute files.
 
     A pattern without a slash matches the name in any directory, one with a slash is
-    anchored; ``*`` and ``?`` stop at slashes, ``**`` does not.
+    anchored; ``*`` and ``?`` stop at slashes, ``**`` does not. A pattern that ends with a
+    slash names directories, which have no attributes, and so matches no file.
     """
-    p = pattern.rstrip("/") + ("/**" if pattern.endswith("/") else "")
-    p, anchored = (p[1:], True) if p.startswith("/") else (p, "/" in p)
+    if pattern.endswith("/"):
+        return r"^(?!)$"
+    p, anchored = (pattern[1:], True) if pattern.startswith("/") else (pattern, "/" in pattern)
     out, i = ("" if anchored else r"(?:.*/)?"), 0
     while i < len(p):
         c = p[i]
@@ -138,8 +147,8 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
-def parse_attributes(text: str | None) -> list[tuple[int, str, str, bool]]:
-    """``(line, pattern, attribute, value)`` of the lines that set or unset ``generated`` or ``vendored``."""
+def parse_attributes(text: str | None) -> list[tuple[int, str, str, bool | None]]:
+    """``(line, pattern, attribute, value)`` of the lines that set, unset (``-``) or unspecify (``!``, no value) ``generated`` or ``vendored``."""
     rows = []
     for n, line in enumerate((text or "").splitlines(), 1):
         line = line.strip()
@@ -155,7 +164,7 @@ def parse_attributes(text: str | None) -> list[tuple[int, str, str, bool]]:
             name, _, value = a.lstrip("-!").partition("=")
             kind = {"linguist-generated": "generated", "gitlab-generated": "generated", "linguist-vendored": "vendored"}.get(name)
             if kind:
-                rows.append((n, pattern, kind, not a.startswith(("-", "!")) and value.lower() not in ("false", "0", "no")))
+                rows.append((n, pattern, kind, None if a.startswith("!") else not a.startswith("-") and value.lower() not in ("false", "0", "no")))
     return rows
 
 
@@ -164,8 +173,36 @@ def clean_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(path), r"\\", "/"), r"^(?:\.?/)+", "")
 
 
+def rule_key(pattern: str, folder: str) -> tuple[str, str]:
+    """What a path must have for a pattern to be worth trying on it: a name, an ending from a dot on, a folder, or nothing known."""
+    special = re.compile(r"[*?\[\\]")
+    if "/" not in pattern:
+        if not special.search(pattern):
+            return "name", pattern
+        if pattern.startswith("*.") and not special.search(pattern[1:]):
+            return "end", pattern[1:]
+        return "any", ""
+    head = pattern.lstrip("/").split("/")
+    fixed = head[: next((i for i, x in enumerate(head) if special.search(x)), len(head) - 1)]
+    whole = "/".join([*([folder] if folder else []), *fixed])
+    return ("folder", whole) if fixed else ("any", "")
+
+
+def path_keys(path: Column) -> Column:
+    """The keys of a path that rules may have: its name, every ending of the name, every folder it lies in, and none."""
+    parts = F.split(path, "/")
+    name = F.element_at(parts, -1)
+    dots = F.split(name, r"\.")
+    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("key"))
+    ends = F.when(F.size(dots) > 1, F.transform(F.sequence(F.lit(2), F.size(dots)), lambda i: key("end", F.concat(F.lit("."), F.array_join(F.slice(dots, i, F.size(dots)), "."))))).otherwise(F.array().cast("array<struct<kind:string,key:string>>"))
+    folders = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: key("folder", F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.array().cast("array<struct<kind:string,key:string>>"))
+    return F.concat(F.array(key("name", name), key("any", F.lit(""))), ends, folders)
+
+
 def attribute_rules(files: DataFrame) -> DataFrame:
-    """``repo, depth, line, regex, attribute, value`` from ``repo, path, text`` of attribute files."""
+    """``repo, depth, line, kind, key, regex, attribute, value`` from ``repo, path, text`` of attribute files."""
+    cols = ["repo", "depth", "line", "kind", "key", "regex", "attribute", "value"]
+
     def rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -173,25 +210,43 @@ def attribute_rules(files: DataFrame) -> DataFrame:
                 folder = path.rpartition("/")[0]
                 prefix = re.escape(folder + "/") if folder else ""
                 for line, pattern, kind, value in parse_attributes(text):
-                    rows.append((repo, len(folder.split("/")) if folder else 0, line, "^" + prefix + glob_regex(pattern)[1:], kind, value))
-            yield pd.DataFrame(rows, columns=["repo", "depth", "line", "regex", "attribute", "value"])
+                    rows.append((repo, len(folder.split("/")) if folder else 0, line, *rule_key(pattern, folder), "^" + prefix + glob_regex(pattern)[1:], kind, value))
+            yield pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(cols)})
 
     src = files.select("repo", "path", "text").where("repo is not null and path is not null and text is not null")
-    return src.mapInPandas(rules, "repo string, depth int, line int, regex string, attribute string, value boolean")
+    return src.mapInPandas(rules, "repo string, depth int, line int, kind string, key string, regex string, attribute string, value boolean")
 
 
 def declared(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """``repo, path, is_declared`` where a rule matches: the deepest file's last line decides for each attribute."""
-    hit = paths.select("repo", "path").distinct().join(rules, "repo").where(F.expr("path rlike regex"))
-    last = hit.groupBy("repo", "path", "attribute").agg(F.max_by("value", F.struct("depth", "line")).alias("value"))
-    return last.groupBy("repo", "path").agg(F.max("value").alias("is_declared"))
+    """``repo, path, is_declared`` where a rule matches: the deepest file's last line decides for each attribute.
+
+    A path meets the rules of its repository that share its name, an ending or a folder,
+    and those of no such key; the expressions are tried on these pairs only, compiled once a task.
+    """
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled: dict[str, re.Pattern] = {}
+        for batch in batches:
+            keep = []
+            for path, regex in zip(batch.column("path").to_pylist(), batch.column("regex").to_pylist()):
+                rx = compiled.get(regex)
+                if rx is None:
+                    rx = compiled[regex] = re.compile(regex)
+                keep.append(rx.match(path) is not None)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    keyed = paths.select("repo", "path").distinct().select("repo", "path", F.explode(path_keys(F.col("path"))).alias("k")).select("repo", "path", "k.*")
+    pairs = keyed.join(rules, ["repo", "kind", "key"]).select("repo", "path", "depth", "line", "regex", "attribute", "value")
+    hit = pairs.mapInArrow(tried, pairs.schema)
+    last = hit.groupBy("repo", "path", "attribute").agg(F.max_by(F.struct("value"), F.struct("depth", "line")).alias("v"))
+    return last.groupBy("repo", "path").agg(F.max("v.value").alias("is_declared"))
 
 
 def content_evidence(text: Column) -> Column:
     """Whether a patch shows that its file is generated, copied, minified or data.
 
     A marking comment (in strings it does not count), a source map, a snapshot head, a very
-    long line of code without spaces, or mostly rows of numbers or encoded data.
+    long line of code without spaces, mostly rows of numbers or encoded data, or mostly
+    digests of packages.
     """
     t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: (F.length(F.trim(x)) > 1) & ~x.rlike(r"^(?:@@ |diff --git |index |--- |\+\+\+ )"))
@@ -202,61 +257,96 @@ def content_evidence(text: Column) -> Column:
         & (F.length(F.translate(x, "{}();=", "")) * 100 <= F.length(x) * 94),
     )
     rows = F.size(F.filter(lines, lambda x: x.rlike(BLOB_LINE)))
-    return t.rlike(MARK) | t.rlike(SOURCE_MAP) | t.rlike(SNAPSHOT) | dense | ((rows >= 3) & (rows * 2 >= F.size(lines)))
+    locks = F.size(F.filter(lines, lambda x: x.rlike(LOCK_LINE)))
+    return t.rlike(MARK) | t.rlike(SOURCE_MAP) | t.rlike(SNAPSHOT) | dense | ((rows >= 3) & (rows * 2 >= F.size(lines))) | (t.rlike(LOCK_ANY) & (locks >= 2) & (locks * 5 >= F.size(lines) * 2))
+
+
+def name_features(path: Column) -> Column:
+    """Patterns that the name of a file is an instance of: the name, its last parts, its first one or two parts; digits count alike."""
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\d+", "#")
+    found = [("end:", r"([._-][A-Za-z0-9#]+\.[A-Za-z0-9#]+)$"), ("end:", r"(-#\.#\.#\.[a-z]+)$"), ("begin:", r"^([A-Za-z]+[_.-])"), ("begin:", r"^([A-Za-z]+[_.-][A-Za-z]+[_.-])")]
+    return F.array_distinct(F.filter(F.array(F.concat(F.lit("name:"), name), *[F.when(name.rlike(rx), F.concat(F.lit(k), F.regexp_extract(name, rx, 1))) for k, rx in found]), lambda x: x.isNotNull()))
 
 
-def path_features(path: Column) -> Column:
-    """Patterns a path is an instance of: its first folder, unusual folders, pairs of folders, multiple endings, name beginnings."""
+def folder_features(path: Column) -> Column:
+    """Patterns that the folders of a path are instances of: the first one, each one, each two that follow; digits count alike, and names of versioned folders."""
     parts = F.split(path, "/")
-    dirs = F.slice(parts, 1, F.size(parts) - 1)
-    name = F.regexp_replace(F.element_at(parts, -1), r"\d+", "#")
+    dirs = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x: F.regexp_replace(F.regexp_replace(x, r"\d+", "#"), r"^.*(?=-#\.#)", "*"))
     none = F.array().cast("array<string>")
-    return F.concat(
+    pairs = F.transform(F.arrays_zip(F.slice(dirs, 1, F.size(dirs) - 1).alias("a"), F.slice(dirs, 2, F.size(dirs) - 1).alias("b")), lambda x: F.concat(F.lit("pair:"), x["a"], F.lit("/"), x["b"]))
+    return F.array_distinct(F.concat(
         F.when(F.size(dirs) > 0, F.array(F.concat(F.lit("root:"), F.element_at(parts, 1)))).otherwise(none),
-        F.transform(F.filter(dirs, lambda x: x.rlike(r"[^a-z]")), lambda x: F.concat(F.lit("dir:"), F.regexp_replace(F.regexp_replace(x, r"\d+", "#"), r"^.*(?=-#\.#)", "*"))),
-        F.when(F.size(dirs) > 1, F.transform(F.arrays_zip(F.slice(dirs, 1, F.size(dirs) - 1).alias("a"), F.slice(dirs, 2, F.size(dirs) - 1).alias("b")), lambda x: F.concat(F.lit("pair:"), x["a"], F.lit("/"), x["b"]))).otherwise(none),
-        F.when(name.rlike(r"\..*\."), F.array(F.concat(F.lit("end:"), F.regexp_extract(name, r"(\.[^.]+\.[^.]+)$", 1)))).otherwise(none),
-        F.when(name.rlike(r"^[a-z]+[_.-]"), F.array(F.concat(F.lit("name:"), F.regexp_extract(name, r"^([a-z]+[_.-])", 1)))).otherwise(none),
-    )
+        F.transform(dirs, lambda x: F.concat(F.lit("dir:"), x)), F.when(F.size(dirs) > 1, pairs).otherwise(none),
+    ))
+
+
+def seed_features(path: Column) -> Column:
+    """The seeds that match a path, as ``seed:`` and the pattern."""
+    seeds = [line.split()[0] for line in EQUIVALENT_ATTRIBUTES.split("\n") if line]
+    every = "|".join(f"(?:{glob_regex(s)[1:-1]})" for s in seeds)
+    each = F.filter(F.array(*[F.when(path.rlike(glob_regex(s)), F.lit(f"seed:{s}")) for s in seeds]), lambda x: x.isNotNull())
+    return F.when(path.rlike(f"^(?:{every})$"), each).otherwise(F.array().cast("array<string>"))
 
 
-def mined_patterns(files: DataFrame) -> DataFrame:
-    """``feature`` of the path patterns whose files show evidence in their content often enough.
+def accepted(paths: DataFrame, features: Column) -> DataFrame:
+    """``feature`` of the patterns whose files show evidence often enough; ``paths`` has ``path, evidence``, one row a path.
 
-    ``files`` has ``path, evidence``, without the files that an equivalent pattern explains;
-    each distinct path counts once, so copies and hot repositories do not weigh more. All files are counted, with partial aggregation.
+    Each distinct path counts once, so copies and hot repositories do not weigh more; all
+    paths are counted, with partial aggregation.
     """
-    one = files.where("path != ''").groupBy("path").agg(F.max("evidence").alias("evidence"))
-    f = one.select(F.explode(F.array_distinct(path_features(F.col("path")))).alias("feature"), F.col("evidence").cast("int").alias("e"))
-    c = f.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("k")).where(F.col("n") >= MINED_FILES)
-    p, z2 = F.col("k") / F.col("n"), Z * Z
-    low = (p + z2 / (2 * F.col("n")) - Z * F.sqrt((p * (1 - p) + z2 / (4 * F.col("n"))) / F.col("n"))) / (1 + z2 / F.col("n"))
+    f = paths.select(F.explode(features).alias("feature"), F.col("evidence").cast("int").alias("e"))
+    seed = F.col("feature").startswith("seed:")
+    c = f.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("k")).where(seed | (F.col("n") >= MINED_FILES))
+    n, k, z2 = F.col("n") + F.when(seed, SEED_FILES).otherwise(0), F.col("k") + F.when(seed, SEED_HITS).otherwise(0), Z * Z
+    p = k / n
+    low = (p + z2 / (2 * n) - Z * F.sqrt((p * (1 - p) + z2 / (4 * n)) / n)) / (1 + z2 / n)
     return c.where(low >= MINED_SHARE).select("feature")
 
 
-def not_handwritten(files: DataFrame, attribute_files: DataFrame | None = None) -> DataFrame:
-    """``origin, record_id, file_path`` of the files that nobody wrote by hand.
+def mined(files: DataFrame) -> DataFrame:
+    """``path, pattern`` of the paths that a mined pattern (``mined``) or only a seed (``seed``) explains.
+
+    ``files`` has ``path, evidence``. Names are mined first, then folders on the paths that
+    no name explains, so that a folder of some generated files does not stand for all in it.
+    """
+    paths = cut(files.where("path != ''").groupBy("path").agg(F.max("evidence").alias("evidence")))
+    names, folders = F.concat(seed_features(F.col("path")), name_features(F.col("path"))), folder_features(F.col("path"))
+
+    def explained(left: DataFrame, features: Column) -> DataFrame:
+        hit = left.select("path", F.explode(features).alias("feature")).join(accepted(left, features), "feature")
+        return hit.groupBy("path").agg(F.min(F.when(F.col("feature").startswith("seed:"), "seed").otherwise("mined")).alias("pattern"))
+
+    first = cut(explained(paths, names))
+    second = explained(paths.join(first, "path", "left_anti"), folders)
+    # a seed that also lies in a mined folder is explained by mining
+    alone = explained(paths.join(first.where("pattern = 'mined'"), "path", "left_anti"), folders).select("path").join(first, "path", "left_semi").withColumn("pattern", F.lit("mined"))
+    return first.union(second).union(alone).groupBy("path").agg(F.min("pattern").alias("pattern"))
+
 
-    ``files`` has ``origin, record_id, file_path, repo, text``. What a repository declares
-    in attribute files decides first (``attribute_files``: ``repo, path, text``), for and
-    against; where it declares nothing, equivalent patterns, patterns mined from the whole
-    collection, or the content of the patch decide. Null paths and null or empty texts are
-    no evidence; rows whose path and text are both null are left out; copies give one row.
+def decided(files: DataFrame, attribute_files: DataFrame | None = None) -> DataFrame:
+    """``origin, record_id, file_path, decided_by`` of the files that nobody wrote by hand.
+
+    ``files`` has ``origin, record_id, file_path, repo, evidence`` (of the content, see
+    ``content_evidence``). What a repository declares in attribute files decides first
+    (``attribute_files``: ``repo, path, text``), for and against; where it declares
+    nothing, patterns mined from the whole collection, seeds of mining or the content of
+    the patch decide: ``declared``, ``mined``, ``seed`` or ``content``. Null paths and
+    evidence are no evidence; a row without both is left out; copies give one row.
     """
-    f = files.select("origin", "record_id", "file_path", canonical_repo(F.col("repo")).alias("repo"), F.coalesce(clean_path(F.col("file_path")), F.lit("")).alias("path"), content_evidence(F.col("text")).alias("evidence"))
-    equal = "|".join(f"(?:{glob_regex(line.split()[0])[1:-1]})" for line in EQUIVALENT_ATTRIBUTES.split("\n") if line)
-    f = f.withColumn("known", F.col("path").rlike(f"^(?:{equal})$"))
-    mined = mined_patterns(f.where(~F.col("known")))
-    open_ = f.where(~F.col("known") & ~F.col("evidence") & (F.col("path") != "")).select("path").distinct()
-    by_pattern = open_.select("path", F.explode(path_features(F.col("path"))).alias("feature")).join(mined, "feature", "left_semi").select("path").distinct().withColumn("mined", F.lit(True))
-    f = f.join(by_pattern, "path", "left")
-    verdict = F.col("known") | F.col("evidence") | F.coalesce("mined", F.lit(False))
+    f = stored(files.select("origin", "record_id", "file_path", canonical_repo(F.col("repo")).alias("repo"), F.coalesce(clean_path(F.col("file_path")), F.lit("")).alias("path"), F.coalesce("evidence", F.lit(False)).alias("evidence")))
+    f = f.join(mined(f), "path", "left")
+    by = F.coalesce("pattern", F.when(F.col("evidence"), "content"))
     if attribute_files is not None:
         own = attribute_files.select(canonical_repo(F.col("repo")).alias("repo"), clean_path(F.col("path")).alias("path"), "text")
         d = declared(f.where("repo is not null").select("repo", "path"), attribute_rules(own)).select(F.col("repo").alias("r"), F.col("path").alias("p"), "is_declared")
         f = f.join(d, (F.col("repo") == F.col("r")) & (F.col("path") == F.col("p")), "left")
-        verdict = F.coalesce("is_declared", verdict)
-    return f.where(verdict).select("origin", "record_id", "file_path").distinct()
+        by = F.when(F.col("is_declared"), "declared").when(F.col("is_declared").isNull(), by)
+    return f.withColumn("decided_by", by).where("decided_by is not null").groupBy("origin", "record_id", "file_path").agg(F.min("decided_by").alias("decided_by"))
+
+
+def not_handwritten(files: DataFrame, attribute_files: DataFrame | None = None) -> DataFrame:
+    """``origin, record_id, file_path`` of the files that nobody wrote by hand, see ``decided``."""
+    return decided(files, attribute_files).select("origin", "record_id", "file_path")
 
 
 def listed_files(col: Column) -> Column:
@@ -268,9 +358,15 @@ def listed_files(col: Column) -> Column:
 
 def sections(diff: Column) -> Column:
     """The parts of a diff, one for each file, each starting with the two paths."""
-    return F.slice(F.split(F.concat(F.lit("\n"), diff), r"\ndiff --git "), 2, 1_000_000)
-
-
-def section_of(parts: Column, path: Column) -> Column:
-    """The text of the parts whose old or new path is this one."""
-    return F.array_join(F.filter(parts, lambda s: s.startswith(F.concat(F.lit("a/"), path, F.lit(" "))) | F.substring_index(s, "\n", 1).endswith(F.concat(F.lit(" b/"), path))), "\n")
+    parts = F.split(F.concat(F.lit("\n"), diff), r"\ndiff --git ")
+    return F.slice(parts, 2, F.size(parts))
+
+
+def section_paths(part: Column) -> Column:
+    """The distinct old and new path of a part of a diff."""
+    head = F.regexp_replace(F.substring_index(part, "\n", 1), r"\r$", "")
+    half = ((F.length(head) - 1) / 2).cast("int")
+    old, new = F.substring(head, F.lit(1), half), F.substring(head, half + 2, half)
+    same = (F.length(head) % 2 == 1) & old.startswith("a/") & new.startswith("b/") & (F.substring(old, F.lit(3), half) == F.substring(new, F.lit(3), half))
+    two = F.array(F.regexp_extract(head, r"^\"?a/(.*?)\"? \"?b/", 1), F.regexp_extract(head, r" \"?b/(.*?)\"?$", 1))
+    return F.when(same, F.array(F.substring(old, F.lit(3), half))).otherwise(F.array_distinct(F.filter(two, lambda x: x != "")))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from difflode.functions.repo import canonical_repo, canonical_sha, canonical_split
-from difflode.llm.classes import GOLD, bucketed, class_table, mix, near, salt, verified, with_classes
+from difflode.llm.classes import GOLD, bucketed, class_table, mix, near, plausible, salt, verified, with_classes
 from difflode.operators.shortids import resolve_short_ids
 from difflode.plans.lineage import cut
 
@@ -126,6 +126,16 @@ def similar_across(docs: DataFrame, group: str, key: str, text: str, split: str
     holds train, dev and test; other values and null take no part, nor do texts without a
     word. Classes fold copies, so repeated texts never multiply in the buckets.
     """
+    m, pairs = across_classes(docs, group, key, text, split, threshold)
+    same = m.groupBy("cls").agg(F.max("is_train").alias("t"), F.min("is_train").alias("e")).where("t and not e").select(F.col("cls").alias("c1"), F.col("cls").alias("c2"))
+    a = m.where("not is_train").select(F.col("cls").alias("c1"), F.col(group).alias(group), F.col(key).alias("id_eval"))
+    b = m.where("is_train").select(F.col("cls").alias("c2"), F.col(group).alias("g2"), F.col(key).alias("id_train"))
+    both = pairs.union(same).join(a, "c1").join(b, "c2").where((F.col(group) == F.col("g2")) & (F.col("id_eval") != F.col("id_train")))
+    return both.select(group, "id_train", "id_eval").distinct()
+
+
+def across_classes(docs: DataFrame, group: str, key: str, text: str, split: str = "split", threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """``(members, pairs)``: the documents with their class and side, and the verified pairs of classes of which one has evaluation and the other training texts."""
     d = docs.where(F.col(key).isNotNull() & F.col(split).isin("train", "dev", "test")).select(
         group, key, text, (F.col(split) == "train").alias("is_train"), (F.col(split) != "train").alias("is_eval")
     )
@@ -144,13 +154,29 @@ def similar_across(docs: DataFrame, group: str, key: str, text: str, split: str
         .where(F.col("a.cls") != F.col("b.cls")).select(F.col("a.cls").alias("c1"), F.col("b.cls").alias("c2"))
     ).distinct()
     across = (F.col("a.is_eval") & F.col("b.is_train")) | (F.col("b.is_eval") & F.col("a.is_train"))
-    pairs = verified(cand, classes, threshold, across).select("c1", "c2")
-    m = cut(d.select("cls", group, key, "is_train").distinct())
-    same = m.groupBy("cls").agg(F.max("is_train").alias("t"), F.min("is_train").alias("e")).where("t and not e").select(F.col("cls").alias("c1"), F.col("cls").alias("c2"))
-    a = m.where("not is_train").select(F.col("cls").alias("c1"), F.col(group).alias(group), F.col(key).alias("id_eval"))
-    b = m.where("is_train").select(F.col("cls").alias("c2"), F.col(group).alias("g2"), F.col(key).alias("id_train"))
-    both = pairs.union(same).join(a, "c1").join(b, "c2").where((F.col(group) == F.col("g2")) & (F.col("id_eval") != F.col("id_train")))
-    return both.select(group, "id_train", "id_eval").distinct()
+    pairs = verified(plausible(cand, classes, threshold), classes, threshold, across).select("c1", "c2")
+    return cut(d.select("cls", group, key, "is_train").distinct()), pairs
+
+
+def overlap_groups(docs: DataFrame, group: str, key: str, text: str, split: str = "split", threshold: float = 0.7) -> DataFrame:
+    """``group, key, is_train, class_id, links``: one row for each document that has a similar one on the other side of the splits.
+
+    ``class_id`` is the smallest key with the same word set; ``links`` is the number of
+    word sets of the other side that are similar, the own one included if it lies on both
+    sides. Copies are not paired, so the result has at most a row a document and side.
+    """
+    m, pairs = across_classes(docs, group, key, text, split, threshold)
+    p = cut(pairs)
+    side = m.groupBy("cls").agg(F.min(key).alias("class_id"), F.max("is_train").alias("t"), F.max(~F.col("is_train")).alias("e"))
+    both = side.where("t and e").select("cls", F.lit(True).alias("is_train"), F.col("cls").alias("other")).union(side.where("t and e").select("cls", F.lit(False), F.col("cls")))
+    # c1 and c2 name an evaluation and a training class, or, as a class can be both, either
+    ends = p.join(side.select(F.col("cls").alias("c1"), F.col("t").alias("t1"), F.col("e").alias("e1")), "c1").join(side.select(F.col("cls").alias("c2"), F.col("t").alias("t2"), F.col("e").alias("e2")), "c2")
+    parts = [("c1", False, "c2", "e1", "t2"), ("c1", True, "c2", "t1", "e2"), ("c2", False, "c1", "e2", "t1"), ("c2", True, "c1", "t2", "e1")]
+    links = both
+    for own, train, other, have, need in parts:
+        links = links.union(ends.where(F.col(have) & F.col(need)).select(F.col(own).alias("cls"), F.lit(train).alias("is_train"), F.col(other).alias("other")))
+    n = links.distinct().groupBy("cls", "is_train").agg(F.count(F.lit(1)).alias("links"))
+    return m.join(n, ["cls", "is_train"]).join(side.select("cls", "class_id"), "cls").select(group, key, "is_train", "class_id", "links").distinct()
 
 
 def same_revision_across(records: DataFrame, key: str, sha: str, split: str = "split") -> DataFrame:
@@ -163,11 +189,15 @@ def same_revision_across(records: DataFrame, key: str, sha: str, split: str = "s
     return e.join(t, "full_id").where("id_eval != id_train").select("id_train", "id_eval").distinct()
 
 
+def split_texts(samples: DataFrame, examples: DataFrame) -> DataFrame:
+    """``origin, id, text, split`` of the samples' diffs and the examples' subjects."""
+    s = samples.select(F.lit("attribution_samples").alias("origin"), F.col("sample_id").alias("id"), F.col("diff_text").alias("text"), canonical_split(F.col("split")).alias("split"))
+    return s.union(examples.select(F.lit("fewshot_pool").alias("origin"), F.col("example_id").alias("id"), F.col("subject").alias("text"), canonical_split(F.col("split")).alias("split")))
+
+
 def split_overlaps(samples: DataFrame, examples: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``origin, id_train, id_eval``: overlaps of the samples' diffs, and of the examples' revisions or subjects."""
-    s = samples.select(F.lit("attribution_samples").alias("origin"), F.col("sample_id").alias("id"), F.col("diff_text").alias("text"), canonical_split(F.col("split")).alias("split"))
-    x = examples.select(F.lit("fewshot_pool").alias("origin"), F.col("example_id").alias("id"), F.col("subject").alias("text"), canonical_split(F.col("split")).alias("split"))
-    texts = similar_across(s.union(x), "origin", "id", "text", threshold=threshold)
+    texts = similar_across(split_texts(samples, examples), "origin", "id", "text", threshold=threshold)
     revisions = same_revision_across(examples.withColumn("split", canonical_split(F.col("split"))), "example_id", "sha")
     return texts.union(revisions.select(F.lit("fewshot_pool").alias("origin"), "id_train", "id_eval")).distinct()
 

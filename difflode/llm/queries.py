@@ -76,16 +76,27 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_overlaps(spark, d), table(spark, d, "attribution_samples"), table(spark, d, "fewshot_pool"))
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Samples and examples with similar texts on the other side of the splits: their class and its number of links, copies not paired."""
+    return overlap.overlap_groups(overlap.split_texts(table(spark, d, "attribution_samples"), table(spark, d, "fewshot_pool")), "origin", "id", "text")
+
+
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    units = table(spark, d, "edit_units").select(F.lit("edit_units").alias("origin"), F.col("unit_id").alias("record_id"), "file_path", "repo", F.col("patch_text").alias("text"))
-    pool = table(spark, d, "commit_pool").select("row_id", "repo", handwritten.sections(F.col("git_diff")).alias("parts"), F.explode(handwritten.listed_files(F.col("changed_files"))).alias("file_path"))
-    return units.union(pool.select(F.lit("commit_pool"), F.col("row_id").cast("string"), "file_path", "repo", handwritten.section_of(F.col("parts"), F.col("file_path"))))
+    """The files of both tables with the evidence of their patches; a pool diff is taken apart once, and its parts meet the listed files by path."""
+    units = table(spark, d, "edit_units").select(F.lit("edit_units").alias("origin"), F.col("unit_id").alias("record_id"), "file_path", "repo", handwritten.content_evidence(F.col("patch_text")).alias("evidence"))
+    pool = table(spark, d, "commit_pool").where("row_id is not null")
+    parts = pool.select("row_id", F.explode(handwritten.sections(F.col("git_diff"))).alias("part"))
+    parts = parts.select("row_id", F.explode(handwritten.section_paths(F.col("part"))).alias("file_path"), handwritten.content_evidence(F.col("part")).alias("evidence"))
+    parts = parts.groupBy("row_id", "file_path").agg(F.max("evidence").alias("evidence"))
+    listed = pool.select("row_id", "repo", F.explode(handwritten.listed_files(F.col("changed_files"))).alias("file_path")).distinct()
+    found = listed.join(parts, ["row_id", "file_path"], "left")
+    return units.union(found.select(F.lit("commit_pool"), F.col("row_id").cast("string"), "file_path", "repo", "evidence"))
 
 
 def _attributes(spark: SparkSession, d: str) -> DataFrame:
     """``repo, path, text`` of the attribute files: edit units of such a file, and its sections in the diffs of the pool."""
     def kept(patch):
-        return F.array_join(F.transform(F.filter(F.split(patch, "\n"), lambda x: x.rlike("^[+ ]")), lambda x: F.substring(x, 2, 1_000_000)), "\n")
+        return F.array_join(F.transform(F.filter(F.split(patch, "\n"), lambda x: x.rlike("^[+ ]")), lambda x: F.substring(x, F.lit(2), F.length(x))), "\n")
 
     name = r"(?:^|/)\.gitattributes$"
     units = table(spark, d, "edit_units").where(F.col("file_path").rlike(name)).select("repo", F.col("file_path").alias("path"), kept(F.col("patch_text")).alias("text"))
@@ -98,6 +109,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.not_handwritten(_files(spark, d), _attributes(spark, d))
 
 
+def p3_decided(spark: SparkSession, d: str) -> DataFrame:
+    """Files that nobody wrote by hand, by table and by what decided so."""
+    return handwritten.decided(_files(spark, d), _attributes(spark, d)).groupBy("origin", "decided_by").agg(F.count(F.lit(1)).alias("files"))
+
+
 def _patches(spark: SparkSession, d: str) -> DataFrame:
     units = table(spark, d, "edit_units").select(F.lit("edit_units").alias("origin"), F.col("unit_id").alias("record_id"), F.col("patch_text").alias("text"))
     pool = table(spark, d, "commit_pool").select(F.lit("commit_pool"), F.col("row_id").cast("string"), F.col("git_diff"))

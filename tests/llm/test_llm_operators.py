@@ -164,6 +164,13 @@ def test_overlaps_against_brute_force(spark):
     assert overlap.overlap_report(pairs, samples, few).agg(F.sum("pairs")).first()[0] == len(got)
 
 
+def test_overlap_groups_do_not_pair_copies(spark):
+    t = " ".join(VOCAB[:30])
+    rows = [("f", f"t{i}", t, "train") for i in range(5)] + [("f", f"e{i}", t.upper(), "test") for i in range(4)] + [("f", "e9", t + " extra", "dev"), ("f", "t9", " ".join(VOCAB[100:140]), "train"), ("f", None, t, "dev"), ("f", "n", None, "dev")]
+    got = {(r["id"], r["is_train"], r["class_id"], r["links"]) for r in overlap.overlap_groups(spark.createDataFrame(rows, "origin string, id string, text string, split string"), "origin", "id", "text").collect()}
+    assert got == {(f"t{i}", True, "e0", 2) for i in range(5)} | {(f"e{i}", False, "e0", 1) for i in range(4)} | {("e9", False, "e9", 1)}
+
+
 def test_overlaps_of_short_texts_are_all_found(spark):
     samples, examples, want = [], [], set()
     for k, (n, shared, of) in enumerate([(4, 4, 5), (3, 3, 4), (10, 8, 11), (9, 7, 10), (1, 1, 1), (6, 5, 7)] * 150):
@@ -182,11 +189,11 @@ def test_overlaps_of_short_texts_are_all_found(spark):
 
 def test_globs_and_attributes(spark):
     rx = lambda p, s: bool(re.match(handwritten.glob_regex(p), s))
-    assert rx("*.min.js", "a/b/x.min.js") and rx("**/vendor/**", "a/vendor/b/c") and not rx("/lib/*.js", "a/lib/x.js") and rx("lib/*.js", "lib/x.js") and not rx("lib/*.js", "lib/a/x.js") and rx("gen/", "gen/a/b")
+    assert rx("*.min.js", "a/b/x.min.js") and rx("**/vendor/**", "a/vendor/b/c") and not rx("/lib/*.js", "a/lib/x.js") and rx("lib/*.js", "lib/x.js") and not rx("lib/*.js", "lib/a/x.js") and not rx("gen/", "gen/a/b") and not rx("gen/", "gen")
     assert handwritten.parse_attributes("# c\n*.x linguist-generated=true text\n\"a b\" -linguist-vendored\n") == [(2, "*.x", "generated", True), (3, "a b", "vendored", False)]
     attr = spark.createDataFrame([("O/R", ".gitattributes", "*.c linguist-generated\nkeep/** -linguist-generated"), ("o/r", "sub/.gitattributes", "x.c -linguist-generated")], "repo string, path string, text string")
     files = spark.createDataFrame([("e", "1", "a.c", "o/r", ""), ("e", "2", "sub/x.c", "o/r", ""), ("e", "3", "keep/z.c", "o/r", ""), ("e", "4", "a.c", "o/q", ""), ("e", "5", "node_modules/a/b.js", None, None), ("e", "6", None, None, None), ("e", "7", "src/vendor/b.js", "o/q", "x = 1")],
-                                  "origin string, record_id string, file_path string, repo string, text string")
+                                  "origin string, record_id string, file_path string, repo string, text string").withColumn("evidence", handwritten.content_evidence(F.col("text")))
     assert {r["record_id"] for r in handwritten.not_handwritten(files, attr).collect()} == {"1", "5"}
 
 
@@ -194,6 +201,7 @@ def test_globs_and_attributes(spark):
     ("@@ -1 +1 @@\n+// Code generated by x v1. DO NOT EDIT.\n+a = 1", True), ("+# @generated\n x", True), ('+emit("// Code generated by " + tool + ". DO NOT EDIT.")', False),
     ("+// the step must run before generated files are edited", False), ("+!function(a){" + "var i=k.f(1);if(z){x.g=1}" * 30, True), ("+query = \"select " + "alpha, beta, " * 60 + "\"", False),
     ("+data = [\n" + "+  0x1d82, 0xd6aa, 0x61a8, 0x2507, 0x4007, 0xd621,\n" * 5 + "+]", True), ("+D = (\n" + '+    "' + "aB3/" * 18 + '"\n' * 1 + ('+    "' + "aB3/" * 18 + '"\n') * 4 + "+)", True), (None, False), ("", False),
+    ("@@ -1,4 +1,4 @@\n+a-b@1.2.3:\n+  integrity sha512-" + "aB3/" * 16 + "\n c-d@2.0.1:\n   integrity sha512-" + "aB3/" * 16, True), ("+<script integrity=\"sha512-aB3\"></script>\n+x = 1\n+y = 2", False),
 ])
 def test_content_evidence(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(handwritten.content_evidence(F.col("t"))).first()[0] is want
@@ -202,8 +210,53 @@ def test_content_evidence(spark, text, want):
 def test_listed_files_and_sections(spark):
     df = spark.createDataFrame([('["a b.py", "c.js"]',), ("a.py|b.py",), ("a.py, b.py",), ("a.py\nb.py",), ("a.py",), (None,)], "c string")
     assert [r[0] for r in df.select(handwritten.listed_files(F.col("c"))).collect()] == [["a b.py", "c.js"], ["a.py", "b.py"], ["a.py", "b.py"], ["a.py", "b.py"], ["a.py"], None]
-    d = "diff --git a/x b/x\n+1\ndiff --git a/y b/y\n+2"
-    assert spark.range(1).select(handwritten.section_of(handwritten.sections(F.lit(d)), F.lit("y"))).first()[0] == "a/y b/y\n+2"
+    d = "diff --git a/x b/x\n+1\ndiff --git a/y b/y z b/z\r\n+2"
+    got = spark.range(1).select(F.explode(handwritten.sections(F.lit(d))).alias("p")).select("p", handwritten.section_paths(F.col("p"))).collect()
+    assert [tuple(r) for r in got] == [("a/x b/x\n+1", ["x"]), ("a/y b/y z b/z\r\n+2", ["y", "y z b/z"])]
+
+
+def test_attribute_values():
+    got = handwritten.parse_attributes("*.a linguist-generated\n*.b -linguist-generated\n*.c !linguist-generated\n*.d linguist-generated=false linguist-vendored")
+    assert [(p, k, v) for _, p, k, v in got] == [("*.a", "generated", True), ("*.b", "generated", False), ("*.c", "generated", None), ("*.d", "generated", False), ("*.d", "vendored", True)]
+
+
+def test_hundreds_of_rules_against_brute_force(spark):
+    rng = random.Random(17)
+    dirs, names = ["lib", "gen", "a.b", "src", "vendor"], ["x.c", "y.min.js", "z.pb.go", "Makefile", "w.d.ts", "q[1].c"]
+    patterns = ["*.c", "*.min.js", "*.d.ts", "Makefile", "gen/", "gen/**", "**/gen/*.c", "/lib/*.go", "lib/*/x.c", "src/**/z.pb.go", "?.c", "[xy].*", "a.b/**", "*", "q\\[1\\].c", "vendor/**/*.ts"]
+    files, lines = [], {}
+    for repo in ("r1", "r2", "r3"):
+        for folder in ("", "src", "src/gen", "lib"):
+            own = [f"{rng.choice(patterns)} {rng.choice(['', '-', '!'])}linguist-{rng.choice(['generated', 'vendored'])}" for _ in range(30)]
+            lines[repo, folder] = own
+            files.append((repo, f"{folder}/.gitattributes".lstrip("/"), "\n".join(own)))
+    paths = sorted({(rng.choice(("r1", "r2", "r3")), "/".join([*rng.choices(dirs, k=rng.randint(0, 3)), rng.choice(names)])) for _ in range(300)})
+
+    def brute(repo, path):
+        said = {}
+        for folder in sorted((f for r, f in lines if r == repo), key=lambda f: f.count("/") + bool(f)):
+            if folder and not path.startswith(folder + "/"):
+                continue
+            below = path[len(folder) + 1 :] if folder else path
+            for _, p, kind, value in handwritten.parse_attributes("\n".join(lines[repo, folder])):
+                if re.match(handwritten.glob_regex(p), below):
+                    said[kind] = value
+        known = [v for v in said.values() if v is not None]
+        return any(known) if known else None
+
+    rules = handwritten.attribute_rules(spark.createDataFrame(files, "repo string, path string, text string"))
+    got = {(r["repo"], r["path"]): r["is_declared"] for r in handwritten.declared(spark.createDataFrame(paths, "repo string, path string"), rules).collect()}
+    assert {p: got.get(p) for p in paths} == {p: brute(*p) for p in paths}
+
+
+def test_mining_finds_names_and_folders_and_drops_contradicted_seeds(spark):
+    rows = [(f"d{i}/part_{i}_zz.gen.py", i % 3 == 0) for i in range(90)] + [(f"autogen/sub{i}/m{i}x.py", i % 4 == 0) for i in range(90)] + [(f"hand/written{i}.py", False) for i in range(200)]
+    # most files of a seed's form show no evidence here, so the seed falls; another has no files against it
+    rows += [(f"k{i}/vendor_api.min.js", False) for i in range(120)] + [("a/yarn.lock", False)]
+    found = {r["path"]: r["pattern"] for r in handwritten.mined(spark.createDataFrame(rows, "path string, evidence boolean")).collect()}
+    assert {p for p in found if p.endswith(".gen.py")} == {p for p, _ in rows if p.endswith(".gen.py")}
+    assert {p for p in found if p.startswith("autogen/")} == {p for p, _ in rows if p.startswith("autogen/")}
+    assert not {p for p in found if p.startswith("hand/") or p.endswith(".min.js")} and found["a/yarn.lock"] == "seed"
 
 
 def test_attribute_files_in_pool_diffs(spark, tmp_path):
