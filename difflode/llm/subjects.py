@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from difflode.llm.classes import GOLD, mix, salt
-from difflode.plans.lineage import cut
+from difflode.plans.lineage import cut, stored
 
 #: Sentences or items of a document that must deal with an area, as the task defines it: the calibration counts up to thrice as many.
 SENTENCES, MOST = 3, 9
@@ -34,11 +34,17 @@ Z, Z_CONTEXT = 2.58, 1.64
 LANGUAGE_SHARE, MARK_SHARE = 0.02, 0.25
 #: Characters and documents handled at a time by a task.
 BLOCK_CHARS, BLOCK_DOCS = 1_000_000, 4096
+#: Rows that a task adds up before it hands them on.
+HELD_ROWS = 4_000_000
+#: After the first round over all documents only features count on whose share of an area is at least this at one deviation.
+ACTIVE = 0.12
 
 FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
-SPLIT = re.compile(r"(?<=[.!?])[\"'”’)\]]*\s+|[。！？]+|[\r\n]+(?!\s*[a-zà-ÿ])|[\r\n]+\s*(?=[-*+•]\s)|[\r\n]{2,}")
 
 OTHER, UPPER, LOWER, HAN = 0, 1, 2, 3
+#: What ends a sentence before white space, what may stand between, what ends one at once, and white space.
+STOPS, CLOSERS, FULL_STOPS = ".!?", "\"'”’)]", "。！？"
+SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What stands for a language where documents with Chinese characters are counted.
 HAN_DOCS = "+han"
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -52,7 +58,34 @@ def _class_table() -> np.ndarray:
     return table
 
 
+def _marks(chars: str) -> np.ndarray:
+    table = np.zeros(_LAST + 1, bool)
+    table[[ord(c) for c in chars]] = True
+    return table
+
+
 _CLASS = _class_table()
+_STOP, _CLOSER, _FULL, _SPACE, _BREAK = (_marks(c) for c in (STOPS, CLOSERS, FULL_STOPS, SPACES, "\r\n"))
+_SMALL = _marks("".join(chr(c) for c in [*range(0x61, 0x7B), *range(0xE0, 0x100)]))
+
+
+def sentence_ends(flat: np.ndarray) -> np.ndarray:
+    """Which characters end a sentence or list item; a text ends with code point 0.
+
+    White space after a full stop (and closing marks), Chinese full stops, line breaks that
+    no small letter follows, and empty lines.
+    """
+    n = len(flat)
+    space, brk = _SPACE[flat], _BREAK[flat]
+    at = np.arange(n)
+    solid = np.maximum.accumulate(np.where(_CLOSER[flat], -1, at))
+    before = np.concatenate([[-1], solid[:-1]])
+    new_space = space & ~np.concatenate([[False], space[:-1]])
+    after_stop = new_space & (before >= 0) & _STOP[flat[np.maximum(before, 0)]]
+    following = np.minimum.accumulate(np.where(space, n - 1, at)[::-1])[::-1]
+    starts = brk & ~np.concatenate([[False], brk[:-1]])
+    double = starts & np.concatenate([brk[1:], [False]])
+    return (flat == 0) | _FULL[flat] | after_stop | double | (starts & ~_SMALL[flat[following]])
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -93,23 +126,19 @@ def parse(texts: list[str | None]) -> Parsed:
     Nothing runs by character or word: classes of code points tell where words begin and
     end, and a word's hash is a difference of running sums of a polynomial.
     """
-    parts: list[str] = []
-    owner: list[int] = []
-    for i, t in enumerate(texts):
-        if t:
-            own = [s for s in SPLIT.split(FENCE.sub("\n\n", t.replace("\0", " "))) if s]
-            parts += own
-            owner += [i] * len(own)
-    flat = np.frombuffer(("\0".join(parts) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    sentence = np.cumsum(flat == 0) - (flat == 0)
-    kind = _CLASS[np.minimum(flat, _LAST)]
+    joined = "".join(FENCE.sub("\n\n", t.replace("\0", " ")) + "\0" if t else "\0" for t in texts) or "\0"
+    flat = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    ends = sentence_ends(flat)
+    sentence = np.cumsum(ends) - ends
+    owner = (np.cumsum(flat == 0) - (flat == 0))[ends]
+    kind = _CLASS[flat]
     before, after = np.concatenate([[0], kind[:-1]]), np.concatenate([kind[1:], [0]])
     begins = (kind != OTHER) & (
         (before == OTHER) | ((kind == HAN) != (before == HAN)) | ((kind == UPPER) & (before == LOWER)) | ((kind == UPPER) & (before == UPPER) & (after == LOWER))
     )
     start = np.flatnonzero(begins)
-    ends = (kind != OTHER) & ((after == OTHER) | np.concatenate([begins[1:], [True]]))
-    end = np.flatnonzero(ends) + 1
+    closes = (kind != OTHER) & ((after == OTHER) | np.concatenate([begins[1:], [True]]))
+    end = np.flatnonzero(closes) + 1
     n = len(flat)
     value = (flat + 32 * (kind == UPPER) + 1).astype(np.uint64)
     power = _powers(n, _BASE)
@@ -131,7 +160,7 @@ def parse(texts: list[str | None]) -> Parsed:
     h = raw(start, end - plural - 3 * ies)
     length = size - plural - 2 * ies
     h = np.where(ies, h + np.uint64(122) * power[np.maximum(size - 3, 0)], h)
-    out = Parsed(len(texts), np.array(owner, np.int64), n, named(h, length, 1), start, end, sentence[start], han)
+    out = Parsed(len(texts), owner, n, named(h, length, 1), start, end, sentence[start], han)
     latin = np.flatnonzero(~han)
     out_f, out_s, out_e = [], [], []
     # words of three letters and more, and pairs of neighbours in a sentence; what is common is taken out later
@@ -189,6 +218,8 @@ class Model:
     odds: np.ndarray
     passing: np.ndarray
     posterior: np.ndarray | None
+    #: features that later rounds count, all if there is no such list
+    active: np.ndarray | None = None
 
     @property
     def languages(self) -> int:
@@ -314,16 +345,31 @@ def _labels(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r if r is not None else [0.0] * n for r in rows], np.float64).reshape(len(rows), n), has
 
 
+def _merged(cols: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Rows ``f, fold, area, v, n`` with one row for each feature, part and area."""
+    f, g, a, v, n = (np.concatenate(c) for c in zip(*cols))
+    order = np.lexsort((a, g, f))
+    f, g, a, v, n = f[order], g[order], a[order], v[order], n[order]
+    head = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (g[1:] != g[:-1]) | (a[1:] != a[:-1])]))
+    return f[head], g[head], a[head], np.add.reduceat(v, head), np.add.reduceat(n, head)
+
+
 def _statistics(docs: DataFrame, model: Model, fold: bool) -> DataFrame:
     """``f, fold, area, v, n``: for each feature its occurrences and documents (area -1), and its occurrences weighed by the posterior of each area; all documents under feature -1.
 
     Without a posterior the labels stand for it, and only labelled documents are taken.
     Later all documents are, with the calibrated posterior of their sentence counts,
     averaged with the label where there is one; an area that no sentence names has none.
+    Where the model names active features, only those are counted. A task adds up its rows
+    before they leave it.
     """
     n = model.areas
 
+    def record(cols: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(_merged(cols), (np.int64, np.int32, np.int32, np.float64, np.int64))], names=["f", "fold", "area", "v", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[tuple[np.ndarray, ...]] = []
         for whole in batches:
             for batch in blocks(whole):
                 p = drop_common(parse(batch.column("text").to_pylist()), model)
@@ -335,12 +381,15 @@ def _statistics(docs: DataFrame, model: Model, fold: bool) -> DataFrame:
                     s = np.minimum(counts(p, model), MOST)
                     r = np.where(s > 0, model.posterior[language(p, model)[:, None], np.arange(n)[None, :], s], 0.0)
                     r[has] = (r[has] + label[has]) / 2
-                cols = []
+                feature, sentence = p.feature, p.f_sentence
+                if model.active is not None:
+                    ok = inside(model.active, feature) >= 0
+                    feature, sentence = feature[ok], sentence[ok]
+                doc = p.sentence_doc[sentence]
                 for g in np.unique(part):
                     own = part == g
-                    doc = p.sentence_doc[p.f_sentence]
                     pick = own[doc] if fold else slice(None)
-                    key = np.sort((p.feature[pick] << np.uint64(12)) | doc[pick].astype(np.uint64))
+                    key = np.sort((feature[pick] << np.uint64(12)) | doc[pick].astype(np.uint64))
                     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
                     tf = np.diff(np.append(first, len(key))).astype(np.float64)
                     f, d = (key[first] >> np.uint64(12)).view(np.int64), (key[first] & np.uint64(4095)).astype(np.int64)
@@ -353,16 +402,38 @@ def _statistics(docs: DataFrame, model: Model, fold: bool) -> DataFrame:
                         v = np.add.reduceat(tf * r[d, a], head) if len(head) else tf[:0]
                         ok = v > 0
                         cols.append((np.append(names[ok], -1), np.full(ok.sum() + 1, g), np.full(ok.sum() + 1, a), np.append(v[ok], r[own, a].sum()), np.zeros(ok.sum() + 1)))
-                if cols:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([c[j] for c in cols]).astype(t)) for j, t in enumerate((np.int64, np.int32, np.int32, np.float64, np.int64))],
-                        names=["f", "fold", "area", "v", "n"],
-                    )
+                if sum(len(c[0]) for c in cols) > HELD_ROWS:
+                    cols = [_merged(cols)]
+                    if len(cols[0][0]) > HELD_ROWS // 2:
+                        yield record(cols)
+                        cols = []
+        if cols:
+            yield record(cols)
 
     src = docs.where("label is not null") if model.posterior is None else docs
     return src.select("text", "label", "fold").mapInArrow(run, "f long, fold int, area int, v double, n long").groupBy("f", "fold", "area").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
 
 
+def _shares(stats: DataFrame, n: int, least: int, han_docs: int | None) -> tuple[DataFrame, float] | None:
+    """``f, area, n, t, k, in``: of each feature its documents and occurrences, those of an area, and the documents of the area; and the number of documents."""
+    total = {r["area"]: (r["v"], r["n"]) for r in stats.where("f = -1").groupBy("area").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()}
+    docs = float(total.get(-1, (0.0, 0))[0])
+    if not docs:
+        return None
+    t = stats.where("f != -1 and area = -1").groupBy("f").agg(F.sum("v").alias("t"), F.sum("n").alias("n")).where(F.col("n") >= least)
+    if han_docs is not None:
+        t = t.where((F.col("f").bitwiseAND(F.lit(1)) == 0) | (F.col("n") <= COMMON_SHARE * han_docs))
+    k = stats.where("f != -1 and area != -1").groupBy("f", "area").agg(F.sum("v").alias("k"))
+    base = F.create_map(*[x for a in range(n) for x in (F.lit(a), F.lit(float(total.get(a, (0.0, 0))[0])))])
+    return t.join(k, "f").select("f", "area", "n", "t", F.least("k", "t").alias("k"), base[F.col("area")].alias("in")), docs
+
+
+def _low(z: float):
+    """The lower bound (Wilson) of the share of an area among a feature's documents."""
+    p, nn, z2 = F.col("k") / F.col("t"), F.col("n"), z * z
+    return (p + z2 / (2 * nn) - z * F.sqrt((p * (1 - p) + z2 / (4 * nn)) / nn)) / (1 + z2 / nn)
+
+
 def _weights(stats: DataFrame, n: int, least: int, from_labels: bool, han_docs: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Features that speak for an area, sorted, and their log odds by complement naive Bayes: the rate in the area's documents against that in all others.
 
@@ -370,36 +441,35 @@ def _weights(stats: DataFrame, n: int, least: int, from_labels: bool, han_docs:
     high as well, which keeps out what is frequent only by chance; Chinese features in more
     than ``COMMON_SHARE`` of the ``han_docs`` are common.
     """
-    total = {(r["area"]): (r["v"], r["n"]) for r in stats.where("f = -1").groupBy("area").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()}
-    docs = float(total.get(-1, (0.0, 0))[0])
     none = np.zeros(0, np.uint64), np.zeros((0, n))
-    if not docs:
+    got = _shares(stats, n, least, None if from_labels else han_docs)
+    if got is None:
         return none
-    t = stats.where("f != -1 and area = -1").groupBy("f").agg(F.sum("v").alias("t"), F.sum("n").alias("n")).where(F.col("n") >= least)
-    if not from_labels:
-        t = t.where((F.col("f").bitwiseAND(F.lit(1)) == 0) | (F.col("n") <= COMMON_SHARE * han_docs))
-    k = stats.where("f != -1 and area != -1").groupBy("f", "area").agg(F.sum("v").alias("k"))
-    base = F.create_map(*[x for a in range(n) for x in (F.lit(a), F.lit(float(total.get(a, (0.0, 0))[0])))])
-    x = t.join(k, "f").withColumn("in", base[F.col("area")])
-    kk, m, nn = F.least("k", "t"), F.greatest(F.col("t") - F.col("k"), F.lit(0.0)), F.col("n")
-    odds = F.log((kk + 0.5) / (F.col("in") + 1.0)) - F.log((m + 0.5) / (F.greatest(F.lit(docs) - F.col("in"), F.lit(0.0)) + 1.0))
-    p, z2 = kk / F.col("t"), Z * Z
-    low = (p + z2 / (2 * nn) - Z * F.sqrt((p * (1 - p) + z2 / (4 * nn)) / nn)) / (1 + z2 / nn)
-    sure = low >= SHARE
+    x, docs = got
+    k, t, nn = F.col("k"), F.col("t"), F.col("n")
+    odds = F.log((k + 0.5) / (F.col("in") + 1.0)) - F.log((t - k + 0.5) / (F.greatest(F.lit(docs) - F.col("in"), F.lit(0.0)) + 1.0))
+    sure = _low(Z) >= SHARE
     if from_labels:
+        p = k / t
         rate = F.least(F.greatest(F.col("in") / docs, F.lit(1e-6)), F.lit(1 - 1e-6))
         ratio = 2 * nn * (p * F.log(F.greatest(p, F.lit(1e-9)) / rate) + (1 - p) * F.log(F.greatest(1 - p, F.lit(1e-9)) / (1 - rate)))
         sure = sure | ((p >= LABEL_SHARE) & (p > rate) & (ratio >= LABEL_RATIO))
     rows = x.where(sure & (odds >= ODDS)).select("f", "area", odds.alias("w")).collect()
     if not rows:
         return none
-    f = np.array([r["f"] for r in rows], np.int64).view(np.uint64)
-    keys, back = np.unique(f, return_inverse=True)
+    keys, back = np.unique(np.array([r["f"] for r in rows], np.int64).view(np.uint64), return_inverse=True)
     w = np.zeros((len(keys), n))
     w[back.reshape(-1), np.array([r["area"] for r in rows])] = [r["w"] for r in rows]
     return keys, w
 
 
+def _active(stats: DataFrame, n: int, least: int, han_docs: int) -> np.ndarray:
+    """The features that may come to speak for an area in a later round, sorted."""
+    got = _shares(stats, n, least, han_docs)
+    rows = [] if got is None else got[0].where(_low(1.0) >= ACTIVE).select("f").distinct().collect()
+    return np.sort(np.array([r["f"] for r in rows], np.int64).view(np.uint64))
+
+
 def _calibrated(docs: DataFrame, models: list[Model]) -> tuple[np.ndarray, np.ndarray]:
     """From the labelled documents: the contexts of passing mentions, and the posterior by language, area and number of sentences.
 
@@ -492,7 +562,7 @@ def _vocabulary(docs: DataFrame, n: int) -> Model:
 
     code = F.lower(F.regexp_extract(F.coalesce(F.trim("lang"), F.lit("")), r"^([A-Za-z]{2,3})(?:[-_]\w+)?$", 1))
     src = docs.select("text", F.when(code == "und", "").otherwise(code).alias("lang"))
-    rows = cut(src.mapInArrow(seen, "w long, han boolean, lang string, n long, whole boolean").groupBy("w", "han", "lang", "whole").agg(F.sum("n").alias("n")))
+    rows = stored(src.mapInArrow(seen, "w long, han boolean, lang string, n long, whole boolean").groupBy("w", "han", "lang", "whole").agg(F.sum("n").alias("n")))
     size = {r["lang"]: r["n"] for r in rows.where("whole").collect()}
     han_docs = size.pop(HAN_DOCS, 0)
     total, stated = sum(size.values()), sum(v for k, v in size.items() if k)
@@ -546,7 +616,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataF
     model = _vocabulary(text, n)
 
     # the weights of all labels, and for each part of the labelled documents those of the other parts
-    stats = cut(_statistics(known, model, True))
+    stats = stored(_statistics(known, model, True))
     folds = []
     for g in range(FOLDS):
         f, w = _weights(stats.where(F.col("fold") != g), n, 2, True)
@@ -554,10 +624,15 @@ def subject_areas(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataF
     model.features, model.odds = _weights(stats, n, 2, True)
     model.passing, model.posterior = _calibrated(known, folds)
     everything = text.join(soft, "doc_id", "left").select("text", "label", F.lit(0).alias("fold"))
-    for _ in range(ROUNDS):
-        model.features, model.odds = _weights(cut(_statistics(everything, model, False)), n, LEAST_DOCS, False, model.han_docs)
+    for turn in range(ROUNDS):
+        stats = stored(_statistics(everything, model, False))
+        model.features, model.odds = _weights(stats, n, LEAST_DOCS, False, model.han_docs)
+        if turn == 0:
+            model.active = _active(stats, n, LEAST_DOCS, model.han_docs)
         model.passing, model.posterior = _calibrated(known, [model])
 
+    model.active = None
+
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in blocks(whole):

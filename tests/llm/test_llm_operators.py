@@ -490,16 +490,21 @@ def test_the_model_keeps_every_sure_feature(spark):
     assert len(subjects._weights(f.union(whole), 1, 4, False, 100)[0]) == 30_000
 
 
+SPLIT = re.compile(r"(?<=[.!?])[\"'”’)\]]*\s+|[。！？]+|[\r\n]+(?!\s*[a-zà-ÿ])|[\r\n]+\s*(?=[-*+•]\s)|[\r\n]{2,}")
 WORD = re.compile(r"[A-ZÀ-ÖØ-Þ]+(?![a-zà-öø-ÿ])|[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+|[㐀-䶿一-鿿]+")
 
 
 def test_words_are_those_of_the_expression():
     rng = random.Random(21)
-    alphabet = "abSsiesyXYZäÖß 日本中文_-.1!\n\0😀é"
+    alphabet = "abSsiesyXYZäÖ 日本中文_-.1!?)'”\n\r\0。！*•+😀é\u3000"
     texts = [None, "", " ", "HTTPServer parseXMLFiles 日本x", "bodies body berries dress dresses"] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(500)]
     p = subjects.parse(texts)
-    want = [[w for s in subjects.SPLIT.split(subjects.FENCE.sub("\n\n", (t or "").replace("\0", " "))) for w in WORD.findall(s)] for t in texts]
+    parts = [[WORD.findall(s) for s in SPLIT.split(subjects.FENCE.sub("\n\n", (t or "").replace("\0", " ")))] for t in texts]
+    want = [[w for s in own for w in s] for own in parts]
     doc = p.sentence_doc[p.w_sentence]
+    for i, own in enumerate(parts):
+        mine = p.w_sentence[doc == i]
+        assert [len(s) for s in own if s] == np.unique(mine, return_counts=True)[1].tolist()
     names: dict[int, str] = {}
     for i, words_ in enumerate(want):
         own = np.flatnonzero(doc == i)
