@@ -65,7 +65,8 @@ def module_of(path: Column) -> Column:
 
 def diff_counts(diff: Column) -> dict[str, Column]:
     """Files, hunks, added and deleted lines of a unified diff, and how its changes spread over files."""
-    parts = F.slice(F.split(F.concat(F.lit("\n"), F.coalesce(diff, F.lit(""))), "\ndiff --git "), 2, 1_000_000)
+    whole = F.split(F.concat(F.lit("\n"), F.coalesce(diff, F.lit(""))), "\ndiff --git ")
+    parts = F.slice(whole, F.lit(2), F.size(whole))
 
     def lines(part: Column, sign: str, head: str) -> Column:
         return F.size(F.filter(F.split(part, "\n"), lambda x: x.startswith(sign) & ~x.startswith(head)))

@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _fold(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """Rows of each group in order with ``link``; a chain is sequential by nature, so a group is one task's pass, which holds one link at a time."""
+    names = [f.name for f in df.schema.fields]
+    out = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], "link string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, link = None, ""
+        for batch in batches:
+            links = []
+            for g, v in zip(batch.column(group).to_pylist(), batch.column(value).to_pylist()):
+                if g != at:
+                    at, link = g, ""
+                link = hashlib.sha256(f"{link}|{v}".encode()).hexdigest()
+                links.append(link)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(links, pa.string())], names=[*names, "link"])
+
+    return df.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, out)
+
+
 def hash_chain(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """``df`` with ``link``: SHA-256 of the previous value of its group and its own; the first has an empty previous one."""
-    w = Window.partitionBy(group).orderBy(order)
-    return df.withColumn("link", F.sha2(F.concat_ws("|", F.coalesce(F.lag(value).over(w), F.lit("")), F.col(value)), 256))
+    """``df`` with ``link``: SHA-256 of the previous link of its group, a bar and its own value; the first has an empty previous link.
+
+    Rows without a group or a value are left out; ties of the order are chained in no set order.
+    """
+    return _fold(df.where(F.col(group).isNotNull() & F.col(value).isNotNull()), group, order, value)
 
 
 def verify_chain(df: DataFrame, group: str, order: str, value: str, link: str) -> DataFrame:
-    """The rows whose stored link is not that of their place."""
+    """The rows whose stored link is not that of their place; a changed record fails itself and all later ones of its group."""
     again = hash_chain(df.withColumnRenamed(link, "__stored"), group, order, value)
     return again.where(~F.col("link").eqNullSafe(F.col("__stored"))).drop("link").withColumnRenamed("__stored", link)
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from difflode.functions.scores import clip_prob, wilson
-from difflode.operators.ranking import rank_within
+from difflode.operators.ranking import rank_within, running_sums
 
 
 def r6(x: Column) -> Column:
@@ -53,8 +53,7 @@ def _by_score(df: DataFrame, truth: str, score: str) -> DataFrame:
     d = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score)).groupBy(F.col(score).cast("double").alias("s")).agg(
         F.sum(F.col(truth).cast("double")).alias("pos"), F.count(F.lit(1)).cast("double").alias("all")
     )
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return d.withColumn("tp", F.sum("pos").over(w)).withColumn("seen", F.sum("all").over(w))
+    return running_sums(d, [F.col("s").desc()], {"tp": "pos", "seen": "all"})
 
 
 def ranking_metrics(df: DataFrame, truth: str, score: str) -> DataFrame:
@@ -90,10 +89,19 @@ def reliability(df: DataFrame, truth: str, score: str, bins: int = 10) -> DataFr
     )
 
 
-def threshold_by_precision(df: DataFrame, truth: str, score: str, target: float) -> DataFrame:
-    """The first threshold, from the highest score down, at which the precision of scores above or equal reaches the target."""
-    d = _by_score(df, truth, score).where(F.col("tp") >= target * F.col("seen"))
-    return d.agg(F.max("s").alias("threshold"), F.max_by("tp", "s").cast("bigint").alias("hits"), F.max_by("seen", "s").cast("bigint").alias("selected"))
+def threshold_by_precision(df: DataFrame, truth: str, score: str, target: float, fallback: float = 0.5) -> DataFrame:
+    """The first threshold, from the highest score (to six places) down, whose strictly higher scores reach the target precision.
+
+    Columns ``threshold, hits, selected, used_fallback``; where no threshold does, the
+    fallback, with the rows that any threshold selects at most.
+    """
+    d = _by_score(df.withColumn("__s", F.round(score, 6)), truth, "__s").withColumn("hits", F.col("tp") - F.col("pos")).withColumn("above", F.col("seen") - F.col("all")).where("above > 0")
+    ok = F.when(F.col("hits") >= target * F.col("above"), F.col("s"))
+    best = d.agg(F.max(ok).alias("t"), F.max_by("hits", ok).alias("h"), F.max_by("above", ok).alias("n"), F.max("above").alias("most"))
+    return best.select(
+        F.coalesce("t", F.lit(float(fallback))).alias("threshold"), F.when(F.col("t").isNotNull(), F.col("h")).cast("bigint").alias("hits"),
+        F.when(F.col("t").isNotNull(), F.col("n")).otherwise(F.col("most")).cast("bigint").alias("selected"), F.col("t").isNull().alias("used_fallback"),
+    )
 
 
 def risk_coverage(df: DataFrame, wrong: str, score: str, steps: int = 10) -> DataFrame:

@@ -33,3 +33,19 @@ def rank_within(df: DataFrame, group: list[str], order: list[Column], rank_col:
         on = on & numbered[g].eqNullSafe(offsets[f"__g_{g}"])
     joined = numbered.join(offsets, on)
     return joined.select(*[numbered[c] for c in df.columns], (F.col("__rn") + F.col("__before")).cast("long").alias(rank_col))
+
+
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """``df`` with the sum of some columns over all rows up to this one in the given order; no task sorts all rows.
+
+    ``sums`` maps new names to columns. Rows are range-partitioned by the order; the sums of
+    the partitions (a row each) are added up and every partition goes on from there.
+    """
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    laid = cut(df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id()))
+    before = Window.partitionBy("__one").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    whole = laid.groupBy("__pid").agg(*[F.sum(c).alias(f"__{k}") for k, c in sums.items()]).withColumn("__one", F.lit(0))
+    offsets = whole.select("__pid", *[F.coalesce(F.sum(f"__{k}").over(before), F.lit(0)).alias(f"__{k}") for k in sums])
+    inside = Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = laid.select("*", *[F.sum(c).over(inside).alias(f"__in_{k}") for k, c in sums.items()])
+    return own.join(offsets, "__pid").select(*df.columns, *[(F.col(f"__in_{k}") + F.col(f"__{k}")).alias(k) for k in sums])

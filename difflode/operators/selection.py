@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from difflode.functions.scores import stable_key, stable_unit
 from difflode.operators.ranking import rank_within
+from difflode.plans.lineage import cut
 
 
 def quota_sample(df: DataFrame, stratum: str, key: str, quota: int, seed: str) -> DataFrame:
@@ -54,13 +55,15 @@ def hash_split(unit: Column, ratios: list[tuple[str, float]], seed: str) -> Colu
 def neighbour_pairs(df: DataFrame, group: str, key: str, reach: int, seed: str, carry: list[str]) -> DataFrame:
     """Each row of a group with the next ``reach`` rows in hash order: at most ``reach`` pairs a row, never all pairs.
 
-    Gives ``group, key_a, key_b`` and each carried column of both sides.
+    Gives ``group, key_a, key_b`` and each carried column of both sides. Places in the
+    order come from ranks over range partitions and pairs from an equality join on the
+    place, so a group of any size spreads over the tasks.
     """
-    w = Window.partitionBy(group).orderBy("__k", key)
-    d = df.where(F.col(group).isNotNull()).withColumn("__k", stable_key(seed, F.col(key)))
-    side = F.struct(F.col(key), *[F.col(c) for c in carry])
-    n = d.withColumn("__next", F.array(*[F.lead(side, i).over(w) for i in range(1, reach + 1)])).withColumn("__o", F.explode(F.filter("__next", lambda x: x.isNotNull())))
-    return n.select(group, F.col(key).alias("key_a"), F.col(f"__o.{key}").alias("key_b"), *[x for c in carry for x in (F.col(c).alias(f"{c}_a"), F.col(f"__o.{c}").alias(f"{c}_b"))])
+    d = df.where(F.col(group).isNotNull()).select(group, key, *carry).withColumn("__k", stable_key(seed, F.col(key)))
+    ranked = cut(rank_within(d, [group], [F.col("__k").asc(), F.col(key).asc()], "__r").drop("__k"))
+    a = ranked.select(group, F.col(key).alias("key_a"), *[F.col(c).alias(f"{c}_a") for c in carry], F.explode(F.sequence(F.col("__r") + 1, F.col("__r") + reach)).alias("__r"))
+    b = ranked.select(group, F.col(key).alias("key_b"), *[F.col(c).alias(f"{c}_b") for c in carry], "__r")
+    return a.join(b, [group, "__r"]).select(group, "key_a", "key_b", *[f"{c}_{x}" for c in carry for x in "ab"])
 
 
 def cascade_top_k(queries: DataFrame, pool: DataFrame, levels: list[str], k: int) -> DataFrame:

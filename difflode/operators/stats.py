@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from difflode.operators.ranking import rank_within, running_sums
+from difflode.plans.lineage import cut
+
 
 def prevalence_z(df: DataFrame, col: str) -> DataFrame:
     """Share of each value and its z-score over the distinct values (population deviation, floor 1e-9)."""
@@ -21,12 +24,22 @@ def group_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     return g.join(a, F.lit(True)).select(group, "n", F.round("m", 6).alias("mean"), F.round("s", 6).alias("sd"), F.round((F.col("m") - F.col("gm")) / (F.col("gs") + 1e-9), 6).alias("z"))
 
 
+def medians(df: DataFrame, group: str, value: str) -> DataFrame:
+    """``group, n, median``: the exact median of each group, of any size, from ranks; groups of null form one of their own."""
+    own = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias(value)).withColumn("__id", F.monotonically_increasing_id())
+    ranked = rank_within(own, [group], [F.col(value).asc(), F.col("__id").asc()])
+    n = ranked.groupBy(F.col(group).alias("__g")).agg(F.max("rank").alias("n"))
+    mid = (F.col("rank") == F.floor((F.col("n") + 1) / 2)) | (F.col("rank") == F.ceil((F.col("n") + 1) / 2))
+    return ranked.join(n, F.col(group).eqNullSafe(F.col("__g"))).where(mid).groupBy(group).agg(F.max("n").alias("n"), F.avg(value).alias("median"))
+
+
 def median_mad(df: DataFrame, group: str, value: str) -> DataFrame:
     """Median and median absolute deviation of each group, both exact; null and NaN values are left out."""
-    d = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    m = d.groupBy(group).agg(F.percentile(value, 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
-    x = d.join(m, group).groupBy(group).agg(F.max("n").alias("n"), F.max("median").alias("median"), F.percentile(F.abs(F.col(value) - F.col("median")), 0.5).alias("mad"))
-    return x.select(F.col(group).alias("grp"), "n", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
+    d = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(group, value)
+    m = medians(d, group, value)
+    x = d.join(m.select(F.col(group).alias("__m"), "median"), F.col(group).eqNullSafe(F.col("__m"))).select(group, F.abs(F.col(value) - F.col("median")).alias("__d"))
+    mad = medians(x, group, "__d").select(F.col(group).alias("__m"), F.col("median").alias("mad"))
+    return m.join(mad, F.col(group).eqNullSafe(F.col("__m"))).select(F.col(group).alias("grp"), "n", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
 
 
 def tvd(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -52,27 +65,29 @@ def coverage_curve(df: DataFrame, group: str, value: str) -> DataFrame:
 def kmeans_bounds(df: DataFrame, value: str, k: int, rounds: int = 60) -> DataFrame:
     """Centres of one-dimensional k-means and the bounds half way between them.
 
-    Scores fold to a histogram at six decimals first; its distinct values (at most a
-    million for scores in [0, 1]) are refined on the driver by Lloyd's rule from
-    nearest-rank starts until nothing moves. An empty table gives no row.
+    Lloyd's rule from nearest-rank starts until nothing moves; a round is one aggregate,
+    whose ``k`` counts and sums only come to the driver. Null and NaN are left out; an
+    empty table gives no row, and a cluster that loses all values keeps its centre.
     """
-    import numpy as np
-
     spark = df.sparkSession
-    h = np.array([(r[0], r[1]) for r in df.groupBy(F.round(value, 6).alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()], dtype=float).reshape(-1, 2)
+    d = cut(df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    total = d.agg(F.sum("n")).first()[0]
     schema = "centre_no int, centre double, upper_bound double"
-    if not len(h):
+    if not total:
         return spark.createDataFrame([], schema)
-    v, n = h[:, 0], h[:, 1]
-    cum = np.cumsum(n)
-    c = np.array([v[np.searchsorted(cum, np.ceil((2 * i + 1) / (2 * k) * cum[-1]))] for i in range(k)])
+    at = [-(-(2 * i + 1) * total // (2 * k)) for i in range(k)]
+    cum = running_sums(d, [F.col("v").asc()], {"upto": "n"})
+    start = cum.agg(*[F.min(F.when(F.col("upto") >= a, F.col("v"))).alias(f"c{i}") for i, a in enumerate(at)]).first()
+    c = [float(x) for x in start]
     for _ in range(rounds):
-        to = np.abs(v[:, None] - c[None, :]).argmin(axis=1)
-        new = np.array([np.average(v[to == i], weights=n[to == i]) if (to == i).any() else c[i] for i in range(k)])
-        if np.abs(new - c).max() < 1e-9:
-            break
+        nearest = F.array_min(F.array(*[F.struct(F.abs(F.col("v") - x).alias("d"), F.lit(i).alias("i")) for i, x in enumerate(c)]))["i"]
+        means = {r["i"]: r["m"] for r in d.groupBy(nearest.alias("i")).agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("m")).collect()}
+        new = [float(means.get(i, x)) for i, x in enumerate(c)]
+        moved = max(abs(a - b) for a, b in zip(new, c))
         c = new
-    rows = [(i, round(float(c[i]), 6), round(float((c[i] + c[i + 1]) / 2), 6) if i + 1 < k else None) for i in range(k)]
+        if moved < 1e-9:
+            break
+    rows = [(i, round(c[i], 6), round((c[i] + c[i + 1]) / 2, 6) if i + 1 < k else None) for i in range(k)]
     return spark.createDataFrame(rows, schema)
 
 

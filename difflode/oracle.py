@@ -103,7 +103,7 @@ def oracle_sql() -> dict[str, str]:
  SELECT (SELECT count(*) FROM o) AS rows, (SELECT round((sr - p * (p + 1) / 2) / (p * n), 6) FROM a) AS auroc, (SELECT round(sum(pos * tp / seen) / sum(pos), 6) FROM r) AS auprc,
  (SELECT round(avg((s - t) * (s - t)), 6) FROM o) AS brier, (SELECT round(avg(-(t * ln(q) + (1 - t) * ln(1 - q))), 6) FROM o) AS log_loss, (SELECT round(avg(((s >= 0.5)::INT = t)::INT), 6) FROM o) AS accuracy""",
         "score_reliability": f"SELECT least(9, floor(quality_score * 10))::INT AS bin, count(*) AS n, round(avg(quality_score), 6) AS mean_score, round(avg(fewshot_eligible), 6) AS rate, round(abs(avg(quality_score) - avg(fewshot_eligible)), 6) AS gap FROM {FEW} WHERE fewshot_eligible IS NOT NULL AND quality_score IS NOT NULL AND NOT isnan(quality_score) GROUP BY 1",
-        "precision_threshold": f"WITH {RANKED.format(t='fewshot_eligible', few=FEW)} SELECT max(s) AS threshold, arg_max(tp, s)::BIGINT AS hits, arg_max(seen, s)::BIGINT AS selected FROM r WHERE tp >= 0.8 * seen",
+        "precision_threshold": f"WITH d AS (SELECT round(quality_score::DOUBLE, 6) AS s, fewshot_eligible AS y FROM {FEW} WHERE fewshot_eligible IS NOT NULL AND quality_score IS NOT NULL AND NOT isnan(quality_score)), t AS (SELECT a.s, sum(b.y)::DOUBLE AS hits, count(*)::DOUBLE AS n FROM (SELECT DISTINCT s FROM d) a JOIN d b ON b.s > a.s GROUP BY a.s), x AS (SELECT max(s) FILTER (hits >= 0.8 * n) AS s, max(n) AS most FROM t) SELECT coalesce(x.s, 0.5) AS threshold, t.hits::BIGINT AS hits, coalesce(t.n, x.most)::BIGINT AS selected, x.s IS NULL AS used_fallback FROM x LEFT JOIN t ON t.s = x.s",
         "selective_risk": f"WITH {RANKED.format(t='(1 - fewshot_eligible)', few=FEW)}, x AS (SELECT *, ceil(seen * 10 / (SELECT sum(n) FROM d))::INT AS step FROM r) SELECT step, max(seen)::BIGINT AS rows, round(arg_max(tp, seen) / max(seen), 6) AS risk FROM x GROUP BY step",
         "intent_clusters": f"WITH {CLUSTERS} SELECT * FROM out",
         "file_baseline": f"WITH {CLUSTERS} SELECT split, count(*) AS samples, round(avg(pair_f1), 6) AS pair_f1, round(avg(bcubed_f1), 6) AS bcubed_f1 FROM out JOIN {SAMPLES} s USING (sample_id) GROUP BY split",
@@ -138,7 +138,8 @@ def oracle_sql() -> dict[str, str]:
  SELECT a.type, b.language, coalesce(n, 0) AS n, greatest(0, 20 - coalesce(n, 0)) AS short FROM (SELECT DISTINCT type FROM x) a CROSS JOIN (SELECT DISTINCT language FROM x) b LEFT JOIN n ON n.type = a.type AND n.language = b.language""",
         "hunk_overlaps": f"""WITH h AS (SELECT sample_id, file_path, unit_id, regexp_extract(patch_text, '@@ -([0-9]+)(?:,([0-9]+))? \\+([0-9]+)(?:,([0-9]+))? @@', ['a', 'b', 'c', 'd']) AS r FROM {UNITS}), u AS (SELECT sample_id, file_path, unit_id, nullif(r.a, '')::BIGINT AS s, coalesce(nullif(r.b, '')::BIGINT, 1) AS n FROM h WHERE r.a <> '')
  SELECT x.sample_id, x.file_path, x.unit_id AS a, y.unit_id AS b FROM u x JOIN u y ON x.sample_id = y.sample_id AND x.file_path = y.file_path AND x.unit_id < y.unit_id AND x.s <= y.s + greatest(y.n, 1) - 1 + 3 AND y.s <= x.s + greatest(x.n, 1) - 1 + 3""",
-        "delivery_chain": f"""WITH x AS (SELECT {repo('repo')} AS repo, log_id, lower(sha) AS sha FROM {LOG}), c AS (SELECT repo, sha256(coalesce(lag(sha) OVER (PARTITION BY repo ORDER BY log_id), '') || '|' || sha) AS link FROM x WHERE repo IS NOT NULL AND sha IS NOT NULL)
+        "delivery_chain": f"""WITH RECURSIVE x AS (SELECT {repo('repo')} AS repo, log_id, lower(sha) AS sha FROM {LOG}), r AS (SELECT repo, sha, row_number() OVER (PARTITION BY repo ORDER BY log_id) AS i FROM x WHERE repo IS NOT NULL AND sha IS NOT NULL),
+ c AS (SELECT repo, i, sha256('|' || sha) AS link FROM r WHERE i = 1 UNION ALL SELECT r.repo, r.i, sha256(c.link || '|' || r.sha) FROM c JOIN r ON r.repo = c.repo AND r.i = c.i + 1)
  SELECT repo, count(*) AS links, min(link) AS least, max(link) AS greatest FROM c GROUP BY repo""",
         "integrity_counters": f"""WITH u AS (SELECT DISTINCT sample_id, unit_id, gold_intent_id IS NULL AS no FROM {UNITS}), s AS (SELECT DISTINCT sample_id FROM attribution_samples), g AS (SELECT DISTINCT sample_id, unnest(map_keys(gold_unit_to_intent)) AS unit_id FROM attribution_samples)
  SELECT 'units_without_sample' AS counter, count(*) AS n FROM u ANTI JOIN s USING (sample_id) UNION ALL SELECT 'samples_without_unit', count(*) FROM s ANTI JOIN u USING (sample_id)
@@ -190,9 +191,10 @@ def oracle_sql() -> dict[str, str]:
  SELECT 'verified' AS gate, round(v, 6) AS observed, 0.5::DOUBLE AS threshold, v >= 0.5 AS passes FROM a UNION ALL SELECT 'eligible', round(e, 6), 0.5, e >= 0.5 FROM a UNION ALL SELECT 'mean_score', round(m, 6), 0.4, m >= 0.4 FROM a UNION ALL SELECT 'no_repo', round(r, 6), 0.05, r <= 0.05 FROM a UNION ALL SELECT 'no_score', round(s, 6), 0.05, s <= 0.05 FROM a""",
         "stream_first_deliveries": "SELECT sha, any_value(subject) AS subject FROM candidates WHERE sha IS NOT NULL GROUP BY sha",
         "tfidf_neighbours": f"""WITH f AS (SELECT example_id AS id, {repo('repo')} AS repo, {split('split')} AS split, list_filter(regexp_split_to_array(lower(subject), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '') AS ws FROM {FEW}),
- b AS (SELECT id, repo, split, w, count(*)::DOUBLE AS tf FROM (SELECT id, repo, split, unnest(ws) AS w FROM f) GROUP BY ALL), n AS (SELECT count(DISTINCT id) AS n FROM f WHERE split = 'train'),
- i AS (SELECT w, ln((1 + (SELECT n FROM n)) / (1 + count(*))::DOUBLE) AS idf FROM b WHERE split = 'train' GROUP BY w), x AS (SELECT b.*, tf * idf + 1 AS v FROM b JOIN i USING (w) WHERE split IN ('train', 'dev', 'test')), m AS (SELECT id, sqrt(sum(v * v)) AS norm FROM x GROUP BY id),
- s AS (SELECT q.id AS query_id, p.id AS example_id, round(sum(q.v * p.v) / (any_value(mq.norm) * any_value(mp.norm)), 6) AS cosine FROM x q JOIN x p ON q.w = p.w AND p.split = 'train' AND q.split <> 'train' AND q.repo IS DISTINCT FROM p.repo JOIN m mq ON mq.id = q.id JOIN m mp ON mp.id = p.id GROUP BY q.id, p.id)
+ b AS (SELECT id, repo, split, w, count(*)::DOUBLE AS tf FROM (SELECT id, repo, split, unnest(ws) AS w FROM f) GROUP BY ALL), n AS (SELECT count(DISTINCT id)::DOUBLE AS n FROM f WHERE split = 'train'), d AS (SELECT w, count(*)::DOUBLE AS df FROM b WHERE split = 'train' GROUP BY w),
+ p AS (SELECT id, repo, w, tf * ln((2 + n) / (1 + df)) + 1 AS alone, tf * ln((2 + n) / (2 + df)) + 1 AS v FROM b JOIN d USING (w), n WHERE split = 'train'), q AS (SELECT id, repo, w, tf * ln((2 + n) / (2 + coalesce(df, 0))) + 1 AS v FROM b LEFT JOIN d USING (w), n WHERE split IN ('dev', 'test')),
+ pn AS (SELECT id, sum(alone * alone) AS s FROM p GROUP BY id), qn AS (SELECT id, sum(v * v) AS s FROM q GROUP BY id), x AS (SELECT q.id AS query_id, p.id AS example_id, sum(q.v * p.v) AS dot, sum(p.v * p.v - p.alone * p.alone) AS more FROM q JOIN p ON q.w = p.w AND q.repo IS DISTINCT FROM p.repo GROUP BY q.id, p.id),
+ s AS (SELECT query_id, example_id, round(dot / sqrt(qn.s * (pn.s + more)), 6) AS cosine FROM x JOIN qn ON qn.id = query_id JOIN pn ON pn.id = example_id)
  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, example_id) AS rank FROM s) WHERE rank <= 3""",
         "stream_event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2",
     }
