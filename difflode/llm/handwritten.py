@@ -288,7 +288,7 @@ def seed_features(path: Column) -> Column:
     return F.when(path.rlike(f"^(?:{every})$"), each).otherwise(F.array().cast("array<string>"))
 
 
-def accepted(paths: DataFrame, features: Column) -> DataFrame:
+def accepted(paths: DataFrame, features: str) -> DataFrame:
     """``feature`` of the patterns whose files show evidence often enough; ``paths`` has ``path, evidence``, one row a path.
 
     Each distinct path counts once, so copies and hot repositories do not weigh more; all
@@ -309,17 +309,17 @@ def mined(files: DataFrame) -> DataFrame:
     ``files`` has ``path, evidence``. Names are mined first, then folders on the paths that
     no name explains, so that a folder of some generated files does not stand for all in it.
     """
-    paths = cut(files.where("path != ''").groupBy("path").agg(F.max("evidence").alias("evidence")))
-    names, folders = F.concat(seed_features(F.col("path")), name_features(F.col("path"))), folder_features(F.col("path"))
+    one = files.where("path != ''").groupBy("path").agg(F.max("evidence").alias("evidence"))
+    paths = stored(one.select("path", "evidence", F.concat(seed_features(F.col("path")), name_features(F.col("path"))).alias("names"), folder_features(F.col("path")).alias("folders")))
 
-    def explained(left: DataFrame, features: Column) -> DataFrame:
+    def explained(left: DataFrame, features: str) -> DataFrame:
         hit = left.select("path", F.explode(features).alias("feature")).join(accepted(left, features), "feature")
         return hit.groupBy("path").agg(F.min(F.when(F.col("feature").startswith("seed:"), "seed").otherwise("mined")).alias("pattern"))
 
-    first = cut(explained(paths, names))
-    second = explained(paths.join(first, "path", "left_anti"), folders)
+    first = cut(explained(paths, "names"))
+    second = explained(paths.join(first, "path", "left_anti"), "folders")
     # a seed that also lies in a mined folder is explained by mining
-    alone = explained(paths.join(first.where("pattern = 'mined'"), "path", "left_anti"), folders).select("path").join(first, "path", "left_semi").withColumn("pattern", F.lit("mined"))
+    alone = explained(paths.join(first.where("pattern = 'mined'"), "path", "left_anti"), "folders").select("path").join(first, "path", "left_semi").withColumn("pattern", F.lit("mined"))
     return first.union(second).union(alone).groupBy("path").agg(F.min("pattern").alias("pattern"))
 
 
