@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words kept for the segmentation (the most frequent ones of the whole corpus) and the records a word must occur in.
-DICTIONARY_WORDS, DICTIONARY_RECORDS = 50_000, 5
+#: Records that a word of the segmentation must occur in, and their share. With w words a record at most w / share words
+#: can reach the share, whatever the corpus, so that the dictionary is bounded without leaving any such word out.
+DICTIONARY_RECORDS, DICTIONARY_SHARE = 5, 1e-5
 
 # Words of keys that hold a credential, of keys that do not although they name one, and of values that stand for one.
 STRONG = {"password", "passwd", "passphrase", "passcode", "pwd", "pass", "pw", "secret", "token", "credential", "credentials", "apikey", "authtoken", "bearer", "passwort", "kennwort"}
@@ -37,7 +38,11 @@ USERINFO = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*://[^\s:/@'\"<>]*:([^\s/@'\"<>]+)
 DASH_U = re.compile(r"(?:\s-u\s*|--user[= ])['\"]?[^\s:'\"]+:([^\s'\"]+)")
 FLAG = re.compile(r"--?(?:pass(?:word|phrase|wd)?|pwd|secret|token|auth[-_]token|api[-_]?key|access[-_]token)(?:=|\s+)['\"]?([^\s'\"]+)", re.I)
 DASH_P = re.compile(r"(?:--user|--username|--login|\blogin\b|-U|-u)[ =]\S+.*?\s-p\s*['\"]?([^\s'\"]+)")
-CONNECTION = re.compile(r"(?:^|[;\"'\s])(?:password|pwd)\s*=\s*([^;\"'\s]+)\s*;", re.I)
+CONNECTION = re.compile(r"(?:^|[;\"'\s])(?:password|pwd|(?:shared ?access|account|access|shared) ?key)\s*=\s*([^;\"'\s]+)\s*(?:;|$|[\"'])", re.I)
+WEBHOOK = re.compile(r"hooks\.slack\.com/services/T\w+/B\w+/(\w{16,})")
+SSHPASS = re.compile(r"\bsshpass\s+-p\s*(?:'([^']+)'|\"([^\"]+)\"|([^\s'\"]+))")
+ALONE = re.compile(r"\b(?:auth|authenticate|set_?(?:password|token|secret|api_?key))\(\s*(?:b|r|u)?([\"'])((?:(?!\1).)+)\1\s*\)", re.I)
+DOCKER = re.compile(r"^[+\- ]?\s*(?:ENV|ARG|setx|set)\s+([A-Za-z_]\w*)\s+[\"']?([^\s\"']+)[\"']?\s*$")
 LOGIN = re.compile(r"\b(?:log_?in|authenticate|connect|auth|sign_?in|set_?credentials)\(\s*(?:\w+\s*=\s*)?([\"'])[^\"']*\1\s*,\s*(?:\w+\s*=\s*)?([\"'])((?:(?!\2).)+)\2", re.I)
 NETRC = re.compile(r"\blogin\s+\S+\s+password\s+(\S+)", re.I)
 PROSE = re.compile(r"\b(?:log(?:ging|ged)? ?(?:in|on)|sign(?:ing)? in|authenticate|connect)\b[^\n]{0,60}?\b(?:with|using)\s+(?:the\s+)?(?:password\s+|passphrase\s+|pw\s+)?[`'\"]?([^\s`'\"]{6,})|\bpass(?:word|phrase|wd)\s+(?:is|was|=|:)\s+[`'\"]?([^\s`'\"]{6,})", re.I)
@@ -55,11 +60,11 @@ CANDIDATE = re.compile(
     "(?i)"
     # KNOWN, with its condition on what stands before
     r"(?<![A-Za-z0-9_])(?:[srp]k_|sk-|sg\.|hf_)|xox.-|gh[oprsu]_|github_pat_|gl(?:pat|rt|dt|ptt|soat)-|npm_|dop_v1|aiza|shp.._|pypi-|ya29|eyj|"
-    # ACCESS_ID, PEM, USERINFO, DASH_U and DASH_P
-    r"akia|asia|-----begin|://[^\s/]*@|\s-u|-u[ =]|--user|"
-    # LOGIN, PROSE, NETRC, HEADER
+    # WEBHOOK, ACCESS_ID, PEM, USERINFO, DASH_U and DASH_P
+    r"hooks\.slack|akia|asia|-----begin|://[^\s/]*@|\s-u|-u[ =]|--user|"
+    # LOGIN, ALONE, PROSE, NETRC, HEADER
     r"log(?:ging|ged)?[ _]?[io]n|sign(?:ing)?[ _]?in|connect\b|auth|"
-    # words of STRONG and KEY_OF: FLAG, CONNECTION, XML, ADD, ASSIGN and the rest of LOGIN and PROSE
+    # words of STRONG and KEY_OF: FLAG, CONNECTION, SSHPASS, DOCKER, XML, ADD, ASSIGN and the rest of LOGIN and PROSE
     + "|".join(_S.join(w) for w in ("pass", "pw", "secret", "token", "key", "cred", "bearer", "kennwort"))
 )
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -158,6 +163,16 @@ def scan_line(line: str, words: Segmenter) -> list[tuple[int, int]]:
         add(m, 1, is_secret(m[1], words, True))
     for m in CONNECTION.finditer(line):
         add(m, 1, is_literal(m[1]) and not re.search(r"[()]", m[1]))
+    for m in WEBHOOK.finditer(line):
+        add(m, 1, len(set(m[1])) > 6 and not FILLERS.search(m[1]))
+    for m in SSHPASS.finditer(line):
+        g = next(i for i in (1, 2, 3) if m[i])
+        add(m, g, is_secret(m[g], words, True))
+    for m in ALONE.finditer(line):
+        add(m, 2, is_secret(m[2], words, True))
+    m = DOCKER.match(line)
+    if m:
+        add(m, 2, holds_credential(m[1]) and is_secret(m[2], words, False))
     for m in LOGIN.finditer(line):
         add(m, 3, is_secret(m[3], words, True))
     for m in NETRC.finditer(line):
@@ -253,16 +268,17 @@ def mask(text: str, found: list[tuple[int, int, int]]) -> str:
 
 
 def dictionary(identifiers: DataFrame, col: str) -> dict[str, int]:
-    """The most frequent words of an array column of identifiers, with the records they occur in.
+    """The words of an array column of identifiers that occur in enough records, with the records they occur in.
 
-    Counted over all rows; the model keeps at most ``DICTIONARY_WORDS`` words. Identifiers
-    are split at case changes, digits and signs.
+    Counted over all rows; a word must occur in ``DICTIONARY_RECORDS`` records and in
+    ``DICTIONARY_SHARE`` of all. Identifiers are split at case changes, digits and signs.
     """
     spaced = F.lower(F.regexp_replace(F.regexp_replace(F.concat_ws(" ", F.col(col)), r"([a-z])([A-Z])", "$1 $2"), r"[^A-Za-z]+", " "))
     words = identifiers.select(F.explode(F.array_distinct(F.split(spaced, " "))).alias("w")).where("length(w) between 3 and 20")
-    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= DICTIONARY_RECORDS).orderBy(F.desc("n"), "w").limit(DICTIONARY_WORDS)
+    total = identifiers.agg(F.count(F.lit(1)).alias("total"))
+    often = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= DICTIONARY_RECORDS).join(total, F.lit(True)).where(F.col("n") >= DICTIONARY_SHARE * F.col("total"))
     base = "the and for with from user name value data file path test type list default config server client host port http https string none null true false admin root login service example local main password secret token hint number count code line text error".split()
-    return {w: 100 for w in base} | {r["w"]: r["n"] for r in top.collect()}
+    return {w: 100 for w in base} | {r["w"]: r["n"] for r in often.select("w", "n").collect()}
 
 
 def find_secrets(records: DataFrame, key: list[str], text: str, words: dict[str, int], masked: bool = False) -> DataFrame:
