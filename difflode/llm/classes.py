@@ -43,9 +43,12 @@ def class_table(docs: DataFrame, group: str, flags: tuple[str, ...] = ()) -> Dat
     return docs.groupBy("cls").agg(F.first("words").alias("words"), F.max(F.xxhash64(group)).alias("grp"), *[F.max(f).alias(f) for f in flags])
 
 
-def bucketed(classes: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], keep: tuple[str, ...] = (), block: int = 2048) -> DataFrame:
+def bucketed(classes: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], keep: tuple[str, ...] = (), block: int = 2048, read: tuple[str, ...] = ()) -> DataFrame:
     """A row ``key, cls, s0, s1`` and flags for each class and table; the group is part of the key.
 
+    ``read`` names columns that are read but not kept: readers of a class table that need
+    the same columns of it share its shuffle.
+
     ``kernel`` takes list offsets and the hashed words of many classes at once and gives
     bucket keys (classes x tables) and sketches (classes x 2), both 64-bit integers.
     """
@@ -69,7 +72,7 @@ def bucketed(classes: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], tupl
                 )
 
     ddl = ", ".join(["cls long", *[f"{k} {types[k]}" for k in keep], "keys array<long>", "s0 long", "s1 long"])
-    rows = classes.select("cls", *keep, "words").mapInArrow(run, ddl).withColumn("key", F.explode("keys"))
+    rows = classes.select("cls", *keep, *read, "words").mapInArrow(run, ddl).withColumn("key", F.explode("keys"))
     return rows.select(F.col("key").bitwiseXOR(F.col("grp")).alias("key"), "cls", "s0", "s1", *keep[1:])
 
 
@@ -78,21 +81,23 @@ def near(a: str, b: str, radius: int | Column) -> Column:
     return F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))) + F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) <= radius
 
 
-def plausible(candidates: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def plausible(candidates: DataFrame, classes: DataFrame, threshold: float, flags: tuple[str, ...] = (), also: Column | None = None) -> DataFrame:
     """The candidate pairs ``c1, c2`` whose sizes, and the bits in which their words differ, allow the threshold; none that reaches it is lost.
 
     A bit tells whether an odd number of words falls on it, so two sets differ in at least
     as many words as bits. The check moves a few bytes a pair, where verification moves words.
+    ``also`` is a further condition on the aliased sides ``a`` and ``b``, with the flags it needs.
     """
     def half(k: int) -> Column:
         bit = lambda w: F.when(w.bitwiseAND(64) == 64 * k, F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63))).otherwise(F.lit(0).cast("long"))
         return F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(bit(w)))
 
-    narrow = classes.select("cls", F.size("words").alias("size"), half(0).alias("s0"), half(1).alias("s1"))
+    narrow = classes.select("cls", "grp", *flags, F.size("words").alias("size"), half(0).alias("s0"), half(1).alias("s1"))
     a, b = narrow.alias("a"), narrow.alias("b")
     sizes = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * F.lit(threshold - 1e-6)
     differ = (F.col("a.size") + F.col("b.size")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
-    return candidates.join(a, F.col("c1") == F.col("a.cls")).join(b, F.col("c2") == F.col("b.cls")).where(sizes & near("a", "b", differ)).select("c1", "c2")
+    ok = sizes & near("a", "b", differ) & (F.col("a.grp").bitwiseXOR(F.col("b.grp")) == 0)
+    return candidates.join(a, F.col("c1") == F.col("a.cls")).join(b, F.col("c2") == F.col("b.cls")).where(ok if also is None else ok & also).select("c1", "c2")
 
 
 def verified(candidates: DataFrame, classes: DataFrame, threshold: float, also: Column | None = None) -> DataFrame:

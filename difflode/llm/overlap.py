@@ -112,7 +112,7 @@ def subset_rows(classes: DataFrame, threshold: float) -> DataFrame:
                 arr = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.view(np.int64).reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column("cls"), part.column("grp"), arr], names=["cls", "grp", "keys"])
 
-    small = classes.where(F.size("words").isin(list(sizes))).select("cls", "grp", "words")
+    small = classes.where(F.size("words").isin(list(sizes))).select("cls", "grp", "is_train", "is_eval", "words")
     rows = small.mapInArrow(run, "cls long, grp long, keys array<long>").withColumn("key", F.explode("keys"))
     return rows.select(F.col("key").bitwiseXOR(F.col("grp")).alias("key"), "cls")
 
@@ -140,12 +140,13 @@ def across_classes(docs: DataFrame, group: str, key: str, text: str, split: str
         group, key, text, (F.col(split) == "train").alias("is_train"), (F.col(split) != "train").alias("is_eval")
     )
     d = with_classes(d, group, text)
-    classes = class_table(d, group, ("is_train", "is_eval"))
+    flags = ("is_train", "is_eval")
+    classes = class_table(d, group, flags)
     # a class of so few words has no pair that its shared words do not find
     covered = max((ks.stop - 1 for ks in subset_sizes(threshold).values()), default=0)
     large = classes.where(F.size("words") > covered)
     cand = (
-        bucketed(large.where("is_eval"), _kernel).alias("a").join(bucketed(large.where("is_train"), _kernel).alias("b"), F.col("a.key") == F.col("b.key"))
+        bucketed(large.where("is_eval"), _kernel, read=flags).alias("a").join(bucketed(large.where("is_train"), _kernel, read=flags).alias("b"), F.col("a.key") == F.col("b.key"))
         .where((F.col("a.cls") != F.col("b.cls")) & near("a", "b", RADIUS))
         .select(F.col("a.cls").alias("c1"), F.col("b.cls").alias("c2"))
     )
@@ -154,7 +155,7 @@ def across_classes(docs: DataFrame, group: str, key: str, text: str, split: str
         .where(F.col("a.cls") != F.col("b.cls")).select(F.col("a.cls").alias("c1"), F.col("b.cls").alias("c2"))
     ).distinct()
     across = (F.col("a.is_eval") & F.col("b.is_train")) | (F.col("b.is_eval") & F.col("a.is_train"))
-    pairs = verified(plausible(cand, classes, threshold), classes, threshold, across).select("c1", "c2")
+    pairs = verified(plausible(cand, classes, threshold, flags, across), classes, threshold, across).select("c1", "c2")
     return cut(d.select("cls", group, key, "is_train").distinct()), pairs
 
 
