@@ -7,6 +7,6 @@ from types import ModuleType
 
 def parts() -> list[ModuleType]:
     """The modules of the catalog; each has ``queries`` and ``oracle_sql``."""
-    from difflode.catalog import scoring, text
+    from difflode.catalog import records, scoring, text
 
-    return [scoring, text]
+    return [scoring, text, records]
