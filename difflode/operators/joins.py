@@ -61,10 +61,10 @@ def interval_overlaps(df: DataFrame, by: list[str], key: str, start: str, length
     """
     block = 64
     a0, a1 = F.col(start), F.col(start) + F.greatest(F.col(length), F.lit(1)) - 1 + slack
-    d = df.where(F.col(start).isNotNull()).select(*by, key, a0.alias("s"), a1.alias("e")).withColumn("blk", F.explode(F.sequence(F.floor(F.col("s") / block), F.floor(F.col("e") / block))))
+    d = df.where(F.col(start).isNotNull()).select(*by, key, a0.alias("__s"), a1.alias("__e")).withColumn("__blk", F.explode(F.sequence(F.floor(F.col("__s") / block), F.floor(F.col("__e") / block))))
     x, y = d.alias("x"), d.alias("y")
-    on = (F.col("x.blk") == F.col("y.blk")) & (F.col(f"x.{key}") < F.col(f"y.{key}"))
+    on = (F.col("x.__blk") == F.col("y.__blk")) & (F.col(f"x.{key}") < F.col(f"y.{key}"))
     for c in by:
         on = on & (F.col(f"x.{c}") == F.col(f"y.{c}"))
-    meet = (F.col("x.s") <= F.col("y.e")) & (F.col("y.s") <= F.col("x.e")) & (F.col("x.blk") == F.floor(F.greatest("x.s", "y.s") / block))
+    meet = (F.col("x.__s") <= F.col("y.__e")) & (F.col("y.__s") <= F.col("x.__e")) & (F.col("x.__blk") == F.floor(F.greatest("x.__s", "y.__s") / block))
     return x.join(y, on).where(meet).select(*[F.col(f"x.{c}").alias(c) for c in by], F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from difflode.functions.scores import stable_key
+from difflode.operators.ranking import running_sums
+from difflode.plans.lineage import cut
+
 
 def best_matching(gain: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of the assignment with the largest total gain (shortest augmenting paths with potentials)."""
@@ -44,33 +50,72 @@ def best_matching(gain: np.ndarray) -> list[tuple[int, int]]:
 def matched_accuracy(units: DataFrame, by: str, gold: str, pred: str) -> DataFrame:
     """``by, units, accuracy``: share of units that agree under the best one-to-one matching of predicted to gold labels.
 
-    Only the contingency counts of a group reach a task, folded before the shuffle; the
-    labels of one group (a sample's intents and files) are few by nature. Null labels are left out.
+    Only the contingency counts of a group reach a task, folded before the shuffle, and
+    groups stream through sorted batches one at a time; the labels of one group (a
+    sample's intents and files) are few by nature. Null labels are left out.
     """
     cell = units.where(F.col(by).isNotNull() & F.col(gold).isNotNull() & F.col(pred).isNotNull()).groupBy(F.col(by).alias("g"), F.col(gold).cast("string").alias("a"), F.col(pred).cast("string").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    kind = dict(units.dtypes)[by]
+
+    def result(rows: list[tuple]) -> tuple[int, float]:
+        a, b = ({v: i for i, v in enumerate(sorted({r[k] for r in rows}))} for k in (0, 1))
+        t = np.zeros((len(a), len(b)))
+        for x, y, n in rows:
+            t[a[x], b[y]] = n
+        return int(t.sum()), round(float(sum(t[r, c] for r, c in best_matching(t)) / t.sum()), 6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, kind_ = None, [], None
+        for batch in batches:
+            out = []
+            kind_ = batch.schema.field("g").type
+            for g, *row in zip(*[batch.column(c).to_pylist() for c in ("g", "a", "b", "n")]):
+                if held and g != at:
+                    out.append((at, *result(held)))
+                    held = []
+                at = g
+                held.append(tuple(row))
+            yield record(out, kind_)
+        if held:
+            yield record([(at, *result(held))], kind_)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pdf.pivot_table(index="a", columns="b", values="n", fill_value=0).to_numpy(float)
-        hit = sum(t[r, c] for r, c in best_matching(t))
-        return pd.DataFrame([(pdf["g"].iloc[0], int(t.sum()), round(hit / t.sum(), 6))], columns=["g", "units", "accuracy"])
+    def record(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], kind), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], names=["g", "units", "accuracy"])
 
-    return cell.groupBy("g").applyInPandas(run, "g string, units long, accuracy double").withColumnRenamed("g", by)
+    return cell.repartition("g").sortWithinPartitions("g").mapInArrow(run, f"g {kind}, units long, accuracy double").withColumnRenamed("g", by)
+
+
+#: Groups of more than this part of all weight are packed one by one.
+HEAVY = 1e-4
 
 
 def pack_groups(weights: DataFrame, group: str, weight: str, targets: list[tuple[str, float]], seed: str) -> DataFrame:
-    """``group, split``: whole groups to the split with the largest remaining deficit, heaviest first, ties by hash.
+    """``group, split``: whole groups to splits, so that their weights come near the targets.
 
-    For a bounded number of groups (repositories or families of an annotated set); their
-    weights come to the driver. Every group is placed; weights below zero count as zero.
+    Groups of more than ``HEAVY`` of all weight, of which there are at most ``1 / HEAVY``,
+    come to the driver and go to the split with the largest remaining deficit, heaviest
+    first, ties by hash. All others fill what is left in hash order by running sums on the
+    executors. Every group is placed; weights below zero count as zero.
     """
-    from difflode.functions.scores import stable_key
-
-    rows = weights.where(F.col(group).isNotNull()).select(group, F.greatest(F.col(weight), F.lit(0)).alias("w"), stable_key(seed, F.col(group)).alias("k")).orderBy(F.desc("w"), "k").collect()
-    total = float(sum(r["w"] for r in rows)) or 1.0
+    spark = weights.sparkSession
+    w = cut(weights.where(F.col(group).isNotNull()).select(group, F.greatest(F.col(weight), F.lit(0)).alias("w"), stable_key(seed, F.col(group)).alias("k")))
+    total = float(w.agg(F.sum("w")).first()[0] or 0)
     left = {name: share * total for name, share in targets}
-    out = []
-    for r in rows:
+    placed = []
+    for r in w.where(F.col("w") > HEAVY * total).orderBy(F.desc("w"), "k").collect():
         best = max(left, key=lambda s: (left[s], s))
         left[best] -= r["w"]
-        out.append((r[group], best))
-    return weights.sparkSession.createDataFrame(out, f"{group} string, split string")
+        placed.append((r[group], best))
+    heavy = spark.createDataFrame(placed, f"{group} string, split string")
+    light = w.where(F.col("w") <= HEAVY * total)
+    rest = {s: max(v, 0.0) for s, v in left.items()}
+    part = sum(rest.values()) or 1.0
+    mass = float(light.agg(F.sum("w")).first()[0] or 0)
+    upto, split = 0.0, None
+    middle = F.col("upto") - F.col("w") / 2
+    for s, v in rest.items():
+        upto += v / part
+        split = F.when(middle <= upto * mass, s) if split is None else split.when(middle <= upto * mass, s)
+    last = max(rest, key=lambda s: (rest[s], s))
+    filled = running_sums(light, [F.col("k").asc(), F.col(group).asc()], {"upto": "w"}).select(F.col(group).cast("string").alias(group), split.otherwise(last).alias("split"))
+    return heavy.union(filled)

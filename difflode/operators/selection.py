@@ -66,6 +66,27 @@ def neighbour_pairs(df: DataFrame, group: str, key: str, reach: int, seed: str,
     return a.join(b, [group, "__r"]).select(group, "key_a", "key_b", *[f"{c}_{x}" for c in carry for x in "ab"])
 
 
+def bounded_pairs(df: DataFrame, group: str, key: str, attempts: int, seed: str, carry: list[str]) -> DataFrame:
+    """The first ``attempts`` pairs of each group: pairs of rows in hash order, the first row with all later ones, then the second, and so on.
+
+    Gives ``group, attempt, key_a, key_b`` and each carried column of both sides. A row's
+    pairs follow from its rank and the size of its group, so only pairs within the bound are
+    ever formed, by an equality join on ranks; a group of any size spreads over the tasks.
+    """
+    d = df.where(F.col(group).isNotNull()).select(group, key, *carry).withColumn("__k", stable_key(seed, F.col(key)))
+    ranked = rank_within(d, [group], [F.col("__k").asc(), F.col(key).asc()], "__r").drop("__k")
+    n = d.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    # no row beyond the bound can be in a pair
+    near = cut(ranked.where(F.col("__r") <= attempts + 1).join(n, group))
+    i = F.col("__r") - 1
+    before = i * (F.col("__n") - 1) - (i * (i - 1) / 2).cast("long")
+    many = F.least(F.col("__n") - F.col("__r"), F.lit(attempts) - before)
+    a = near.withColumn("__before", before).withColumn("__many", many).where("__many > 0").withColumn("__o", F.explode(F.sequence(F.col("__r") + 1, F.col("__r") + F.col("__many"))))
+    a = a.select(group, (F.col("__before") + F.col("__o") - F.col("__r") - 1).alias("attempt"), F.col(key).alias("key_a"), *[F.col(c).alias(f"{c}_a") for c in carry], F.col("__o").alias("__r"))
+    b = near.select(group, F.col(key).alias("key_b"), *[F.col(c).alias(f"{c}_b") for c in carry], "__r")
+    return a.join(b, [group, "__r"]).drop("__r")
+
+
 def cascade_top_k(queries: DataFrame, pool: DataFrame, levels: list[str], k: int) -> DataFrame:
     """Top ``k`` pool rows for each query, filled level by level, never from the query's own repository.
 

@@ -542,8 +542,8 @@ def gate_report(s, d):
 
 
 def stream_first_deliveries(s, d):
-    """Every candidate once, by a stream that keeps the keys it has seen."""
-    return first_deliveries(s, f"{d}/candidates.parquet", "sha", ["subject"])
+    """Every candidate's first delivery, by a stream that adds what its table lacks."""
+    return first_deliveries(s, f"{d}/candidates.parquet", "sha", ["subject"], order="ingested_at")
 
 
 def stream_event_windows(s, d):

@@ -44,7 +44,9 @@ def read_any(spark: SparkSession, path: str, schema: StructType | str | None = N
     if kind == "csv":
         return read_csv(spark, path)
     if kind in ("json", "jsonl"):
-        return spark.read.schema(schema).json(path) if schema else spark.read.json(path)
+        # a .json file may hold one array, a .jsonl file one object a line
+        reader = spark.read.option("multiLine", kind == "json")
+        return reader.schema(schema).json(path) if schema else reader.json(path)
     raise ValueError(f"no reader for .{kind}")
 
 
@@ -83,3 +85,35 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
     return old.join(n, on, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def merge_json_lines(spark: SparkSession, paths: list[str], schema: StructType | str, target: str) -> int:
+    """All rows of several JSON-lines files as one table at ``target``; blank lines are skipped. Returns the number of rows."""
+    spark.read.schema(schema).json(paths).write.mode("errorifexists").json(target)
+    return spark.read.schema(schema).json(target).count()
+
+
+def discover(spark: SparkSession, root: str, pattern: str = "*.csv", without: tuple[str, ...] = ()) -> DataFrame:
+    """``path, length, modified`` of the files below a folder whose name has the pattern; names that hold one of ``without`` are left out. Contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length", F.col("modificationTime").alias("modified"))
+    name = F.element_at(F.split("path", "/"), -1)
+    for w in without:
+        found = found.where(~name.contains(w))
+    return found.dropDuplicates(["path"])
+
+
+def wanted_last(df: DataFrame, wanted: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """Of the keys in ``wanted`` the row that is last in the given order; rows are picked by their key before they meet."""
+    rows = df.join(wanted.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi")
+    rest = [c for c in df.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("r")).select(key, "r.*")
+
+
+def merge_first(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The union of several tables in which each key comes from the first table that has it; of equal keys in one table one row is kept."""
+    all_ = None
+    for i, t in enumerate(tables):
+        x = t.withColumn("__from", F.lit(i))
+        all_ = x if all_ is None else all_.unionByName(x, allowMissingColumns=True)
+    rest = [c for c in all_.columns if c not in keys and c != "__from"]
+    return all_.groupBy(*keys).agg(F.min_by(F.struct(*rest), "__from").alias("r")).select(*keys, "r.*")

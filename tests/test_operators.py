@@ -1,5 +1,6 @@
 """Small cases with known answers for the general operators."""
 
+import itertools
 import random
 
 import pytest
@@ -116,3 +117,67 @@ def test_chain_detects_a_change(spark):
     assert verify_chain(ok, "g", "o", "v", "link").count() == 0
     bad = ok.withColumn("v", F.when(F.col("o") == 2, "x").otherwise(F.col("v")))
     assert {r["o"] for r in verify_chain(bad, "g", "o", "v", "link").collect()} == {2, 3, 4}
+
+
+def test_running_sums_and_medians(spark):
+    from difflode.operators.ranking import running_sums
+    from difflode.operators.stats import kmeans_bounds, medians
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice([1.0, 2.0, 3.0, rng.random()]), "hot" if i % 3 else rng.choice(["a", None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, v double, g string")
+    got = {r["i"]: r["s"] for r in running_sums(df, [F.col("v").desc(), F.col("i").asc()], {"s": "v"}).collect()}
+    at = 0.0
+    for i, v, _ in sorted(rows, key=lambda r: (-r[1], r[0])):
+        at += v
+        assert abs(got[i] - at) < 1e-9
+    import statistics
+
+    med = {r["g"]: (r["n"], r["median"]) for r in medians(df, "g", "v").collect()}
+    assert med == {g: (len(x), statistics.median(x)) for g in ("hot", "a", None) for x in [[r[1] for r in rows if r[2] == g]]}
+    two = spark.createDataFrame([(0.1,), (0.12,), (0.9,), (0.88,), (None,), (float("nan"),)], "v double")
+    assert [(r["centre"], r["upper_bound"]) for r in kmeans_bounds(two, "v", 2).orderBy("centre_no").collect()] == [(0.11, 0.5), (0.89, None)]
+    assert kmeans_bounds(two.where("false"), "v", 2).count() == 0
+
+
+def test_bounded_pairs_are_the_first_of_all(spark):
+    from difflode.functions.scores import stable_key
+    from difflode.operators.selection import bounded_pairs
+
+    df = spark.createDataFrame([("hot", i) for i in range(40)] + [("small", i) for i in range(100, 104)] + [("one", 7), (None, 8)], "g string, k int")
+    order = {g: [r["k"] for r in df.where(F.col("g") == g).orderBy(stable_key("s", F.col("k")), "k").collect()] for g in ("hot", "small", "one")}
+    want = {(g, n, a, b) for g, ks in order.items() for n, (a, b) in enumerate(itertools.combinations(ks, 2)) if n < 50}
+    assert {tuple(r) for r in bounded_pairs(df, "g", "k", 50, "s", []).collect()} == want
+
+
+def test_strict_threshold_and_fallback(spark):
+    from difflode.operators.metrics import threshold_by_precision
+
+    df = spark.createDataFrame([(1, .9), (1, .8), (0, .7), (1, .6), (0, .5)], "y int, s double")
+    assert tuple(threshold_by_precision(df, "y", "s", 0.9).first()) == (0.8, 1, 1, False)
+    assert tuple(threshold_by_precision(df, "y", "s", 0.7).first()) == (0.8, 1, 1, False)
+    bad = spark.createDataFrame([(0, .9), (1, .8), (0, .7)], "y int, s double")
+    assert tuple(threshold_by_precision(bad, "y", "s", 0.9, 0.4).first()) == (0.4, None, 2, True)
+
+
+def test_hunk_overlaps_of_planted_hunks(spark):
+    from difflode.functions.changes import hunk_range
+
+    rows = [("s", "f", "a", "@@ -10,5 +10,6 @@"), ("s", "f", "b", "@@ -17 +18 @@"), ("s", "f", "c", "@@ -40,2 +41,2 @@"), ("s", "g", "d", "@@ -10,5 +10,6 @@"), ("s", "f", "e", None)]
+    df = spark.createDataFrame(rows, "s string, f string, u string, p string")
+    u = df.select("s", "f", "u", *[c.alias(n) for n, c in hunk_range(F.col("p")).items()]).where("old_start is not null")
+    assert {(r["a"], r["b"]) for r in interval_overlaps(u, ["s", "f"], "u", "old_start", "old_len", 3).collect()} == {("a", "b")}
+
+
+def test_tfidf_counts_the_query_as_a_document(spark):
+    import math
+
+    from difflode.operators.retrieval import tfidf_top_k
+
+    pool = {"p1": "red apple", "p2": "red sky"}
+    q = "red apple pie"
+    df = {w: sum(w in t.split() for t in [*pool.values(), q]) for w in (q + " sky").split()}
+    vec = lambda t: {w: t.split().count(w) * math.log((1 + 3) / (1 + df[w])) + 1 for w in t.split()}
+    cos = lambda a, b: sum(a.get(w, 0) * x for w, x in b.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    got = {r["example_id"]: r["cosine"] for r in tfidf_top_k(spark.createDataFrame([("q", q)], "id string, text string"), spark.createDataFrame(list(pool.items()), "id string, text string"), 5).collect()}
+    assert got == {k: round(cos(vec(q), vec(t)), 6) for k, t in pool.items()}

@@ -67,3 +67,39 @@ def test_tfidf_guard_and_ties(spark):
     got = [(r["query_id"], r["example_id"], r["rank"], r["cosine"]) for r in tfidf_top_k(q, pool, 2, "g").collect()]
     assert got == [("q1", "p2", 1, 1.0)]
     assert [r["example_id"] for r in tfidf_top_k(q, pool, 2).orderBy("rank").collect()] == ["p1", "p2"]
+
+
+def test_discover_merge_and_picks(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.csv").write_text("k\n1\n")
+    (tmp_path / "y_old.csv").write_text("k\n1\n")
+    (tmp_path / "z.txt").write_text("k")
+    assert [r["path"].rsplit("/", 1)[-1] for r in files.discover(spark, str(tmp_path), "*.csv", ("_old",)).collect()] == ["x.csv"]
+    (tmp_path / "1.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
+    (tmp_path / "2.jsonl").write_text('{"a": 3}\n')
+    assert files.merge_json_lines(spark, [str(tmp_path / "1.jsonl"), str(tmp_path / "2.jsonl")], "a long", str(tmp_path / "out.jsonl")) == 3
+    (tmp_path / "arr.json").write_text('[{"a": 1},\n {"a": 2}]')
+    assert sorted(r["a"] for r in files.read_any(spark, str(tmp_path / "arr.json")).collect()) == [1, 2]
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z"), (None, 1, "n")], "k string, t int, v string")
+    want = spark.createDataFrame([("a",), ("a",), (None,), ("c",)], "k string")
+    assert [tuple(r) for r in files.wanted_last(rows, want, "k", [F.col("t")]).collect()] == [("a", 2, "y")]
+    got = {r["k"]: r["v"] for r in files.merge_first([rows.where("k = 'a' and t = 1"), rows.where("k is not null and t > 0 and v != 'y'")], ["k"]).collect()}
+    assert got == {"a": "x", "b": "z"}
+
+
+def test_average_link_against_plain_merging(spark):
+    from difflode.operators.clusters import average_link, merge
+
+    rng = np.random.default_rng(6)
+    for n, k in ((1, 1), (5, 2), (9, 3)):
+        sim = np.triu(rng.random((n, n)), 1)
+        sim = sim + sim.T
+        groups = [[i] for i in range(n)]
+        while len(groups) > k:
+            best = max(((np.mean([sim[a, b] for a in groups[i] for b in groups[j]]), -i, -j) for i in range(len(groups)) for j in range(i + 1, len(groups))))
+            groups[-best[1]] += groups.pop(-best[2])
+        of = merge(sim, k)
+        assert {frozenset(np.flatnonzero(of == c).tolist()) for c in set(of.tolist())} == {frozenset(g) for g in groups}
+    rows = [("s1", "u1", "a/x.py", "src", ["f"], 0), ("s1", "u2", "a/x.py", "src", ["f"], 0), ("s1", "u3", "b/y.md", "doc", None, 1), ("s2", "u4", None, None, [], 0), (None, "u5", "a", None, [], 0)]
+    df = spark.createDataFrame(rows, "sample_id string, unit_id string, file_path string, file_role string, identifiers array<string>, gold int")
+    assert {tuple(r) for r in average_link(df, "sample_id", "unit_id", "gold").collect()} == {("s1", 3, 2, 1.0), ("s2", 1, 1, 0.0)}
