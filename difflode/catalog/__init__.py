@@ -7,6 +7,6 @@ from types import ModuleType
 
 def parts() -> list[ModuleType]:
     """The modules of the catalog; each has ``queries`` and ``oracle_sql``."""
-    from difflode.catalog import pairs, records, scoring, text
+    from difflode.catalog import pairs, records, scoring, text, workflow
 
-    return [scoring, text, records, pairs]
+    return [scoring, text, records, pairs, workflow]
