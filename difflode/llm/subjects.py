@@ -255,22 +255,22 @@ def mentions(p: Parsed, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """
     at = inside(model.features, p.feature)
     hit = np.flatnonzero(at >= 0)
+    hit = hit[np.argsort(p.f_start[hit], kind="stable")]
     s, e = p.f_start[hit], p.f_end[hit]
-    order = np.lexsort((s, s - e, p.f_sentence[hit]))
-    hit, s, e = hit[order], s[order], e[order]
+    # features that overlap, directly or through others, form a cluster; only those need a look one by one
+    reach = np.maximum.accumulate(e) if len(e) else e
+    cluster = np.cumsum(np.concatenate([[True], s[1:] >= reach[:-1]])) if len(s) else s
+    order = np.lexsort((s, s - e, cluster))
+    hit, s, e, cluster = hit[order], s[order], e[order], cluster[order]
     keep = np.ones(len(hit), bool)
-    own = p.f_sentence[hit]
-    many = np.zeros(len(hit), bool)
-    many[1:] |= own[1:] == own[:-1]
-    many[:-1] |= own[1:] == own[:-1]
     taken: list[tuple[int, int]] = []
-    sentence = -1
-    for i in np.flatnonzero(many).tolist():
-        if own[i] != sentence:
-            sentence, taken = own[i], []
-        a, b = s[i], e[i]
-        if all(b <= x or a >= y for x, y in taken):
-            taken.append((a, b))
+    last = -1
+    crowded = np.flatnonzero(np.bincount(cluster)[cluster] > 1) if len(hit) else hit
+    for i, c, x, y in zip(crowded.tolist(), cluster[crowded].tolist(), s[crowded].tolist(), e[crowded].tolist()):
+        if c != last:
+            last, taken = c, []
+        if all(y <= u or x >= v for u, v in taken):
+            taken.append((x, y))
         else:
             keep[i] = False
     hit, s, e = hit[keep], s[keep], e[keep]
