@@ -18,16 +18,17 @@ def water_level(histogram: list[tuple[int, int]], max_share: float, free: int =
     fewer than ``1 / max_share`` contributors and no free records.
     """
     hist = sorted((int(c), int(n)) for c, n in histogram if c > 0)
-    above, below, level = sum(n for _, n in hist), free, 0
+    above, below, level, last = sum(n for _, n in hist), free, 0, 0
     for c, n in hist:
-        # for T up to c the output is below + above * T
+        # for T from the count before up to c the output is below + above * T
         if c <= max_share * (below + above * c) + 1e-9:
             level = c
         else:
             slope = 1 - max_share * above
-            if slope > 0:
-                level = max(level, min(c, int(max_share * below / slope + 1e-9)))
-        below, above = below + c * n, above - n
+            t = min(c, int(max_share * below / slope + 1e-9)) if slope > 0 else 0
+            if t >= max(last, 1):
+                level = max(level, t)
+        below, above, last = below + c * n, above - n, c
     return level
 
 

@@ -276,6 +276,12 @@ def test_water_level():
     assert caps.water_level([(10, 1), (2, 5)], 0.5) == 10
     assert caps.water_level([(100, 1), (2, 5)], 0.5) == 10
     assert caps.water_level([(100, 1)], 0.5) == 0 and caps.water_level([(100, 10)], 0.05) == 0 and caps.water_level([(100, 1)], 0.5, 50) == 50
+    rng = random.Random(1)
+    for _ in range(300):
+        counts, s, free = [rng.choice([1, 2, 3, rng.randint(1, 60)]) for _ in range(rng.randint(1, 40))], rng.choice([0.05, 0.1, 0.2, 0.5]), rng.choice([0, 5, 40])
+        hist = [(c, counts.count(c)) for c in set(counts)]
+        want = max((t for t in range(1, max(counts) + 1) if t <= s * (free + sum(min(c, t) for c in counts)) + 1e-9), default=0)
+        assert caps.water_level(hist, s, free) == want
     for hist, s in (([(50, 2), (7, 3), (1, 9)], 0.2), ([(9, 4), (3, 4)], 0.15)):
         t = caps.water_level(hist, s)
         out = lambda t: sum(n * min(c, t) for c, n in hist)
