@@ -42,8 +42,19 @@ SELECT sample_id, coalesce(substr(repo, 2), min(sample_id) OVER (PARTITION BY lo
     near = f"""WITH src AS ({texts}), {_similar('src', 8)}
 SELECT DISTINCT grp AS field, least(a, b) AS id_a, greatest(a, b) AS id_b FROM (SELECT m.grp, m.id AS a, o.id AS b FROM m JOIN m o ON m.cid = o.cid AND m.id < o.id UNION ALL SELECT m.grp, m.id, o.id FROM v JOIN m ON m.cid = v.x JOIN m o ON o.cid = v.y WHERE m.id <> o.id)"""
     split = lambda c: f"CASE WHEN regexp_replace(lower({c}), '[^a-z]+', '', 'g') IN ('train', 'training', 'trainset', 'trn', 'tr') THEN 1 WHEN regexp_replace(lower({c}), '[^a-z]+', '', 'g') IN ('dev', 'devel', 'development', 'devset', 'val', 'valid', 'validation', 'validate', 'valset', 'test', 'testing', 'testset', 'tst', 'finaltest', 'testfinal', 'final', 'heldouttest') THEN 0 END"
-    across = f"""WITH src AS (SELECT 'attribution_samples' AS grp, sample_id AS id, diff_text AS t, {split('split')} AS side FROM attribution_samples UNION ALL SELECT 'fewshot_pool', example_id, subject, {split('split')} FROM fewshot_pool), {_similar('src', 1, 'AND side IS NOT NULL', ', side')},
+    sides = f"""src AS (SELECT 'attribution_samples' AS grp, sample_id AS id, diff_text AS t, {split('split')} AS side FROM attribution_samples UNION ALL SELECT 'fewshot_pool', example_id, subject, {split('split')} FROM fewshot_pool), {_similar('src', 1, 'AND side IS NOT NULL', ', side')}"""
+    pairs = f"""{sides},
 rv AS (SELECT DISTINCT example_id AS id, nullif(lower(trim(sha)), '') AS c, {split('split')} AS side FROM fewshot_pool), rd AS (SELECT DISTINCT c FROM rv WHERE c IS NOT NULL AND side IS NOT NULL), rm AS (SELECT a.c, coalesce(b.c, a.c) AS f FROM rd a LEFT JOIN rd b ON length(a.c) < 40 AND length(b.c) > length(a.c) AND starts_with(b.c, a.c)), rf AS (SELECT DISTINCT id, side, f FROM rv JOIN rm USING (c) WHERE side IS NOT NULL),
-pr AS (SELECT m.grp, m.id AS a, o.id AS b FROM m JOIN m o ON m.cid = o.cid AND m.side < o.side UNION ALL SELECT m.grp, m.id, o.id FROM v JOIN m ON m.cid = v.x JOIN m o ON o.cid = v.y WHERE m.side <> o.side UNION ALL SELECT 'fewshot_pool', p.id, q.id FROM rf p JOIN rf q ON p.f = q.f AND p.side < q.side)
-SELECT DISTINCT grp AS origin, least(a, b) AS id_a, greatest(a, b) AS id_b FROM pr WHERE a <> b"""
-    return {"p1_found": families, "p2_found": near, "p4_found": capped, "p4_share": share, "p5_found": across}
+vv AS (SELECT x, y FROM v UNION ALL SELECT y, x FROM v UNION ALL SELECT cid, cid FROM cl),
+pe AS (SELECT m.grp, m.id AS ev, o.id AS tr FROM vv JOIN m ON m.cid = vv.x AND m.side = 0 JOIN m o ON o.cid = vv.y AND o.side = 1 WHERE m.id <> o.id UNION SELECT 'fewshot_pool', p.id, q.id FROM rf p JOIN rf q ON p.f = q.f AND p.side = 0 AND q.side = 1 WHERE p.id <> q.id)"""
+    across = f"WITH {pairs} SELECT DISTINCT grp AS origin, least(ev, tr) AS id_a, greatest(ev, tr) AS id_b FROM pe"
+    name = lambda c: f"CASE WHEN {split(c)} = 0 THEN CASE WHEN regexp_matches(lower({c}), 'd|v') AND NOT regexp_matches(lower({c}), 'held') THEN 'dev' ELSE 'test' END END"
+    report = f"""WITH {pairs}, me AS (SELECT 'attribution_samples' AS grp, sample_id AS ev, min({name('split')}) AS split, min({_repo('repo')}) AS repo FROM attribution_samples WHERE {split('split')} = 0 GROUP BY sample_id UNION ALL SELECT 'fewshot_pool', example_id, min({name('split')}), min({_repo('repo')}) FROM fewshot_pool WHERE {split('split')} = 0 GROUP BY example_id)
+SELECT grp AS origin, split, repo, count(*) AS pairs, count(DISTINCT ev) AS eval_records FROM pe JOIN me USING (grp, ev) GROUP BY ALL"""
+    sided = f"""WITH {sides}, fl AS (SELECT cid, min(id) AS class_id, max(side) = 1 AS t, min(side) = 0 AS e FROM m GROUP BY cid), vv AS (SELECT x, y FROM v UNION ALL SELECT y, x FROM v UNION ALL SELECT cid, cid FROM cl),
+lk AS (SELECT x AS cid, s AS side, count(DISTINCT y) AS links FROM vv JOIN fl a ON a.cid = x JOIN fl b ON b.cid = y, (VALUES (0), (1)) q(s) WHERE (s = 1 AND a.t AND b.e) OR (s = 0 AND a.e AND b.t) GROUP BY ALL)
+SELECT DISTINCT m.grp AS origin, m.id, m.side = 1 AS is_train, class_id, links FROM m JOIN lk USING (cid, side) JOIN fl USING (cid)"""
+    groups = f"""WITH RECURSIVE src AS ({texts}), {_similar('src', 8)}, vv AS (SELECT x, y FROM v UNION SELECT y, x FROM v), fi AS (SELECT cid, min(id) AS class_id FROM m GROUP BY cid), g AS (SELECT DISTINCT x, x AS y FROM vv UNION SELECT g.x, vv.y FROM g JOIN vv ON vv.x = g.y),
+lw AS (SELECT g.x AS cid, min(class_id) AS group_id FROM g JOIN fi ON fi.cid = g.y GROUP BY g.x), ln AS (SELECT x AS cid, count(*) AS links FROM vv GROUP BY x)
+SELECT DISTINCT m.grp AS field, m.id, class_id, coalesce(group_id, class_id) AS group_id, coalesce(links, 0) AS links FROM m JOIN fi USING (cid) LEFT JOIN lw USING (cid) LEFT JOIN ln USING (cid)"""
+    return {"p1_found": families, "p2_found": near, "p2_groups": groups, "p4_found": capped, "p4_share": share, "p5_found": across, "p5_groups": sided, "p5_report": report}
