@@ -120,8 +120,13 @@ def confidence_weights(s, d):
     return y.groupBy("tenth").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("w")).alias("mean_weight"))
 
 
+def platt_fit(s, d):
+    """Slope and intercept of the line in log odds that calibrates the quality score to eligibility."""
+    return so.fit_platt(T(s, d, "fewshot_pool").select("example_id", "quality_score", "fewshot_eligible").dropDuplicates(["example_id"]), "quality_score", "fewshot_eligible")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (message_profile, diff_profile, message_bounds, scope_bounds, feature_stats, type_values, signal_values, signal_weights, intent_scores, signal_reasons, score_bins, entropy_gate, confidence_weights)}
+    return {f.__name__: f for f in (message_profile, diff_profile, message_bounds, scope_bounds, feature_stats, type_values, signal_values, signal_weights, intent_scores, signal_reasons, score_bins, entropy_gate, confidence_weights, platt_fit)}
 
 
 # --- SQL ------------------------------------------------------------------------

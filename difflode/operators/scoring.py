@@ -120,3 +120,32 @@ def quantile_bins(df: DataFrame, score: str, bins: int = 4) -> DataFrame:
     first = F.coalesce(*[F.when(F.col("p") >= F.col(f"b{i}"), bins - 1 - i) for i in reversed(range(bins))], F.lit(bins - 1))
     c = x.join(b, F.lit(True)).groupBy(first.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return bounds.join(c, "bin", "left").select("bin", "lower", "upper", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def fit_platt(df: DataFrame, raw: str, label: str, l2: float = 1e-3, rounds: int = 25) -> DataFrame:
+    """``n, slope, intercept``: the line in log odds of a raw probability that fits 0/1 labels best, with a small penalty on the slope.
+
+    Rows fold to one for each distinct probability and label; every Newton step is one
+    aggregate, of which five sums come to the driver. Null and NaN are left out; without
+    both labels the line is the identity.
+    """
+    import math
+
+    q = clip_prob(F.col(raw).cast("double"))
+    d = cut(df.where(F.col(raw).isNotNull() & ~F.isnan(raw) & F.col(label).isin(0, 1)).groupBy(F.log(q / (1 - q)).alias("x"), F.col(label).cast("double").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n")))
+    total = d.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("pos")).first()
+    n, pos = float(total["n"] or 0), float(total["pos"] or 0)
+    a, b = 1.0, 0.0
+    for _ in range(rounds if 0 < pos < n else 0):
+        p = sigmoid(F.lit(a) * F.col("x") + F.lit(b))
+        w, e = F.col("n") * p * (1 - p), F.col("n") * (p - F.col("y"))
+        s = d.agg(F.sum(e * F.col("x")).alias("ga"), F.sum(e).alias("gb"), F.sum(w * F.col("x") * F.col("x")).alias("aa"), F.sum(w * F.col("x")).alias("ab"), F.sum(w).alias("bb")).first()
+        ga, gb, aa, ab, bb = s["ga"] / n + l2 * a, s["gb"] / n, s["aa"] / n + l2, s["ab"] / n, s["bb"] / n
+        det = aa * bb - ab * ab
+        if det <= 1e-15:
+            break
+        da, db = (bb * ga - ab * gb) / det, (aa * gb - ab * ga) / det
+        a, b = a - da, b - db
+        if math.hypot(da, db) < 1e-9:
+            break
+    return df.sparkSession.createDataFrame([(int(n), round(a, 6), round(b, 6))], "n long, slope double, intercept double")

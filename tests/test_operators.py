@@ -181,3 +181,16 @@ def test_tfidf_counts_the_query_as_a_document(spark):
     cos = lambda a, b: sum(a.get(w, 0) * x for w, x in b.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
     got = {r["example_id"]: r["cosine"] for r in tfidf_top_k(spark.createDataFrame([("q", q)], "id string, text string"), spark.createDataFrame(list(pool.items()), "id string, text string"), 5).collect()}
     assert got == {k: round(cos(vec(q), vec(t)), 6) for k, t in pool.items()}
+
+
+def test_platt_line_is_where_the_gradient_vanishes(spark):
+    import math
+
+    from difflode.operators.scoring import fit_platt
+
+    rng = random.Random(9)
+    rows = [(int(rng.random() < 1 / (1 + math.exp(-(2 * x - 0.5)))), 1 / (1 + math.exp(-x))) for x in (rng.gauss(0, 1.5) for _ in range(800))]
+    n, a, b = fit_platt(spark.createDataFrame(rows + [(None, 0.5), (1, float("nan"))], "y int, p double"), "p", "y").first()
+    err = [(1 / (1 + math.exp(-(a * math.log(p / (1 - p)) + b))) - y, math.log(p / (1 - p))) for y, p in rows]
+    assert n == 800 and abs(sum(e for e, _ in err) / 800) < 1e-5 and abs(sum(e * x for e, x in err) / 800 + 1e-3 * a) < 1e-5
+    assert abs(a - 2) < 0.4 and tuple(fit_platt(spark.createDataFrame([(1, 0.5)], "y int, p double"), "p", "y").first()) == (1, 1.0, 0.0)

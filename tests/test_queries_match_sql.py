@@ -46,4 +46,4 @@ def test_same_rows(spark, con, name):
 
 
 def test_every_query_has_sql_or_is_known_not_to():
-    assert set(core.queries()) - set(SQL) <= {"score_centres", "bootstrap_precision", "matched_accuracy", "split_packing", "unit_clusters"}
+    assert set(core.queries()) - set(SQL) <= {"score_centres", "bootstrap_precision", "matched_accuracy", "split_packing", "unit_clusters", "platt_fit"}
